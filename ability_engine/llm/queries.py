@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ability_engine.llm import chat, language, lm, neardup, packing, quality_model, quality_rules, secrets, tokenfile
+from ability_engine.llm import chat, decontaminate, language, lm, neardup, packing, quality_model, quality_rules, secrets, tokenfile
 from ability_engine.llm.common import new_path, remainder, table
 
 
@@ -16,6 +16,10 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), remainder("doc_id", 5) == 0
     model = quality_model.train(docs, table(spark, sf_dir, "labels"), learn=~held)
@@ -58,5 +62,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, langs, prototypes).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_near_duplicates, op4_quality_model, op5_token_files, op6_chat, op7_secrets, op8_quality_rules, op9_lm, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_near_duplicates, op3_decontamination, op4_quality_model, op5_token_files, op6_chat, op7_secrets, op8_quality_rules, op9_lm, op10_language)}
 ORACLES: dict[str, str] = {}

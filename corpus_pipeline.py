@@ -1,8 +1,56 @@
-"""Corpus pipeline (its stages follow as the operators land)."""
+"""Corpus pipeline: quality rules, near-duplicate removal, decontamination, redaction of secrets, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``. A stage's output is
+written as Parquet and read back as the next one's input, so a lost executor costs no more than the running stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ability_engine.llm import decontaminate, neardup, packing, quality_rules, secrets
+from ability_engine.llm.common import stash, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality_rules.filter_documents(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return neardup.keep_one(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by a mark."""
+    return secrets.redact(docs, secrets.scan(docs))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a training sequence."""
+    return packing.pack(docs, ids=False)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("minhash near-dedup", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("secret scans", secret_stage),
+    ("packing", packing_stage),
+]
+
+#: SQL can't express the fitted model, the tokenizer and the packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
