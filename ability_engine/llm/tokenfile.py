@@ -80,7 +80,7 @@ class Bounds:
         return cls(n, low, np.frombuffer(data, np.uint8, a, 40), np.frombuffer(data, np.uint8, b, 40 + a))
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, segment_tokens: int = 4_000_000) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, segment_tokens: int = 1_000_000) -> None:
     """Encode every text and write the segments to ``path``."""
     kind = docs.schema["doc_id"].dataType
     schema = struct_of(("part", T.IntegerType()), ("segment", T.IntegerType()), ("tokens_before", T.LongType()), ("n_tokens", T.LongType()), ("doc_ids", T.ArrayType(kind)), ("ends", T.BinaryType()), ("ids", T.BinaryType()))
@@ -129,10 +129,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     yield {"doc_id": names[k : k + 10_000], "part": [part] * len(cut), "at": [before + a for a, _ in cut], "n_tokens": [b - a for a, b in cut], "ids": [ids[2 * a : 2 * b] for a, b in cut]}
 
     totals = segments.groupBy("part").agg(F.sum("n_tokens").alias("total"))
-    # One small row for each partition of the writing job.
+    # One small row for each partition of the writing job: few enough to broadcast at any size of the corpus.
     before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
     docs = map_lists(segments.select("part", "tokens_before", "doc_ids", "ends", "ids"), run, schema)
-    return docs.join(before, "part").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids")
+    return docs.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -28,28 +28,43 @@ PIECES = {
 _UNSURE = bytes([*range(0x1C, 0x20), 0x85])
 
 
+#: Byte-level vocabularies spell each byte as a printable character: itself, or the next free one from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SPELL = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_LOWERED = {"word_bpe_49k.json"}
+
+
 class Encoder(dict):
-    """``encode(text)``: ids as little-endian unsigned 16-bit bytes. As a dict: the pieces seen so far, ``memo`` at most."""
+    """``encode(text)``: ids as little-endian unsigned 16-bit bytes. As a dict: the pieces seen lately, ``memo`` at most."""
 
-    def __init__(self, name: str, memo: int = 400_000):
+    def __init__(self, name: str, memo: int = 300_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError(f"{name}: ids of more than 16 bits")
-        self.pattern, self.memo = PIECES[name], memo
+        self.pattern, self.lowered, self.memo = PIECES[name], name in _LOWERED, memo
+        self.merge = self.tokenizer.model.tokenize
 
-    def whole(self, text: str) -> bytes:
-        ids = array("H", self.tokenizer.encode(text, add_special_tokens=False).ids)
+    @staticmethod
+    def pack(ids: list[int]) -> bytes:
+        out = array("H", ids)
         if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
+            out.byteswap()
+        return out.tobytes()
+
+    def whole(self, text: str) -> bytes:
+        """A text by the whole tokenizer."""
+        return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, piece: bytes) -> bytes:
+        """A piece by the tokenizer's merges alone."""
+        text = piece.decode("latin-1")
+        text = text.lower() if self.lowered else text
+        ids = self.pack([t.id for t in self.merge(text.encode().decode("latin-1").translate(_SPELL))])
         if len(self) >= self.memo:
             self.clear()
-        ids = self.whole(piece.decode("latin-1"))
         if len(piece) <= 64:
             self[piece] = ids
         return ids
