@@ -29,7 +29,7 @@ def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     tokenfile.write_tokens(table(spark, sf_dir, "documents"), path)
-    return tokenfile.digest(tokenfile.read_tokens(spark, path))
+    return tokenfile.read_tokens(spark, path, ids=False)
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,34 +113,31 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json
     map_lists(ordered, run, schema).write.parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each document of the files, with its ids and the number of ids before it."""
+def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit) and ids, by document."""
     segments = spark.read.parquet(path)
     kind = segments.schema["doc_ids"].dataType.elementType
-    schema = struct_of(("doc_id", kind), ("part", T.IntegerType()), ("at", T.LongType()), ("n_tokens", T.LongType()), ("ids", T.BinaryType()))
+    schema = struct_of(("doc_id", kind), ("part", T.IntegerType()), ("at", T.LongType()), ("n_tokens", T.LongType()), ("ids_crc32", T.LongType()), *[("ids", T.BinaryType())] * ids)
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for batch in batches:
-            for part, before, names, ends, ids in zip(batch["part"], batch["tokens_before"], batch["doc_ids"], batch["ends"], batch["ids"], strict=True):
-                bounds = Bounds.from_bytes(ends)
-                starts, stops = np.concatenate(([0], bounds.all()[:-1])).tolist(), bounds.all().tolist()
-                for k in range(0, len(names), 10_000):
-                    cut = list(zip(starts[k : k + 10_000], stops[k : k + 10_000], strict=True))
-                    yield {"doc_id": names[k : k + 10_000], "part": [part] * len(cut), "at": [before + a for a, _ in cut], "n_tokens": [b - a for a, b in cut], "ids": [ids[2 * a : 2 * b] for a, b in cut]}
+            for part, before, names, ends, data in zip(batch["part"], batch["tokens_before"], batch["doc_ids"], batch["ends"], batch["ids"], strict=True):
+                stops = Bounds.from_bytes(ends).all().tolist()
+                starts, wide = [0, *stops[:-1]], np.frombuffer(data, "<u2").astype("<u4")
+                for k in range(0, len(names), 1000):
+                    cut = list(zip(starts[k : k + 1000], stops[k : k + 1000], strict=True))
+                    yield {
+                        "doc_id": names[k : k + 1000],
+                        "part": [part] * len(cut),
+                        "at": [before + a for a, _ in cut],
+                        "n_tokens": [b - a for a, b in cut],
+                        "ids_crc32": [zlib.crc32(wide[a:b].tobytes()) for a, b in cut],
+                        "ids": [data[2 * a : 2 * b] if ids else None for a, b in cut],
+                    }
 
     totals = segments.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     # One small row for each partition of the writing job: few enough to broadcast at any size of the corpus.
     before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
     docs = map_lists(segments.select("part", "tokens_before", "doc_ids", "ends", "ids"), run, schema)
-    return docs.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids")
-
-
-def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and the crc32 of the ids as little-endian unsigned 32-bit integers."""
-    schema = struct_of(("doc_id", docs.schema["doc_id"].dataType), *((c, T.LongType()) for c in ("start", "n_tokens", "ids_crc32")))
-
-    def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        for b in batches:
-            yield b | {"ids_crc32": [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in b["ids"]]}
-
-    return map_lists(docs, run, schema)
+    start = (F.col("before") + F.col("at")).alias("start")
+    return docs.join(F.broadcast(before), "part").select("doc_id", start, "n_tokens", "ids_crc32", *["ids"] * ids)
