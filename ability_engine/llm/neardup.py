@@ -5,10 +5,12 @@ set, compressed to the count of leading zeros (6 bits) and the ten bits after th
 share a band are candidates. The share of equal registers, corrected for registers that are equal by accident, estimates the Jaccard
 similarity; candidates far below the threshold (``sigmas`` standard errors) end there. The rest are verified on the full sets.
 
-Copies and hot groups: documents with equal sets are one class, and only classes are compared. In a band's group one pivot is compared with
-all others, not all pairs. What that links is one component, and from then on only pairs between components matter: round by round, up to
-``slots`` members outside a group's largest component are compared with the members of other components, until none is left. So every
-pair in a band ends up in one component or compared, and a group of n near copies costs about n comparisons.
+Copies and hot groups: documents with equal sets are one class, and only classes are compared. In a band's group of up to ``few`` classes all
+pairs are candidates. A larger group has a center, the member that shares most bands with others, and groups of one center are joined. Each
+member x is verified against the center c, which gives its edits E(x), the symmetric difference of x and c. As E(a) and E(b) differ just
+where a and b do, pairs within the group are found by their edits: a member linked to the center needs no other link, and any other
+member a is linked with b only if they share so many edits that one of b's rarest ones is among a's. So the pairs come from a join on edits
+with prefix, length and positional filters; a group of n near copies costs about n comparisons, and no link is lost.
 
 Components are found by alternating large-star and small-star steps on tables. Nothing but counts comes to the driver.
 
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -171,7 +173,47 @@ def connect(links: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
 
 
-def components(docs: DataFrame, percent: int = 85, sigmas: float = 5.0, slots: int = 16) -> DataFrame:
+def edits(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """center, set_id, the sizes n and n_center of their sets, and their symmetric difference, of every row of ``members``."""
+    schema = struct_of(("center", T.BinaryType()), ("set_id", T.BinaryType()), ("n", T.LongType()), ("n_center", T.LongType()), ("edits", T.ArrayType(T.LongType())))
+
+    def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        for batch in batches:
+            out: dict[str, list] = {"center": batch["center"], "set_id": batch["set_id"], "n": [], "n_center": [], "edits": []}
+            for x, c in zip(batch["set"], batch["center_set"], strict=True):
+                u, v = np.frombuffer(x, np.uint64), np.frombuffer(c, np.uint64)
+                out["n"].append(len(u))
+                out["n_center"].append(len(v))
+                out["edits"].append(np.setxor1d(u, v, assume_unique=True).view(np.int64))
+            yield out
+
+    both = members.join(sets, "set_id").join(sets.select(F.col("set_id").alias("center"), F.col("set").alias("center_set")), "center")
+    return map_lists(both.select("center", "set_id", "set", "center_set"), run, schema)
+
+
+def edit_pairs(found: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one center's group that may be linked, where a isn't linked to the center.
+
+    With k = (100 - percent) / (100 + percent), x and y are linked if |x ^ y| <= k (|x| + |y|), that is if they share at least
+    (|E(x)| + |E(y)| - k (|x| + |y|)) / 2 edits. If x isn't linked to the center that is more than (1 - k) |E(y)| / 2.
+    """
+    k = (100 - percent) / (100 + percent)
+    size = F.size("edits")
+    tokens = found.select("center", "set_id", "n", size.alias("e"), (size > k * (F.col("n") + F.col("n_center")) - 1e-9).alias("outside"), F.explode("edits").alias("edit"))
+    often = tokens.groupBy("center", "edit").agg(F.count("*").alias("times"))
+    rarest = Window.partitionBy("center", "set_id").orderBy("times", "edit")
+    ranked = tokens.join(often, ["center", "edit"]).withColumn("rank", F.row_number().over(rarest) - 1).where("times > 1")
+    ranked = stash(ranked.select("center", "edit", "set_id", "n", "e", "outside", "rank"), "edits")
+    side = lambda df, x: df.select("center", "edit", *[F.col(c).alias(f"{c}_{x}") for c in ("set_id", "n", "e", "rank")])
+    probe = side(ranked.where("outside"), "a")
+    index = side(ranked.where(F.col("rank") <= F.col("e") - F.greatest(F.lit(1), F.ceil((1 - k) / 2 * F.col("e") - 1e-9))), "b")
+    most = k * (F.col("n_a") + F.col("n_b")) + 1e-9
+    fits = (F.abs(F.col("e_a") - F.col("e_b")) <= most) & (2 * F.least(F.col("e_a") - F.col("rank_a"), F.col("e_b") - F.col("rank_b")) >= F.col("e_a") + F.col("e_b") - most)
+    pairs = probe.join(index, ["center", "edit"]).where((F.col("set_id_a") != F.col("set_id_b")) & fits)
+    return pairs.select(F.least("set_id_a", "set_id_b").alias("a"), F.greatest("set_id_a", "set_id_b").alias("b")).distinct()
+
+
+def components(docs: DataFrame, percent: int = 85, sigmas: float = 5.0, few: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and component (the digest that stands for the component, null for empty sets) of every row."""
     rows = stash(sketches(docs), "sketches")
     full = rows.where("n_shingles > 0")
@@ -179,32 +221,21 @@ def components(docs: DataFrame, percent: int = 85, sigmas: float = 5.0, slots: i
     classes = stash(full.groupBy("set_id").agg(member, F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
 
     bands = classes.select("set_id", F.posexplode("sketch").alias("band", "key"))
-    groups = bands.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("set_id").alias("pivot")).where("size > 1")
+    groups = bands.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
     members = stash(bands.join(groups, ["band", "key"]), "members")
-    pairs = members.where("set_id <> pivot").select(F.col("pivot").alias("a"), F.col("set_id").alias("b")).distinct()
     wanted = members.select("set_id").distinct().join(classes, "set_id").select("set_id", "member.doc_id", "member.text_hash")
     sets = stash(full_sets(docs, wanted), "sets")
-    links = stash(verify(likely(pairs, classes, percent, sigmas), sets, percent), "links")
-    roots = connect(links)
-    done: DataFrame | None = None
-    while True:
-        placed = members.where("size > 2").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("band", "key", "set_id", F.coalesce("root", "set_id").alias("root"))
-        counted = placed.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
-        largest = counted.groupBy("band", "key").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-        outside = placed.join(largest, ["band", "key"]).where(F.col("root") != F.col("top.root")).select("band", "key", "set_id", "root")
-        if done is not None:
-            outside = outside.join(done, ["band", "key", "set_id"], "left_anti")
-        slot = F.pmod(F.xxhash64("set_id"), F.lit(slots))
-        pivots = stash(outside.groupBy("band", "key", slot.alias("slot")).agg(F.min(F.struct("set_id", "root")).alias("pivot")).select("band", "key", F.col("pivot.set_id").alias("p"), F.col("pivot.root").alias("p_root")), "pivots")
-        if pivots.isEmpty():
-            break
-        mine = pivots.select("band", "key", F.col("p").alias("set_id"))
-        done = mine if done is None else stash(done.unionByName(mine), "done")
-        across = pivots.join(placed, ["band", "key"]).where("root <> p_root").select(F.least("p", "set_id").alias("a"), F.greatest("p", "set_id").alias("b")).distinct()
-        more = stash(verify(likely(across, classes, percent, sigmas), sets, percent), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = connect(links)
+
+    small = members.where(F.col("size") <= few).select("band", "key", "set_id")
+    pairs = small.select("band", "key", F.col("set_id").alias("a")).join(small.select("band", "key", F.col("set_id").alias("b")), ["band", "key"]).where("a < b").select("a", "b").distinct()
+    large = members.where(F.col("size") > few)
+    score = members.groupBy("set_id").agg(F.sum("size").alias("score"))
+    centers = large.join(score, "set_id").groupBy("band", "key").agg(F.max(F.struct("score", "set_id")).alias("top")).select("band", "key", F.col("top.set_id").alias("center"))
+    grouped = large.join(centers, ["band", "key"]).where("set_id <> center").select("center", "set_id").distinct()
+    found = stash(edits(grouped, sets), "edits")
+    starred = found.where((100 + percent) * F.size("edits") <= (100 - percent) * (F.col("n") + F.col("n_center"))).select(F.col("center").alias("a"), F.col("set_id").alias("b"))
+    checked = verify(likely(pairs.unionByName(edit_pairs(found, percent)).distinct(), classes, percent, sigmas), sets, percent)
+    roots = connect(starred.unionByName(checked))
 
     named = classes.select("set_id", F.col("member.doc_id").alias("doc_id")).join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "doc_id", F.coalesce("root", "set_id").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
