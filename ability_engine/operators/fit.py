@@ -105,7 +105,7 @@ def models(rows: DataFrame, basket_size: Column) -> DataFrame:
 def fit(scores: DataFrame, releases: DataFrame, benches: DataFrame, asof: DataFrame, ridge: float = 0.05) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(models, difficulties, residual rows) as of every date of ``asof``."""
     obs = observations(scores, releases, benches, asof).cache()
-    deltas = difficulties(obs, ridge)
+    deltas = difficulties(obs, ridge).cache()
     rows = residuals(obs, deltas, ridge).cache()
     size = benches.where("in_index").count()  # of the basket: a small dimension
     return models(rows, F.lit(float(size))), deltas, rows

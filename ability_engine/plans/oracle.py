@@ -7,7 +7,7 @@ import re
 from ability_engine.functions.scalar import QUANTILE, TAIL_BOTTOM, TAIL_TOP
 from ability_engine.operators.fit import CONFIG_STOPWORDS
 
-SWEEPS = 50
+SWEEPS = 70
 _STOP = "[" + ", ".join(f"'{w}'" for w in CONFIG_STOPWORDS) + "]"
 ASOF = "DATE '2025-02-01'"
 CUSTOMER_ASOF = "DATE '2000-06-30'"
