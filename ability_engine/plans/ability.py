@@ -10,11 +10,15 @@ from ability_engine.plans import oracle as o
 from ability_engine.plans.registry import query
 from ability_engine.sources import adapters as a
 
-ASOF = F.lit("2025-02-01").cast("date")
+NOW, THEN = "2025-02-01", "2020-03-01"
 DATES = ("2021-06-30", "2023-03-31", "2025-02-01")
 SQL_DATES = ", ".join(f"DATE '{d}'" for d in DATES)
 
 
+def on(day: str) -> Column:
+    return F.lit(day).cast("date")
+
+
 def r6(x: Column | str) -> Column:
     x = F.col(x) if isinstance(x, str) else x
     return F.round(x, 6) + 0.0
@@ -80,19 +84,19 @@ _PACE = {"paced": "SELECT o.at, slope * 365 AS logits_per_year, CASE WHEN slope
 @query("frontier_pace", o.sql(f"SELECT at, {o.r6('logits_per_year')} AS logits_per_year, {o.r6('doubling_days')} AS doubling_days, steps FROM paced", o.fit(), o.GRID, o.DAILY, _PACE))
 def frontier_pace(spark, sf_dir):
     k = knots(spark, sf_dir)
-    return rounded(frontier.pace(k, frontier.month_grid(k, ASOF)), "logits_per_year", "doubling_days")
+    return rounded(frontier.pace(k, frontier.month_grid(k, on(NOW))), "logits_per_year", "doubling_days")
 
 
 @query("frontier_velocity", o.sql(f"SELECT o.at, {o.r6('slope_index * 30')} AS per_month FROM ols o JOIN steps s ON o.at = s.at WHERE dates >= 2", o.fit(), o.GRID, o.DAILY))
 def frontier_velocity(spark, sf_dir):
     k = knots(spark, sf_dir)
-    return rounded(frontier.velocity(k, frontier.month_grid(k, ASOF)), "per_month")
+    return rounded(frontier.velocity(k, frontier.month_grid(k, on(NOW))), "per_month")
 
 
 @query("frontier_trend", o.sql(f"SELECT o.at, {o.r6('slope')} AS slope, {o.r6('intercept')} AS intercept, {o.r6('sqrt(sse / (n - 2))')} AS sigma, {o.r6('sqrt(sse / (n - 2)) / sqrt(sxx)')} AS slope_se, n FROM ols o JOIN steps s ON o.at = s.at WHERE steps >= 2", o.fit(), o.GRID, o.DAILY))
 def frontier_trend(spark, sf_dir):
     k = knots(spark, sf_dir)
-    return rounded(frontier.trend(k, frontier.month_grid(k, ASOF)), "slope", "intercept", "sigma", "slope_se").drop("stop")
+    return rounded(frontier.trend(k, frontier.month_grid(k, on(NOW))), "slope", "intercept", "sigma", "slope_se").drop("stop")
 
 
 @query(
@@ -105,12 +109,11 @@ def frontier_trend(spark, sf_dir):
     ),
 )
 def frontier_gains_quarter(spark, sf_dir):
-    return rounded(frontier.gains(knots(spark, sf_dir), ASOF), "gain")
+    return rounded(frontier.gains(knots(spark, sf_dir), on(NOW)), "gain")
 
 
 _EARLY = "DATE '2020-03-01'"
 _EARLY_TREND = o.TREND | {"at_grid": f"SELECT {_EARLY} AS at"}
-EARLY = F.lit("2020-03-01").cast("date")
 
 
 @query(
@@ -121,7 +124,7 @@ EARLY = F.lit("2020-03-01").cast("date")
     ),
 )
 def frontier_fan(spark, sf_dir):
-    return rounded(frontier.fan(knots(spark, sf_dir), EARLY, F.lit("2021-01-01").cast("date")), "theta", "theta_low", "theta_high").select("date", "theta", "theta_low", "theta_high")
+    return rounded(frontier.fan(knots(spark, sf_dir), on(THEN), F.lit("2021-01-01").cast("date")), "theta", "theta_low", "theta_high").select("date", "theta", "theta_low", "theta_high")
 
 
 @query("levels", o.sql(f"SELECT level, kind, {o.r6('theta')} AS theta, {o.r6('1000 + 400 / ln(10) * theta')} AS rating FROM levels", o.fit(), o.LEVELS))
@@ -156,7 +159,7 @@ def _day(z: float) -> str:
 )
 def crossings(spark, sf_dir):
     models, deltas, _ = fitted(spark, sf_dir)
-    return frontier.crossings(frontier.line(models).cache(), frontier.levels(deltas, a.benches(spark, sf_dir)), EARLY)
+    return frontier.crossings(frontier.line(models).cache(), frontier.levels(deltas, a.benches(spark, sf_dir)), on(THEN))
 
 
 @query(
@@ -170,7 +173,7 @@ def crossings(spark, sf_dir):
     ),
 )
 def pace_eras(spark, sf_dir):
-    return rounded(frontier.eras(knots(spark, sf_dir), ASOF), "mean_pace", "max_pace")
+    return rounded(frontier.eras(knots(spark, sf_dir), on(NOW)), "mean_pace", "max_pace")
 
 
 _LATEST = {"latest": f"SELECT lab, max(date) AS date, arg_max(release_id, (date, release_id)) AS release_id FROM releases WHERE status = 'released' AND tier = 'flagship' AND date <= {o.ASOF} GROUP BY 1"}
@@ -178,7 +181,7 @@ _LATEST = {"latest": f"SELECT lab, max(date) AS date, arg_max(release_id, (date,
 
 @query("latest_per_lab", o.sql("SELECT lab, release_id, date FROM latest", _LATEST))
 def latest_per_lab(spark, sf_dir):
-    return lineup.latest_per_lab(a.releases(spark, sf_dir), ASOF)
+    return lineup.latest_per_lab(a.releases(spark, sf_dir), on(NOW))
 
 
 _RANKED = {"ranking": "SELECT m.*, row_number() OVER (ORDER BY qualified DESC, index DESC, m.release_id) AS place FROM latest l JOIN models m ON l.release_id = m.release_id"}
@@ -186,7 +189,7 @@ _RANKED = {"ranking": "SELECT m.*, row_number() OVER (ORDER BY qualified DESC, i
 
 @query("current_ranking", o.sql(f"SELECT CAST(place AS INT) AS place, release_id, lab, {o.r6('index')} AS index, qualified FROM ranking", o.fit(), _LATEST, _RANKED))
 def current_ranking(spark, sf_dir):
-    return rounded(lineup.current_ranking(a.releases(spark, sf_dir), fitted(spark, sf_dir)[0], ASOF), "index").select("place", "release_id", "lab", "index", "qualified")
+    return rounded(lineup.current_ranking(a.releases(spark, sf_dir), fitted(spark, sf_dir)[0], on(NOW)), "index").select("place", "release_id", "lab", "index", "qualified")
 
 
 @query(
@@ -201,7 +204,7 @@ def current_ranking(spark, sf_dir):
     ),
 )
 def rank_ties(spark, sf_dir):
-    ranking = lineup.current_ranking(a.releases(spark, sf_dir), fitted(spark, sf_dir)[0], ASOF)
+    ranking = lineup.current_ranking(a.releases(spark, sf_dir), fitted(spark, sf_dir)[0], on(NOW))
     return lineup.rank_ties(ranking.withColumn("block", F.col("qualified")))
 
 
@@ -212,7 +215,7 @@ def evidence_kind(spark, sf_dir):
 
 @query("lab_lineup", o.sql(f"SELECT lab, tier, arg_max(release_id, (date, release_id)) AS release_id, {o.r6('arg_max(theta, (date, release_id))')} AS theta FROM models GROUP BY 1, 2", o.fit()))
 def lab_lineup(spark, sf_dir):
-    return rounded(lineup.lab_lineup(fitted(spark, sf_dir)[0], ASOF), "theta")
+    return rounded(lineup.lab_lineup(fitted(spark, sf_dir)[0], on(NOW)), "theta")
 
 
 _BAND = {
@@ -235,7 +238,7 @@ _RIBBON = {
 
 @query("family_ribbon", o.sql(f"SELECT lab, date, {o.r6('hi.t')} AS hi_theta, {o.r6('lo.t')} AS lo_theta, hi.id AS hi_id, lo.id AS lo_id FROM ribbon", o.fit(), _RIBBON))
 def family_ribbon(spark, sf_dir):
-    return rounded(lineup.family_ribbon(fitted(spark, sf_dir)[0], ASOF), "hi_theta", "lo_theta")
+    return rounded(lineup.family_ribbon(fitted(spark, sf_dir)[0], on(NOW)), "hi_theta", "lo_theta")
 
 
 _LIFE = {
@@ -256,7 +259,7 @@ _LIFE = {
     ),
 )
 def benchmark_lifetimes(spark, sf_dir):
-    return rounded(lineup.lifetimes(a.scores(spark, sf_dir), a.releases(spark, sf_dir), a.benches(spark, sf_dir), fitted(spark, sf_dir)[1], ASOF), "delta", "coverage")
+    return rounded(lineup.lifetimes(a.scores(spark, sf_dir), a.releases(spark, sf_dir), a.benches(spark, sf_dir), fitted(spark, sf_dir)[1], on(NOW)), "delta", "coverage")
 
 
 @query(
@@ -319,4 +322,4 @@ def capability_fan(spark, sf_dir):
     models, _, rows = fitted(spark, sf_dir)
     sigma = F.lit(fit.sigma(rows).first()["sigma"])
     last = models.where("tier = 'flagship'").groupBy("lab").agg(F.max("date").alias("date"), F.max_by("index", F.struct("date", "release_id")).alias("index"))
-    return rounded(forecast.capability_fan(forecast.capability_trend(models, sigma), last, ASOF, F.lit("2025-06-01").cast("date")), "theta", "theta_low", "theta_high")
+    return rounded(forecast.capability_fan(forecast.capability_trend(models, sigma), last, on(NOW), F.lit("2025-06-01").cast("date")), "theta", "theta_low", "theta_high")
