@@ -38,12 +38,18 @@ class Rule:
         return f"{self.kind}@{self.version}"
 
 
+#: A private key runs to its END line; where that is cut off, over the lines of base64 that follow.
+PEM = re.compile(
+    r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----(?:(?:(?!-----BEGIN ).)*?-----END \1-----"
+    r"|(?:\s*(?:Proc-Type|DEK-Info):[^\n]*)*(?:\s*[A-Za-z0-9+/]{24,}={0,2}(?!\S))*(?:\s*[A-Za-z0-9+/]+={1,2}(?!\S)|\s*[A-Za-z0-9+/]+\s*\Z)?)",
+    re.S,
+)
 #: The base kinds, in the order in which findings at one place are listed; then the further kinds.
 RULES = (
     Rule("assign", 1, re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key"), 2, 6),
     Rule("access", 1, re.compile(r"AKIA[A-Z0-9]+"), (b"akia",), 0, 20),
     Rule("hex", 1, re.compile(r"[0-9a-f]+"), (), 0, 24),
-    Rule("pem", 1, re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), (b"private key-----",)),
+    Rule("pem", 2, PEM, (b"private key-----",)),
     Rule("jwt", 1, re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), (b"eyj",)),
 )
 BASE = ("assign", "access", "hex")
