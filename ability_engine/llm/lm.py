@@ -2,26 +2,33 @@
 
 Tokens are words (A-Z lowered, split at ASCII white space) and one end for each document. Unigrams are smoothed by adding one; word pairs are
 discounted, and what the discount frees is spread over the other words by a backoff weight. In the automaton the root is the state that knows
-nothing; each frequent word is a state, with an arc for each frequent pair that it begins and a failure arc, of its backoff weight, to the
-root. The state after a token is that of its word, so one pass from left to right over a document looks up each arc once and adds up its log10.
+nothing; each word of the training corpus is a state, with an arc for each pair that it begins and a failure arc, of its backoff weight, to the
+root. The state after a token is that of its word. A document's score adds up the log10 of its arcs.
 
-Counts cover the whole training corpus and stay in a table. What the tasks carry is bounded by its definition, at any size of the
-corpus: words of a relative frequency of ``least_word`` or more (1 / least_word at most), and pairs of ``least_pair`` or more. The counts of
-all other words come by a join of a document's own rare words with the table.
+All words and all pairs count, however rare, so the arcs grow with the corpus; the tasks never hold all of them. Frequent words (a share of
+``least_word`` or more) and frequent pairs (``least_pair`` or more) are broadcast only to spare the shuffle and to keep it even. All
+other pairs of the documents meet the pairs of the training corpus in one shuffle, in packed arrays, and each part sums by document what it finds.
+
+With n(s) the count of s, c that of the pair (s, w), t(s) the different words after s and m(s) the sum of their counts, M = tokens + words + 1:
+an arc is (c - D) / n(s), and the failure arc of s is (D t(s) / n(s)) / (1 - (m(s) + t(s)) / M). A document's states are its tokens (the end comes
+first and last), so 1 / n(s) is summed by token, and what is left of a pair that never was is the weight of its word and of ``backoff(s)`` =
+D t(s) M / (M - m(s) - t(s)).
 
 Defined cases: null and empty texts are the end alone. Rows are documents; a repeated doc_id is scored each time. With no training rows all
-words are unknown: N and V are 0. Other columns are ignored.
+words are unknown: N and V are 0. Rare words go by 63-bit hashes. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,15 +57,30 @@ def count_words(docs: DataFrame, flush: int = 300_000) -> DataFrame:
     return map_lists(docs.select("text"), run, COUNT).groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
 
 
+#: Characters of training and scored text for each part of the shuffle, and pairs of a chunk of documents.
+PART, CHUNK = 8_000_000, 800_000
+RARE = 1 << 63
+
+
+class Codes(dict):
+    """Frequent words to their states; other words to hashes of RARE or more."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word) | RARE
+        if len(self) < 300_000 + self.fixed:
+            self[word] = h
+        return h
+
+
 @dataclass
 class Automaton:
-    """``words``: frequent words to states, most frequent first. ``arcs``: sorted keys state * 2**32 + word, with their log10; ``fail``: by state."""
+    """``words``: frequent words to states, most frequent first, the first ``hot`` of them those that may have broadcast arcs. ``arcs``: sorted keys state * 2**32 + word, with the log10 of the discounted count."""
 
     words: dict[bytes, int]
+    hot: int
     counts: np.ndarray
     arcs: np.ndarray
     arc_log: np.ndarray
-    fail: np.ndarray
     tokens: int
     distinct: int
 
@@ -67,24 +89,18 @@ class Automaton:
         """log10 of what all smoothed counts are divided by."""
         return float(np.log10(self.tokens + self.distinct + 1))
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        """States of the words, -1 for words that aren't frequent; after them the end."""
-        get = self.words.get
-        return np.fromiter((get(w, -1) for w in [*words, END]), np.int64, len(words) + 1)
-
-    def traverse(self, ids: np.ndarray) -> tuple[float, float]:
-        """Sums over the frequent tokens of a document of base log10s and, with the failure arcs of all tokens, of the automaton's."""
-        known = ids >= 0
-        unigram = np.where(known, np.log10(self.counts[ids] + 1.0) - self.floor, 0.0) if len(self.counts) else np.zeros(len(ids))
-        # A document starts in the state of the end of the one before.
-        state = np.concatenate(([self.words.get(END, -1)], ids[:-1]))
-        step = np.where(state >= 0, self.fail[state], 0.0) + unigram if len(self.fail) else unigram.copy()
-        if len(self.arcs):
-            key = state << 32 | np.maximum(ids, 0)
-            at = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
-            found = (self.arcs[at] == key) & known & (state >= 0)
-            step[found] = self.arc_log[at[found]]
-        return float(unigram.sum()), float(step.sum())
+    def codes(self) -> Codes:
+        out = Codes(self.words)
+        out.fixed = len(out)
+        return out
+
+    def unigrams(self, n: np.ndarray) -> np.ndarray:
+        return np.log10(n + 1.0) - self.floor
+
+    def backoff(self, t: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """log10 of backoff(s) of states with t > 0 different words after them, whose counts add up to m."""
+        whole = self.tokens + self.distinct + 1
+        return np.log10(DISCOUNT * t) + np.log10(whole) - np.log10(whole - m - t)
 
 
 def count_pairs(docs: DataFrame, states: dict[bytes, int], flush: int = 4_000_000) -> DataFrame:
@@ -116,8 +132,45 @@ def count_pairs(docs: DataFrame, states: dict[bytes, int], flush: int = 4_000_00
     return found.groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def pack(*columns: np.ndarray) -> bytes:
+    """Compressed columns of 8 bytes, byte by byte: equal and zero bytes lie together."""
+    planes = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unpack(data: bytes, columns: int) -> list[np.ndarray]:
+    size = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], size, "zstd"), np.uint8).reshape(columns, 8, size // (8 * columns))
+    return [np.ascontiguousarray(c.T).reshape(-1).view(np.uint64) for c in planes]
+
+
+def mixed(s: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64-bit hash of a pair."""
+    x = (s * np.uint64(0x9E3779B97F4A7C15)) ^ (s >> np.uint64(32))
+    x = (x ^ w) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    x += w * np.uint64(0xC2B2AE3D27D4EB4F)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def at_of(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``wanted`` are in the sorted ``keys``, and whether they are."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def summed_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys and the sums of the values (whole numbers below 2**53) of each."""
+    found, inverse = np.unique(keys, return_inverse=True)
+    return found, *[np.bincount(inverse, v, len(found)) for v in values]
+
+
 def train(docs: DataFrame, least_word: float = 1e-6, least_pair: float = 1e-5) -> tuple[DataFrame, Automaton]:
-    """The table of all counts, and the automaton, from all rows of ``docs``."""
+    """The training texts, and the automaton's broadcast core, from all rows of ``docs``."""
     counts = stash(count_words(docs), "words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("distinct")).first()
     tokens, distinct = total["tokens"], total["distinct"]
@@ -127,43 +180,227 @@ def train(docs: DataFrame, least_word: float = 1e-6, least_pair: float = 1e-5) -
     # Both words of a frequent pair are as frequent as the pair.
     states = {w: k for w, k in words.items() if n[k] >= least_pair * tokens}
     pairs = sorted((r["key"], r["n"]) for r in count_pairs(docs, states).where(F.col("n") >= least_pair * tokens).collect())
-    keys, c = np.array([k for k, _ in pairs], np.int64), np.array([v for _, v in pairs], float)
-    state, word = keys >> 32, keys & 0xFFFFFFFF
-    p = np.maximum(c - DISCOUNT, 0) / n[state] if len(pairs) else c
-    unigram = (n + 1) / (tokens + distinct + 1)
-    used = np.bincount(state, p, len(n))
-    covered = np.bincount(state, unigram[word], len(n)) if len(pairs) else used
-    fail = np.log10(np.maximum(1 - used, 1e-12) / np.maximum(1 - covered, 1e-12))
-    return counts, Automaton(words, n, keys, np.log10(p), fail, tokens, distinct)
-
-
-def score(docs: DataFrame, counts: DataFrame, automaton: Automaton) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``."""
+    keys, c = np.array([k for k, _ in pairs], np.uint64), np.array([v for _, v in pairs], float)
+    return docs.select("text"), Automaton(words, len(states), n, keys, np.log10(c - DISCOUNT), tokens, distinct)
+
+
+#: What goes through the shuffles. TRAIN: state, word, n. ASK: state, word, twice the row of the
+#: chunk and 1 if it is learned. STATE: state, t, m. MISS: state, row of the chunk (both apart for hot states). SUM: row of the chunk, known, base, score. HEAD: a document. Chunks are of documents in a row.
+TRAIN, ASK, STATE, HOT_STATE, MISS, HOT_MISS, SUM, HEAD = range(8)
+
+
+def score(docs: DataFrame, learned: DataFrame | Column, automaton: Automaton) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``.
+
+    ``learned``: the training texts, or which rows of ``docs`` they are, which spares their pairs a second way through the shuffle.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(automaton)  # bounded by least_word and least_pair
-    rare = T.ArrayType(struct_of(("word", T.BinaryType()), ("times", T.LongType())))
-    schema = struct_of(("row", T.LongType()), ("doc_id", docs.schema["doc_id"].dataType), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()), ("rare", rare))
+    kind = docs.schema["doc_id"].dataType
+    packed = struct_of(("what", T.IntegerType()), ("bucket", T.LongType()), ("chunk", T.LongType()), ("data", T.BinaryType()))
+    doc = struct_of(("row", T.LongType()), ("doc_id", kind), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))
+    schema = T.StructType(packed.fields + doc.fields)
+    own = isinstance(learned, Column)
+    size = (docs.select("text") if own else docs.select("text").unionByName(learned)).agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = size // PART + 2
+    buckets = np.uint64(4 * parts)
 
-    def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        model, row = shared.value, TaskContext.get().partitionId() << 40
+    def rows(**columns: list) -> dict[str, list]:
+        n = max(map(len, columns.values()))
+        return {f.name: columns.get(f.name, [None] * n) for f in schema}
+
+    def dealt(what: int, chunk: int | None, bucket: np.ndarray, order: np.ndarray, *columns: np.ndarray) -> dict[str, list]:
+        """Packed rows of the columns by bucket; ``order`` sorts by bucket."""
+        bucket = bucket[order]
+        ends = np.flatnonzero(np.diff(bucket)) + 1 if len(bucket) else np.zeros(0, np.int64)
+        columns = [c[order] for c in columns]
+        spans = [(i, j) for i, j in zip([0, *ends.tolist()], [*ends.tolist(), len(bucket)], strict=True) if j > i]
+        return rows(what=[what] * len(spans), bucket=[int(bucket[i]) for i, _ in spans], chunk=[chunk] * len(spans), data=[pack(*[c[i:j] for c in columns]) for i, j in spans])
+
+    def bucket_of(s: np.ndarray, w: np.ndarray) -> np.ndarray:
+        # All pairs of a rare word lie together, so that its count is known there.
+        return np.where(w >= np.uint64(RARE), (w ^ (w >> np.uint64(31))), mixed(s, w)) % buckets
+
+    def pairs(what: int):
+        def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+            model = shared.value
+            code, limit = model.codes(), np.uint64(RARE)
+            unigram, minus = model.unigrams(model.counts), -np.log10(model.counts)
+            chunk, held, ids, learns, size = TaskContext.get().partitionId() << 32, [], [], [], 0
+
+            def flush() -> Iterator[dict[str, list]]:
+                lengths = [len(x) - 1 for x in held]
+                row = np.repeat(np.arange(len(held), dtype=np.uint64), lengths)
+                s, w = np.concatenate([x[:-1] for x in held]), np.concatenate([x[1:] for x in held])
+                both = (s < limit) & (w < limit)
+                at, hit = at_of(model.arcs, s[both] << np.uint64(32) | w[both])
+                found = np.zeros(len(s), bool)
+                found[both] = hit
+                if what == TRAIN:
+                    s, w = s[~found], w[~found]
+                    _, first, n = np.unique(mixed(s, w), return_index=True, return_counts=True)
+                    s, w = s[first], w[first]
+                    b = bucket_of(s, w)
+                    yield dealt(TRAIN, chunk, b, np.lexsort((w, b)), s, w, n.astype(np.uint64))
+                    return
+                known = w < limit
+                sums = lambda at, values: np.bincount(row[at].astype(np.int64), values, len(held))
+                own = w[known].astype(np.int64)
+                total = sums(known, minus[own])
+                total += sums(found, model.arc_log[at[hit]])
+                yield rows(what=[HEAD] * len(held), bucket=[chunk % int(buckets)] * len(held), chunk=[chunk] * len(held), row=list(range(len(held))), doc_id=ids, n_tokens=lengths, n_known=sums(known, None).tolist(), base_score=sums(known, unigram[own]).tolist(), score=total.tolist())
+                row = row << np.uint64(1) | np.repeat(np.array(learns, np.uint64), lengths)
+                s, w, row = s[~found], w[~found], row[~found]
+                b = bucket_of(s, w)
+                yield dealt(ASK, chunk, b, np.lexsort((w, b)), s, w, row)
+
+            for batch in batches:
+                for k, text in enumerate(batch["text"]):
+                    tokens = [END, *words_of(text), END]
+                    held.append(np.fromiter(map(code.__getitem__, tokens), np.uint64, len(tokens)))
+                    if what == ASK:
+                        ids.append(batch["doc_id"][k])
+                        learns.append(batch["learns"][k])
+                    size += len(tokens)
+                    if size > CHUNK:
+                        yield from flush()
+                        chunk, held, ids, learns, size = chunk + 1, [], [], [], 0
+            if held:
+                yield from flush()
+
+        return run
+
+    def look_up(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        """Count the pairs of a part, and sum by document what its pairs find."""
+        model, limit = shared.value, np.uint64(RARE)
+        learned_, asked = [], []
+        for b in batches:
+            heads = [k for k, what in enumerate(b["what"]) if what == HEAD]
+            if heads:
+                yield {name: [v[k] for k in heads] for name, v in b.items()}
+            for what, chunk, data in zip(b["what"], b["chunk"], b["data"], strict=True):
+                if what == TRAIN:
+                    learned_.append(unpack(data, 3))
+                elif what == ASK:
+                    asked.append((chunk, data))
+                    x, y, row = unpack(data, 3)
+                    mine = row & np.uint64(1) == 1
+                    learned_.append([x[mine], y[mine], np.ones(mine.sum(), np.uint64)])
+        s, w, n = (np.concatenate([x[k] for x in learned_] or [np.zeros(0, np.uint64)]) for k in range(3))
+        learned_.clear()
+        keys, first, inverse = np.unique(mixed(s, w), return_index=True, return_inverse=True)
+        c = np.bincount(inverse, n, len(keys))
+        s, w = s[first], w[first]
+        del inverse, n
+        rare = w >= limit
+        words, times = summed_by(w[rare], c[rare])
+        after = np.empty(len(w))
+        after[~rare] = model.counts[w[~rare].astype(np.int64)]
+        after[rare] = times[np.searchsorted(words, w[rare])]
+        state, t, m = summed_by(s, np.ones(len(s)), after)
+        hot = state < np.uint64(model.hot)
+        for what, mine in ((HOT_STATE, hot), (STATE, ~hot)):
+            b = (state[mine] ^ (state[mine] >> np.uint64(31))) % buckets
+            yield dealt(what, None, b, np.lexsort((state[mine], b)), state[mine], *[v[mine].astype(np.uint64) for v in (t, m)])
+        arc = np.log10(c - DISCOUNT)
+        for chunk, data in asked:
+            s, w, row = unpack(data, 3)
+            row >>= np.uint64(1)
+            rare = w >= limit
+            n = np.zeros(len(w))
+            n[~rare] = model.counts[w[~rare].astype(np.int64)]
+            at, hit = at_of(words, w[rare])
+            n[rare] = np.where(hit, times[at], 0) if len(words) else 0
+            base = model.unigrams(n)
+            at, seen = at_of(keys, mixed(s, w))
+            total = base.copy()
+            total[seen] = arc[at[seen]]
+            own = rare & (n > 0)
+            total[own] -= np.log10(n[own])
+            found, base, known, total = summed_by(row, np.where(rare, base, 0), own, total)
+            yield rows(what=[SUM], bucket=[chunk % int(buckets)], chunk=[chunk], data=[pack(found, known.astype(np.uint64), base, total)])
+            s, row = s[~seen], row[~seen]
+            hot = s < np.uint64(model.hot)
+            if hot.any():
+                yield rows(what=[HOT_MISS], bucket=[chunk % int(buckets)], chunk=[chunk], data=[pack(s[hot], row[hot])])
+            s, row = s[~hot], row[~hot]
+            b = (s ^ (s >> np.uint64(31))) % buckets
+            yield dealt(MISS, chunk, b, np.lexsort((s, b)), s, row)
+
+    def back_off(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        """Sum by document the backoff weights of the states of a part."""
+        model, states, missed = shared.value, [], []
+        for b in batches:
+            for what, chunk, data in zip(b["what"], b["chunk"], b["data"], strict=True):
+                if what == STATE:
+                    states.append(unpack(data, 3))
+                else:
+                    missed.append((chunk, data))
+        s, t, m = (np.concatenate([x[k] for x in states] or [np.zeros(0, np.uint64)]) for k in range(3))
+        state, t, m = summed_by(s, t, m)
+        weight = model.backoff(t, m)
+        by_chunk = defaultdict(list)
+        for chunk, data in missed:
+            by_chunk[chunk].append(unpack(data, 2))
+        for chunk, found in by_chunk.items():
+            s, row = (np.concatenate(x) for x in zip(*found, strict=True))
+            at, hit = at_of(state, s)  # a state that never was has no failure arc
+            row, total = summed_by(row[hit], weight[at[hit]])
+            zero = np.zeros(len(row))
+            yield rows(what=[SUM], bucket=[chunk % int(buckets)], chunk=[chunk], data=[pack(row, zero.astype(np.uint64), zero, total)])
+
+    def hot_states(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        t, m = np.zeros(shared.value.hot), np.zeros(shared.value.hot)
         for b in batches:
-            out: dict[str, list] = {f.name: [] for f in schema}
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                words = words_of(text)
-                ids = model.ids(words)
-                base, total = model.traverse(ids)
-                rest = Counter(w for w, k in zip(words, ids.tolist(), strict=False) if k < 0)
-                for name, value in zip(schema.names, (row, doc_id, len(ids), int((ids >= 0).sum()), base, total, [{"word": w, "times": t} for w, t in rest.items()]), strict=True):
-                    out[name].append(value)
-                row += 1
-            yield out
-
-    own = stash(map_lists(docs.select("doc_id", "text"), run, schema), "scores")
-    floor, sums = automaton.floor, ("n_tokens", "n_known", "base_score", "score")
-    # The end is rare where there are no training rows.
-    head = own.select("row", "doc_id", "n_tokens", "n_known", *[(F.col(c) - (0.0 if END in automaton.words else floor)).alias(c) for c in ("base_score", "score")])
-    tail = own.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times").join(counts, "word", "left")
-    log = F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 1.0) - floor)
-    tail = tail.select("row", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("n_known"), log.alias("base_score"), log.alias("score"))
-    summed = head.unionByName(tail).groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in sums])
-    return summed.select("doc_id", "n_tokens", "n_known", F.lit(automaton.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+            for data in b["data"]:
+                s, x, y = unpack(data, 3)
+                t[s.astype(np.int64)] += x
+                m[s.astype(np.int64)] += y
+        some = np.flatnonzero(t)
+        yield {"state": some.tolist(), "t": t[some].astype(np.int64).tolist(), "m": m[some].astype(np.int64).tolist()}
+
+    dealt_out = map_lists(docs.select("doc_id", "text", F.coalesce(learned if own else F.lit(False), F.lit(False)).alias("learns")), pairs(ASK), schema)
+    if not own:
+        dealt_out = dealt_out.unionByName(map_lists(learned.select("text"), pairs(TRAIN), schema))
+    found = stash(map_lists(dealt_out.repartition(parts, "bucket"), look_up, schema), "pairs")
+    of = struct_of(("state", T.LongType()), ("t", T.LongType()), ("m", T.LongType()))
+    hot = map_lists(found.where(F.col("what") == HOT_STATE), hot_states, of).groupBy("state").agg(F.sum("t").alias("t"), F.sum("m").alias("m")).collect()
+    # The broadcast arcs stayed out of the shuffle.
+    arc_from, arc_to = (automaton.arcs >> np.uint64(32)).astype(np.int64), (automaton.arcs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    t = np.bincount(arc_from, minlength=automaton.hot).astype(float)
+    m = np.bincount(arc_from, automaton.counts[arc_to], automaton.hot)
+    for r in hot:
+        t[r["state"]] += r["t"]
+        m[r["state"]] += r["m"]
+    weight = np.zeros(automaton.hot)
+    weight[t > 0] = automaton.backoff(t[t > 0], m[t > 0])
+    weights = spark.sparkContext.broadcast(weight)  # bounded by least_pair
+
+    def by_document(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        heads, sums = defaultdict(list), defaultdict(list)
+        for b in batches:
+            for what, chunk, data, *head in zip(*[b[n] for n in ("what", "chunk", "data", *doc.names)], strict=True):
+                if what == HEAD:
+                    heads[chunk].append(head)
+                else:
+                    sums[chunk].append((what, data))
+        for chunk, own in heads.items():
+            row, doc_id, n_tokens, known, base, total = zip(*sorted(own, key=lambda h: h[0]), strict=True)
+            known, base, total = np.array(known, float), np.array(base), np.array(total)
+            for what, data in sums.pop(chunk, ()):
+                if what == SUM:
+                    at, k, x, y = unpack(data, 4)
+                    at = at.astype(np.int64)
+                    known[at] += k
+                    base[at] += x.view(float)
+                    total[at] += y.view(float)
+                else:
+                    s, at = (v.astype(np.int64) for v in unpack(data, 2))
+                    total += np.bincount(at, weights.value[s], len(total))
+            yield {"row": row, "doc_id": doc_id, "n_tokens": n_tokens, "n_known": known.astype(np.int64).tolist(), "base_score": base.tolist(), "score": total.tolist()}
+
+    what = F.col("what")
+    rest = map_lists(found.where(what.isin(STATE, MISS)).repartition(parts, "bucket"), back_off, schema)
+    back = found.where(what.isin(SUM, HEAD, HOT_MISS)).unionByName(rest)
+    out = map_lists(back.repartition(parts, "bucket"), by_document, doc)
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(automaton.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -51,8 +51,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), remainder("doc_id", 7) == 2
-    counts, automaton = lm.train(docs.where(~held))
-    scored = lm.score(docs, counts, automaton)
+    _, automaton = lm.train(docs.where(~held))
+    scored = lm.score(docs, ~held, automaton)
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -218,6 +218,37 @@ def test_lm_base(docs):
         assert r.base_score == pytest.approx(sum(log10((counts[x] + 1) / (n + v + 1)) for x in w)) and r.score < 0
 
 
+def test_lm_keeps_every_pair(spark, monkeypatch):
+    """The backoff model of all pairs by brute force, with frequent words and pairs broadcast and with none, in many chunks and parts."""
+    rng = np.random.default_rng(7)
+    made = [(k, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 60) % 400)) for k in range(300)] + [(300, None), (301, "new words"), (302, "w1 new w1")]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    tokens = lambda t: [None, *(t or "").split(), None]
+    learned = [tokens(t) for d, t in made if d % 3]
+    n, pairs = Counter(w for t in learned for w in t[1:]), Counter(p for t in learned for p in zip(t, t[1:]))
+    after = defaultdict(set)
+    for s, w in pairs:
+        after[s].add(w)
+    unigram = lambda w: (n[w] + 1) / (sum(n.values()) + len(n) + 1)
+
+    def step(s, w):
+        if pairs[s, w]:
+            return log10((pairs[s, w] - 0.75) / n[s])
+        back = 0.75 * len(after[s]) / n[s] / (1 - sum(map(unigram, after[s]))) if n[s] else 1
+        return log10(back * unigram(w))
+
+    monkeypatch.setattr(lm, "CHUNK", 700)
+    monkeypatch.setattr(lm, "PART", 20_000)
+    for least_word, least_pair in ((1e-3, 5e-3), (1e-6, 1e-5), (0.01, 1.0), (1.0, 1.0)):
+        learned, automaton = lm.train(docs.where("doc_id % 3 <> 0"), least_word, least_pair)
+        got = lm.score(docs, F.expr("doc_id % 3 <> 0") if least_word < 0.01 else learned, automaton).collect()
+        assert sorted(r.doc_id for r in got) == list(range(303))
+        for r in got:
+            t = tokens(made[r.doc_id][1])
+            assert r.n_known == sum(n[w] > 0 for w in t[1:]) and r.base_score == pytest.approx(sum(log10(unigram(w)) for w in t[1:]))
+            assert r.score == pytest.approx(sum(map(step, t, t[1:])))
+
+
 def test_language(spark):
     made = [(k, ("the quick brown fox and the lazy dog", "der schnelle braune Fuchs und der faule Hund")[k % 2] + " " + "".join(chr(97 + (k * j) % 26) for j in range(4)), ("en", "de")[k % 2]) for k in range(60)]
     made += [(100, None, "en"), (101, "123 !?", None), (102, "", "de")]
