@@ -64,6 +64,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores put after it until it isn't a column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def row_key() -> Column:
+    """128-bit digest of a row's doc_id and text: two rows have one key only if they are the same document. Never null."""
+    doc = F.coalesce(F.concat(F.lit("v"), F.col("doc_id").cast("string"), F.lit("\0")), F.lit("n"))
+    return F.unhex(F.md5(F.concat(doc, F.coalesce(F.concat(F.lit("t"), "text"), F.lit("n"))).cast("binary")))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words of a text with A-Z lowered, split at ASCII white space, as UTF-8. Null: none."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
