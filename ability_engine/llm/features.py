@@ -59,6 +59,12 @@ def features(text: str | None) -> np.ndarray:
     return np.sqrt(x, out=x)
 
 
+def sparse(x: np.ndarray) -> bytes:
+    """The places that aren't zero, then their values, in 16 bits each."""
+    at = np.flatnonzero(x)
+    return at.astype("<u2").tobytes() + x[at].astype("<f2").tobytes()
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, learn: Column | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features, labels and weights of about ``rows`` labelled documents, half of each class as far as there are any.
 
@@ -80,11 +86,14 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, learn: Col
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for b in batches:
-            yield {"doc_id": b["doc_id"], "label": b["label"], "x": [features(t).astype(np.float16).tobytes() for t in b["text"]]}
+            yield {"doc_id": b["doc_id"], "label": b["label"], "x": [sparse(features(t)) for t in b["text"]]}
 
     texts = docs.select("doc_id", "text").join(F.broadcast(picked.select("doc_id", F.col("label").cast("int"))), "doc_id").select("doc_id", "label", "text")
     got = sorted((r["doc_id"], r["label"], r["x"]) for r in map_lists(texts, run, schema).collect())
-    x = np.array([np.frombuffer(r[2], np.float16) for r in got], np.float32).reshape(-1, SIZE)
+    x = np.zeros((len(got), SIZE), np.float32)
+    for k, (_, _, data) in enumerate(got):
+        pairs = np.frombuffer(data, "<u2").reshape(2, -1)
+        x[k, pairs[0]] = pairs[1].view("<f2")
     y = np.array([r[1] for r in got], float)
     return x, y, np.where(y == 1, 1 / share.get(1, 1), 1 / share.get(0, 1))
 
@@ -103,16 +112,14 @@ def descend(gradient, start: np.ndarray, step: float, turns: int) -> np.ndarray:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-4, turns: int = 300) -> tuple[np.ndarray, float]:
-    """Weighted logistic regression with a bias that is not penalised."""
+    """Weighted logistic regression with a bias that is not penalised. ``x`` isn't copied."""
     share = weight / weight.sum()
-    full = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    ridge = np.full(full.shape[1], l2, np.float32)
-    ridge[-1] = 0
 
     def gradient(w: np.ndarray) -> np.ndarray:
-        return full.T @ (share * (sigmoid(full @ w) - y)).astype(np.float32) + ridge * w
+        pull = (share * (sigmoid(x @ w[:-1] + w[-1]) - y)).astype(np.float32)
+        return np.append(x.T @ pull + np.float32(l2) * w[:-1], pull.sum())
 
-    w = descend(gradient, np.zeros(full.shape[1], np.float32), 1.0, turns)
+    w = descend(gradient, np.zeros(x.shape[1] + 1, np.float32), 1.0, turns)
     return w[:-1], float(w[-1])
 
 

@@ -73,11 +73,12 @@ class Model:
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Model | None:
     if len(set(y.tolist())) < 2:
         return None
-    fold, z = np.arange(len(y)) % 2, np.zeros(len(y))
-    for k in (0, 1):
-        if len(set(y[fold != k].tolist())) == 2:
-            w, b = logistic(x[fold != k], y[fold != k], weight[fold != k])
-            z[fold == k] = x[fold == k] @ w + b
+    z = np.zeros(len(y))
+    for k in (0, 1):  # folds are views of every second row, not copies
+        other = slice(1 - k, None, 2)
+        if len(set(y[other].tolist())) == 2:
+            w, b = logistic(x[other], y[other], weight[other])
+            z[k::2] = x[k::2] @ w + b
     w, b = logistic(x, y, weight)
     return Model(w, b, *platt(z, y, weight))
 
