@@ -5,8 +5,12 @@ was scanned with and what they found. A run scans only the (blob, rule version)
 share the blob, and joins findings back to all paths. Copies are merged before the shuffle (a partial aggregate on the digest), so a hot
 text crosses it at most once a map task.
 
-Defined cases: a null text is the empty text, which has no findings. Rows are paths, so a repeated doc_id gets a row each time. Findings are
-code point offsets into the whole text, ends exclusive. Other columns are ignored by ``report`` and kept by ``redact``.
+``update`` keeps a ledger in a folder: a run appends what was due, so the next one scans nothing it has seen. Historical versions of a document are
+rows of their own (``report`` keeps the columns named in ``path``, say doc_id and version); a version that comes back is an old blob.
+
+Defined cases: a null text is the empty text, which has no findings. Rows are paths, so a repeated or null doc_id gets a row each time. Findings
+are code point offsets into the whole text, ends exclusive. Other columns are ignored by ``report`` and kept by ``redact``. ``redact`` replaces the
+whole match, the name of the secret included, and overlapping matches together; an empty ledger leaves all texts as they are.
 """
 
 from __future__ import annotations
@@ -15,11 +19,11 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ability_engine.llm.common import map_lists, struct_of
+from ability_engine.llm.common import exists, map_lists, struct_of, unused
 
 
 @dataclass(frozen=True)
@@ -98,6 +102,18 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     return map_lists(blobs, run, LEDGER)
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def update(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scan what the ledger in the folder ``path`` lacks, append it, and return the ledger. A run that fails leaves the ledger as it was."""
+    spark = docs.sparkSession
+    old = read_ledger(spark, path) if exists(spark, path) else None
+    scan(docs, old, rules).write.mode("append").parquet(path)
+    return read_ledger(spark, path)
+
+
 def _order(findings: Column, rules: tuple[Rule, ...]) -> Column:
     """Sorted by start, then by the order of the rules."""
     rank = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(k))])
@@ -105,14 +121,14 @@ def _order(findings: Column, rules: tuple[Rule, ...]) -> Column:
     return F.array_sort(F.array_distinct(ranked))
 
 
-def report(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` (doc_id, blob) with the findings that the ledger has for the current rule versions."""
+def report(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, path: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The rows of ``docs`` (the ``path`` columns and blob) with the findings that the ledger has for the current rule versions."""
     now = [r.name for r in rules]
     findings = F.filter("findings", lambda f: f["rule"].isin(now))
     hits = ledger.select("blob", findings.alias("findings")).where(F.size("findings") > 0).groupBy("blob").agg(F.flatten(F.collect_list("findings")).alias("findings"))
-    paths = docs.select("doc_id", address().alias("blob"))
+    paths = docs.select(*path, address().alias("blob"))
     none = F.array().cast(T.ArrayType(FINDING))
-    return paths.join(hits, "blob", "left").select("doc_id", "blob", _order(F.coalesce("findings", none), rules).alias("findings"))
+    return paths.join(hits, "blob", "left").select(*path, "blob", _order(F.coalesce("findings", none), rules).alias("findings"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -123,24 +139,35 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *map(count, BASE), F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text("findings").alias("spans"))
 
 
+def redacted(text: str | None, spans: list[tuple[int, int]], mark: str) -> str | None:
+    """The text with each span, or run of overlapping spans, replaced by ``mark``."""
+    if text is None or not spans:
+        return text
+    out, at, upto = [], 0, -1
+    for start, end in sorted(spans):
+        if start >= upto:
+            out += [text[at:start], mark]
+        at = upto = max(upto, end)
+    return "".join([*out, text[at:]])
+
+
 def redact(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with the value of every finding replaced by ``mark``; n_chars follows. Texts without findings stay as they are."""
+    """``docs`` with every finding replaced by ``mark``; n_chars follows. Texts without findings stay as they are."""
+    blob, spans = unused(docs, "_blob", "_spans")
     now = [r.name for r in rules]
-    hits = ledger.select("blob", F.filter("findings", lambda f: f["rule"].isin(now)).alias("_spans")).where(F.size("_spans") > 0)
-    hits = hits.groupBy(F.col("blob").alias("_blob")).agg(F.flatten(F.collect_list("_spans")).alias("_spans"))
-    joined = docs.withColumn("_blob", address()).join(hits, "_blob", "left")
-    # Spans may overlap (a hex run inside an assignment): walk them by start, keeping the text between their ends.
-    ordered = F.array_sort(F.transform("_spans", lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"))))
-    first = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def step(acc: Column, f: Column) -> Column:
-        between = F.substring(F.col("text"), acc["at"].cast("int") + 1, F.greatest(f["start"] - acc["at"], F.lit(0)).cast("int"))
-        out = F.when(f["start"] >= acc["at"], F.concat(acc["out"], between, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(out.alias("out"), F.greatest(acc["at"], f["end"]).alias("at"))
-
-    walked = F.aggregate(ordered, first, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"].cast("int") + 1, F.lit(2**31 - 1))))
-    clean = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(walked)
-    out = joined.withColumn("text", clean)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    pairs = F.transform(F.filter("findings", lambda f: f["rule"].isin(now)), lambda f: F.struct(f["start"], f["end"]))
+    hits = ledger.select(F.col("blob").alias(blob), pairs.alias(spans)).where(F.size(spans) > 0).groupBy(blob).agg(F.flatten(F.collect_list(spans)).alias(spans))
+    joined = docs.withColumn(blob, address()).join(hits, blob, "left").drop(blob)
+    counted = "n_chars" in docs.columns
+
+    def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        for b in batches:
+            found = b.pop(spans)
+            for k, pairs in enumerate(found):
+                if pairs and b["text"][k] is not None:
+                    b["text"][k] = redacted(b["text"][k], [tuple(p.values()) for p in pairs], mark)
+                    if counted:
+                        b["n_chars"][k] = len(b["text"][k])
+            yield b
+
+    return map_lists(joined, run, docs.schema)
