@@ -2,19 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Named entities, with the ampersand last so that nothing is decoded twice.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
-#: Visitors a day from which each tier holds, highest first.
-TIERS = ((100, "frequent"), (30, "busy"), (10, "daily"), (3, "quiet"), (0, "idle"))
+#: Named entities and their signs.
+ENTITIES = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ",
+    "ndash": "–", "mdash": "—", "hellip": "…", "middot": "·",
+    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”",
+    "times": "×", "deg": "°", "laquo": "«", "raquo": "»",
+    "copy": "©", "reg": "®", "trade": "™", "euro": "€", "pound": "£",
+}
+#: Tiers of the cadence, the slowest first: id, visitors a day from which it holds, hours between runs.
+TIERS = (("weekly", 0, 168), ("often", 3, 72), ("daily", 10, 24), ("twice-daily", 30, 12), ("frequent", 100, 6))
+
+
+def _decoded(text: Column, pattern: str, sign: Callable[[Column], Column]) -> Column:
+    """Text with what the pattern's group 1 names replaced by its sign: the text between them, and the signs, are joined again."""
+
+    def one(t: Column) -> Column:
+        signs = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), lambda n: F.coalesce(sign(n), F.lit("")))
+        joined = F.array_join(F.zip_with(F.split(t, pattern), signs, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+        return F.when(t.rlike(pattern), joined).otherwise(t)
+
+    return F.get(F.transform(F.array(text), one), 0)  # the text is evaluated once
+
+
+def _of_code(code: Column, base: int) -> Column:
+    """The sign of a code point, through the four bytes of UTF-32; null where there is none."""
+    n = F.conv(F.when(F.length(code) <= 9, code).otherwise(F.lit("7")), base, 10).cast("long")
+    valid = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF) & (F.length(code) <= 9)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
 
 
 def decode_entities(text: Column) -> Column:
-    for name, sign in ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(sign))
-    return text
+    """Hexadecimal, then decimal, then named entities (in any case). Codes of no sign go, unknown names stay."""
+    signs = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    text = _decoded(text, "&#[xX]([0-9a-fA-F]+);", lambda c: _of_code(c, 16))
+    text = _decoded(text, "&#([0-9]+);", lambda c: _of_code(c, 10))
+    return _decoded(text, f"(?i)&({'|'.join(ENTITIES)});", lambda n: signs[F.lower(n)])
 
 
 def html_to_text(html: Column) -> Column:
@@ -61,12 +89,45 @@ def name_key(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^a-z0-9.]+", "")
 
 
+def release_id(lab: Column, name: Column) -> Column:
+    return F.concat(lab, F.lit("-"), slug(name))
+
+
+def valid_release_id(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"^[a-z0-9]+(-[a-z0-9.]+)+$"), F.lit(False))
+
+
 def number_spellings(value: Column) -> Column:
     """How a number may be written: whole if it is, with one or two decimals, rounded."""
     whole = F.floor(value + 0.5).cast("long").cast("string")
     return F.array(whole, F.format_string("%.1f", value), F.format_string("%.2f", value))
 
 
+def quote_contains_value(quote: Column, value: Column) -> Column:
+    """A spelling of the number, or the number as it is written shortest, occurs in the quote, thousands separators aside."""
+    bare = F.regexp_replace(F.coalesce(quote, F.lit("")), r"(\d),(?=\d)", "$1")
+    spelled = F.concat(number_spellings(value), F.array(F.regexp_replace(value.cast("double").cast("string"), r"\.0$", "")))
+    return F.exists(spelled, lambda s: bare.contains(s))
+
+
+def truncated(text: Column, most: int) -> Column:
+    """The first ``most`` characters, cut at their last space if that is in the last tenth, and marked as cut."""
+    cut = F.substring(text, 1, most)
+    space = most - F.instr(F.reverse(cut), " ")
+    at_space = F.substring(text, F.lit(1), space.cast("int"))
+    whole = F.when((F.instr(cut, " ") > 0) & (space > most * 0.9), at_space).otherwise(cut)
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(whole, F.lit("\n[...truncated]")))
+
+
+def json_content(text: Column) -> Column:
+    """The JSON of an answer: as it is, out of a fenced block, or from the first brace to the last; null if none can be parsed."""
+    trim = lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")
+    bare = trim(F.coalesce(text, F.lit("")))
+    fenced = F.regexp_extract(bare, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    braced = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
+    return F.coalesce(*[F.when(F.try_parse_json(t).isNotNull() & (t != ""), t) for t in (bare, trim(fenced), braced)])
+
+
 def new_items(items: DataFrame, seen: DataFrame, key: list[str]) -> DataFrame:
     """Rows whose key wasn't seen before, each key once (first by pos)."""
     fresh = items.join(seen.select(*key).distinct(), key, "left_anti")
@@ -114,20 +175,26 @@ def mean_visitors(daily: DataFrame, days: int = 7) -> DataFrame:
     return daily.withColumn("mean_visitors", F.round(F.avg("visitors").over(trailing), 2))
 
 
-def tier_for(visitors: Column) -> Column:
-    out = F.lit(TIERS[-1][1])
-    for least, name in reversed(TIERS[:-1]):
-        out = F.when(visitors >= least, name).otherwise(out)
-    return out
-
-
 def tier_level(visitors: Column) -> Column:
+    """Place of the tier that so many visitors a day call for; 0 is the slowest."""
     out = F.lit(0)
-    for k, (least, _) in enumerate(reversed(TIERS)):
+    for k, (_, least, _) in enumerate(TIERS):
         out = F.when(visitors >= least, k).otherwise(out)
     return out
 
 
+def _of_tier(visitors: Column, which: int) -> Column:
+    return F.get(F.array(*[F.lit(t[which]) for t in TIERS]), tier_level(visitors))
+
+
+def tier_for(visitors: Column) -> Column:
+    return _of_tier(visitors, 0)
+
+
+def interval_hours(visitors: Column) -> Column:
+    return _of_tier(visitors, 2)
+
+
 def hysteresis(daily: DataFrame, patience: int = 2) -> DataFrame:
     """day and level: up at once, down only after ``patience`` closed days in a row below. daily: day, target; a row for each day."""
     rows = daily.agg(F.array_sort(F.collect_list(F.struct("day", "target"))).alias("rows"))

@@ -18,9 +18,9 @@ def traffic_daily_unique(spark, sf_dir):
     return ingest.daily_visitors(a.visits(spark, sf_dir))
 
 
-@query("traffic_mean_tier", o.sql("SELECT day, visitors, mean_visitors, CASE WHEN mean_visitors >= 100 THEN 'frequent' WHEN mean_visitors >= 30 THEN 'busy' WHEN mean_visitors >= 10 THEN 'daily' WHEN mean_visitors >= 3 THEN 'quiet' ELSE 'idle' END AS tier FROM means", _DAILY, _MEAN))
+@query("traffic_mean_tier", o.sql("SELECT day, visitors, mean_visitors, CASE WHEN mean_visitors >= 100 THEN 'frequent' WHEN mean_visitors >= 30 THEN 'twice-daily' WHEN mean_visitors >= 10 THEN 'daily' WHEN mean_visitors >= 3 THEN 'often' ELSE 'weekly' END AS tier, CASE WHEN mean_visitors >= 100 THEN 6 WHEN mean_visitors >= 30 THEN 12 WHEN mean_visitors >= 10 THEN 24 WHEN mean_visitors >= 3 THEN 72 ELSE 168 END AS hours FROM means", _DAILY, _MEAN))
 def traffic_mean_tier(spark, sf_dir):
-    return ingest.mean_visitors(ingest.daily_visitors(a.visits(spark, sf_dir))).withColumn("tier", ingest.tier_for(F.col("mean_visitors")))
+    return ingest.mean_visitors(ingest.daily_visitors(a.visits(spark, sf_dir))).withColumns({"tier": ingest.tier_for(F.col("mean_visitors")), "hours": ingest.interval_hours(F.col("mean_visitors"))})
 
 
 _LEVELS = {
