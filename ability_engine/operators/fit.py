@@ -1,16 +1,16 @@
 """Weighted ridge Rasch fit of abilities (by release) and difficulties (by benchmark), as of any number of dates at once.
 
 The alternating least squares fixed point is linear in the difficulties: with W = sum of weights of a release plus the ridge and V = that of a
-benchmark, ``(I - A) delta + c = d`` under ``mean(delta over the anchors) = 0``, where ``A[b, b'] = sum_m w_b w_b' / W_m / V_b``. Spark sums A
-and d (one self-join of observations on the release, which has one row for each benchmark); what is solved is one system of the basket's
-size for each date. Everything else is aggregates and joins, so the fit grows with releases in executors, not in the driver.
+benchmark, ``(I - A) delta + c = d`` under ``mean(delta over the anchors) = 0``, where ``A[b, b'] = sum_m w_b w_b' / W_m / V_b``. Spark gathers each
+release's row of at most the basket's size, pairs it within the row and sums A and d; what is solved is one system of the basket's size for
+each date. So there is one shuffle of the observations, and sums before all others: the fit grows with releases in executors, not in the driver.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ability_engine.functions.scalar import index_of, logit, probability_of, rating_of
@@ -29,55 +29,61 @@ def config_tokens(text: Column) -> Column:
 
 def select_scores(scores: DataFrame, benches: DataFrame) -> DataFrame:
     """One score of each release and index benchmark: official first, then a matching configuration, then list order."""
-    dim = benches.where("in_index").select("benchmark", "basket_pos", "weight", "legacy", "preferred_config")
+    scale = [c for c in ("unit", "elo_reference") if c in benches.columns]
+    dim = benches.where("in_index").select("benchmark", "basket_pos", "weight", "legacy", "preferred_config", *scale)
     matched = F.arrays_overlap(config_tokens(F.col("config")), config_tokens(F.col("preferred_config")))
     rank = F.when(F.col("reported_by") == "official", 0).otherwise(2) + F.when(matched, 0).otherwise(1)
     best = F.min(F.struct(rank.alias("rank"), "score_pos", "value", "config", "reported_by")).alias("best")
-    picked = scores.join(dim, "benchmark").groupBy("release_id", "benchmark").agg(best, *[F.first(c).alias(c) for c in ("basket_pos", "weight", "legacy")])
-    return picked.select("release_id", "benchmark", "basket_pos", F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0).alias("weight"), "legacy", "best.value", "best.config", "best.reported_by")
+    picked = scores.join(dim, "benchmark").groupBy("release_id", "benchmark").agg(best, *[F.first(c).alias(c) for c in ("basket_pos", "weight", "legacy", *scale)])
+    return picked.select("release_id", "benchmark", "basket_pos", F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0).alias("weight"), "legacy", "best.value", "best.config", "best.reported_by", *scale)
 
 
 def observations(scores: DataFrame, releases: DataFrame, benches: DataFrame, asof: DataFrame) -> DataFrame:
     """asof, release_id, benchmark, y (logit), w and legacy of what is released by each date of ``asof`` (asof)."""
     out = releases.where(F.col("status") == "released").select("release_id", "lab", "date", F.coalesce("tier", F.lit("flagship")).alias("tier"))
-    picked = select_scores(scores, benches).withColumn("y", logit(probability_of("value")))
-    known = picked.join(out, "release_id").join(F.broadcast(asof), F.col("date") <= F.col("asof"))  # asof: a grid of dates
+    picked = select_scores(scores, benches)
+    elo = ("unit", "elo_reference") if "unit" in picked.columns else ()
+    known = picked.withColumn("y", logit(probability_of("value", *elo))).join(out, "release_id").join(asof, F.col("date") <= F.col("asof"))
     return known.select("asof", "release_id", "lab", "date", "tier", "benchmark", "basket_pos", "value", "reported_by", "legacy", "y", F.col("weight").alias("w"))
 
 
 def difficulties(obs: DataFrame, ridge: float = 0.05) -> DataFrame:
     """asof, benchmark, delta and shift (c) of every observed benchmark."""
-    own = obs.groupBy("asof", "release_id").agg((F.sum("w") + ridge).alias("total"), (F.sum(F.col("w") * F.col("y")) / (F.sum("w") + ridge)).alias("mean"))
-    rows = obs.select("asof", "release_id", "benchmark", "legacy", "w", "y").join(own, ["asof", "release_id"])
-    other = obs.select("asof", "release_id", F.col("benchmark").alias("other"), F.col("w").alias("w_other"))
-    cross = rows.join(other, ["asof", "release_id"]).groupBy("asof", "benchmark", "other").agg(F.sum(F.col("w") * F.col("w_other") / F.col("total")).alias("a"))
-    single = rows.groupBy("asof", "benchmark").agg((F.sum("w") + ridge).alias("v"), F.sum(F.col("w") * (F.col("mean") - F.col("y"))).alias("d"), F.first("legacy").alias("legacy"))
+    row = obs.groupBy("asof", "release_id").agg(F.collect_list(F.struct("benchmark", "legacy", "w", "y")).alias("row"))  # at most the basket's size
+    total = F.aggregate("row", F.lit(ridge), lambda acc, o: acc + o["w"])
+    mean = F.aggregate("row", F.lit(0.0), lambda acc, o: acc + o["w"] * o["y"]) / total
+    one = row.select("asof", "row", total.alias("total"), mean.alias("mean")).select("asof", "row", "total", "mean", F.explode("row").alias("o"))
+    pairs = one.select("asof", "total", "mean", "o", F.explode("row").alias("p"))
+    same = F.col("o.benchmark") == F.col("p.benchmark")
+    system = pairs.groupBy("asof", F.col("o.benchmark").alias("benchmark"), F.col("p.benchmark").alias("other")).agg(
+        F.sum(F.col("o.w") * F.col("p.w") / F.col("total")).alias("a"), F.sum(F.when(same, F.col("o.w"))).alias("w"), F.sum(F.when(same, F.col("o.w") * (F.col("mean") - F.col("o.y")))).alias("d"), F.first("o.legacy").alias("legacy")
+    )
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         names = sorted(part["benchmark"].unique())
         at = {b: k for k, b in enumerate(names)}
         n = len(names)
         system, right, anchor = np.zeros((n + 1, n + 1)), np.zeros(n + 1), np.zeros(n, bool)
-        for b, o, a, v, d, legacy in part[["benchmark", "other", "a", "v", "d", "legacy"]].itertuples(index=False):
-            system[at[b], at[o]] -= a / v
-            right[at[b]] = d / v
-            anchor[at[b]] = not legacy
+        own = part[part["benchmark"] == part["other"]].set_index("benchmark")
+        v = own["w"] + ridge
+        for b, o, a in part[["benchmark", "other", "a"]].itertuples(index=False):
+            system[at[b], at[o]] -= a / v[b]
+        for b in names:
+            right[at[b]], anchor[at[b]] = own["d"][b] / v[b], not own["legacy"][b]
         system[range(n), range(n)] += 1
         system[:n, n] = 1
         system[n, :n] = anchor / anchor.sum() if anchor.any() else 1 / n
         found = np.linalg.lstsq(system, right, rcond=None)[0]
         return pd.DataFrame({"asof": [part["asof"].iloc[0]] * n, "benchmark": names, "delta": found[:n], "shift": [found[n]] * n})
 
-    system = cross.join(single, ["asof", "benchmark"]).select("asof", "benchmark", "other", "a", "v", "d", "legacy")
     return system.groupBy("asof").applyInPandas(solve, "asof date, benchmark string, delta double, shift double")
 
 
 def residuals(obs: DataFrame, deltas: DataFrame, ridge: float = 0.05) -> DataFrame:
     """The observations with theta, the predicted percentage and the residual in logits."""
     both = obs.join(deltas, ["asof", "benchmark"])
-    w = F.col("w")
-    theta = both.groupBy("asof", "release_id").agg((F.sum(w * (F.col("y") + F.col("delta"))) / (F.sum(w) + ridge) - F.first("shift")).alias("theta"))
-    out = both.join(theta, ["asof", "release_id"])
+    w, release = F.col("w"), Window.partitionBy("asof", "release_id")  # at most the basket's size
+    out = both.withColumn("theta", F.sum(w * (F.col("y") + F.col("delta"))).over(release) / (F.sum(w).over(release) + ridge) - F.col("shift"))
     margin = F.col("theta") - F.col("delta")
     return out.withColumn("predicted", index_of(margin)).withColumn("residual", F.col("y") - margin)
 
@@ -92,20 +98,24 @@ def sigma(rows: DataFrame) -> DataFrame:
 
 
 def models(rows: DataFrame, basket_size: Column) -> DataFrame:
-    """A row for each asof and fitted release: theta, index, rating, standard error, band, evidence and whether it is qualified."""
-    one = rows.groupBy("asof", "release_id", "lab", "date", "tier").agg(F.first("theta").alias("theta"), F.count("*").alias("n"))
-    both = one.join(F.broadcast(sigma(rows)), "asof")  # one row for each date
+    """``basket_size``: an aggregate of ``rows``. A row for each asof and fitted release: theta, index, rating, standard error, band, evidence and whether it is qualified."""
+    one = rows.groupBy("asof", "release_id", "lab", "date", "tier").agg(F.first("theta").alias("theta"), F.count("*").alias("n"), basket_size.alias("_basket"))
+    both = one.join(sigma(rows), "asof")
     se, theta = F.col("se"), F.col("theta")
     return both.withColumn("se", F.col("sigma") / F.sqrt("n")).select(
         "asof", "release_id", "lab", "date", "tier", "theta", index_of(theta).alias("index"), rating_of(theta).alias("rating"), "se",
-        index_of(theta - se).alias("index_low"), index_of(theta + se).alias("index_high"), "n", (F.col("n") / basket_size).alias("coverage"), (F.col("n") >= MIN_QUALIFIED).alias("qualified"), "sigma",
+        index_of(theta - se).alias("index_low"), index_of(theta + se).alias("index_high"), "n", (F.col("n") / F.col("_basket")).alias("coverage"), (F.col("n") >= MIN_QUALIFIED).alias("qualified"), "sigma",
     )
 
 
+def fit_observed(obs: DataFrame, benches: DataFrame, ridge: float = 0.05) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(models, difficulties, residual rows) of observations. Nothing is cached: persist ``obs`` where more than one of them is used."""
+    deltas = difficulties(obs, ridge)
+    rows = residuals(obs, deltas, ridge)
+    size = benches.where("in_index").agg(F.count("*").cast("double").alias("_size"))
+    return models(rows.crossJoin(F.broadcast(size)), F.first("_size")).drop("_size"), deltas, rows  # one row
+
+
 def fit(scores: DataFrame, releases: DataFrame, benches: DataFrame, asof: DataFrame, ridge: float = 0.05) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(models, difficulties, residual rows) as of every date of ``asof``."""
-    obs = observations(scores, releases, benches, asof).cache()
-    deltas = difficulties(obs, ridge).cache()
-    rows = residuals(obs, deltas, ridge).cache()
-    size = benches.where("in_index").count()  # of the basket: a small dimension
-    return models(rows, F.lit(float(size))), deltas, rows
+    return fit_observed(observations(scores, releases, benches, asof), benches, ridge)

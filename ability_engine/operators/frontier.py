@@ -36,22 +36,23 @@ def stripes(knots: DataFrame) -> DataFrame:
 
 
 def step_regression(knots: DataFrame, grid: DataFrame, value: str, window: int = 365) -> DataFrame:
-    """Least squares of the daily sampled step function over the ``window`` days up to each date of ``grid`` (at).
+    """Least squares, by asof, of the daily sampled step function over the ``window`` days up to each date of ``grid`` (at; with asof: those of each asof).
 
     steps: knots within the window; dates: days with a knot; n: days sampled; x is the day minus start_day. Dates with fewer than two samples are left out.
     """
-    by_day = knots.groupBy(F.unix_date("date").alias("day")).agg(F.max(value).alias("y"), F.count("*").alias("knots"))
-    in_order = Window.orderBy("day")  # one row for each day with a knot
-    spans = by_day.withColumn("last", F.coalesce(F.lead("day").over(in_order) - 1, F.lit(2**30))).withColumn("first", F.min("day").over(Window.partitionBy()))
-    ends = grid.select("at", F.unix_date("at").alias("stop"))
-    both = ends.join(F.broadcast(spans), (F.col("day") <= F.col("stop")) & (F.col("last") >= F.col("stop") - window))  # knots: days at most
+    by_day = knots.groupBy("asof", F.unix_date("date").alias("day")).agg(F.max(value).alias("y"), F.count("*").alias("knots"))
+    of = Window.partitionBy("asof")
+    spans = by_day.withColumn("last", F.coalesce(F.lead("day").over(of.orderBy("day")) - 1, F.lit(2**30))).withColumn("first", F.min("day").over(of))  # days with a knot
+    ends = grid.select(*[c for c in ("asof",) if c in grid.columns], "at", F.unix_date("at").alias("stop"))
+    within = (F.col("day") <= F.col("stop")) & (F.col("last") >= F.col("stop") - window)
+    both = spans.join(ends, "asof").where(within) if "asof" in grid.columns else spans.join(ends, within)
     start = F.greatest(F.col("stop") - window, F.col("first"))
     cut = both.withColumn("start_day", start).withColumn("a", F.greatest("day", "start_day") - F.col("start_day")).withColumn("b", F.least("last", "stop") - F.col("start_day"))
     a, b, y = F.col("a").cast("double"), F.col("b").cast("double"), F.col("y")
     squares = lambda t: t * (t + 1) * (2 * t + 1) / 6
     n, sx, sxx = b - a + 1, (a + b) * (b - a + 1) / 2, squares(b) - squares(a - 1)
     inside = F.col("day") >= F.col("stop") - window
-    sums = cut.groupBy("at", "stop", "start_day").agg(
+    sums = cut.groupBy("asof", "at", "stop", "start_day").agg(
         F.sum(F.when(inside, F.col("knots")).otherwise(0)).alias("steps"), F.count_if(inside).alias("dates"), F.sum(n).alias("n"),
         F.sum(sx).alias("sx"), F.sum(sxx).alias("sxx"), F.sum(y * n).alias("sy"), F.sum(y * sx).alias("sxy"), F.sum(y * y * n).alias("syy"),
     )
@@ -59,37 +60,38 @@ def step_regression(knots: DataFrame, grid: DataFrame, value: str, window: int =
     centred = sums.where("n >= 2").withColumns({"cxx": c("sxx") - c("sx") ** 2 / c("n"), "cxy": c("sxy") - c("sx") * c("sy") / c("n"), "cyy": c("syy") - c("sy") ** 2 / c("n")})
     slope = c("cxy") / c("cxx")
     sse = F.greatest(F.lit(0.0), c("cyy") - c("cxy") ** 2 / c("cxx"))
-    return centred.where("cxx > 0").select("at", "stop", "start_day", "steps", "dates", c("n").cast("long").alias("n"), slope.alias("slope"), (c("sy") / c("n") - slope * c("sx") / c("n") - slope * c("start_day")).alias("intercept"), sse.alias("sse"), "cxx")
+    return centred.where("cxx > 0").select("asof", "at", "stop", "start_day", "steps", "dates", c("n").cast("long").alias("n"), slope.alias("slope"), (c("sy") / c("n") - slope * c("sx") / c("n") - slope * c("start_day")).alias("intercept"), sse.alias("sse"), "cxx")
 
 
 def pace(knots: DataFrame, grid: DataFrame, window: int = 365) -> DataFrame:
     """at, logits_per_year, doubling_days and steps, where two knots or more fall in the window."""
     found = step_regression(knots, grid, "theta", window).where("steps >= 2")
-    return found.select("at", (F.col("slope") * 365).alias("logits_per_year"), F.when(F.col("slope") > 0, math.log(2) / F.col("slope")).alias("doubling_days"), "steps")
+    return found.select("asof", "at", (F.col("slope") * 365).alias("logits_per_year"), F.when(F.col("slope") > 0, math.log(2) / F.col("slope")).alias("doubling_days"), "steps")
 
 
 def velocity(knots: DataFrame, grid: DataFrame, window: int = 365) -> DataFrame:
     """at and percentage points per 30 days, where knots of two days or more fall in the window."""
-    return step_regression(knots, grid, "index", window).where("dates >= 2").select("at", (F.col("slope") * 30).alias("per_month"))
+    return step_regression(knots, grid, "index", window).where("dates >= 2").select("asof", "at", (F.col("slope") * 30).alias("per_month"))
 
 
 def trend(knots: DataFrame, grid: DataFrame, window: int = 365) -> DataFrame:
     found = step_regression(knots, grid, "theta", window).where("steps >= 2")
     sigma = F.sqrt(F.try_divide(F.col("sse"), F.col("n") - 2))
-    return found.select("at", "stop", "slope", "intercept", sigma.alias("sigma"), (sigma / F.sqrt("cxx")).alias("slope_se"), "n")
+    return found.select("asof", "at", "stop", "slope", "intercept", sigma.alias("sigma"), (sigma / F.sqrt("cxx")).alias("slope_se"), "n")
 
 
 def gains(knots: DataFrame, to: Column, months: int = 3) -> DataFrame:
-    """start, end, gain in logits and steps of each calendar period from the first knot's on."""
-    first = knots.agg(F.min("date").alias("first"), F.min_by("theta", F.struct("date", "release_id")).alias("theta_0"))
+    """By asof: start, end, gain in logits and steps of each calendar period from the first knot's on."""
+    first = knots.groupBy("asof").agg(F.min("date").alias("first"), F.min_by("theta", F.struct("date", "release_id")).alias("theta_0"))
     year = F.trunc("first", "year")
     start = F.add_months(year, (F.floor((F.month("first") - 1) / months) * months).cast("int"))
-    periods = first.where(F.col("first") <= to).select("theta_0", F.explode(F.sequence(start, to, F.expr(f"interval {months} months"))).alias("start"))
+    periods = first.where(F.col("first") <= to).select("asof", "theta_0", F.explode(F.sequence(start, to, F.expr(f"interval {months} months"))).alias("start"))
     periods = periods.withColumn("end", F.add_months("start", months))
-    both = periods.join(knots.select("date", "theta"), F.col("date") < F.col("end"), "left")
-    sums = both.groupBy("start", "end", "theta_0").agg(F.max("theta").alias("top"), F.count_if(F.col("date") >= F.col("start")).alias("steps"))
-    before = F.coalesce(F.lag("top").over(Window.orderBy("start")), F.col("theta_0"))  # one row for each period
-    return sums.select("start", "end", F.greatest(F.lit(0.0), F.col("top") - before).alias("gain"), "steps")
+    dated = knots.select("asof", "date", "theta")
+    both = periods.join(dated, (periods["asof"] == dated["asof"]) & (F.col("date") < F.col("end")), "left").drop(dated["asof"])
+    sums = both.groupBy("asof", "start", "end", "theta_0").agg(F.max("theta").alias("top"), F.count_if(F.col("date") >= F.col("start")).alias("steps"))
+    before = F.coalesce(F.lag("top").over(Window.partitionBy("asof").orderBy("start")), F.col("theta_0"))  # one row for each period
+    return sums.select("asof", "start", "end", F.greatest(F.lit(0.0), F.col("top") - before).alias("gain"), "steps")
 
 
 def fan(knots: DataFrame, asof: Column, to: Column, step: int = 7, window: int = 365) -> DataFrame:
@@ -103,13 +105,14 @@ def fan(knots: DataFrame, asof: Column, to: Column, step: int = 7, window: int =
 
 
 def levels(deltas: DataFrame, benches: DataFrame) -> DataFrame:
-    """Abilities that mean something: human baselines, saturated benchmarks, generations and the ceiling of the current basket."""
+    """Abilities that mean something, by asof: human baselines, saturated percentage benchmarks, generations and the ceiling of the current basket."""
     known = deltas.join(benches.where("in_index"), "benchmark")
-    human = known.where("human_baseline > 0 and human_baseline < 100").select(F.concat(F.lit("human:"), "benchmark").alias("level"), F.lit("human").alias("kind"), (F.col("delta") + logit(F.col("human_baseline") / 100)).alias("theta"))
-    full = known.withColumn("theta", F.col("delta") + math.log(SATURATION / (1 - SATURATION)))
-    saturated = full.select(F.concat(F.lit("sat:"), "benchmark").alias("level"), F.lit("saturation").alias("kind"), "theta")
-    generation = full.groupBy("generation").agg(F.avg("theta").alias("theta")).select(F.concat(F.lit("gen:"), F.col("generation").cast("string")).alias("level"), F.lit("generation").alias("kind"), "theta")
-    ceiling = full.where(~F.col("legacy")).agg(F.max("theta").alias("theta")).where("theta is not null").select(F.lit("ceiling").alias("level"), F.lit("ceiling").alias("kind"), "theta")
+    human = known.where("human_baseline > 0 and human_baseline < 100").select("asof", F.concat(F.lit("human:"), "benchmark").alias("level"), F.lit("human").alias("kind"), (F.col("delta") + logit(F.col("human_baseline") / 100)).alias("theta"))
+    percent = known.where("unit = '%'") if "unit" in benches.columns else known  # an Elo scale has no full mark
+    full = percent.withColumn("theta", F.col("delta") + math.log(SATURATION / (1 - SATURATION)))
+    saturated = full.select("asof", F.concat(F.lit("sat:"), "benchmark").alias("level"), F.lit("saturation").alias("kind"), "theta")
+    generation = full.groupBy("asof", "generation").agg(F.avg("theta").alias("theta")).select("asof", F.concat(F.lit("gen:"), F.col("generation").cast("string")).alias("level"), F.lit("generation").alias("kind"), "theta")
+    ceiling = full.where(~F.col("legacy")).groupBy("asof").agg(F.max("theta").alias("theta")).select("asof", F.lit("ceiling").alias("level"), F.lit("ceiling").alias("kind"), "theta")
     return human.unionByName(saturated).unionByName(generation).unionByName(ceiling).withColumn("rating", rating_of("theta"))
 
 
@@ -123,16 +126,17 @@ def speculative(ceiling: DataFrame) -> DataFrame:
 
 def crossings(knots: DataFrame, levels_: DataFrame, asof: Column, window: int = 365, years: int = 15) -> DataFrame:
     """When the frontier passed each level, or is expected to, with quantiles of the day."""
-    real = levels_.where("kind <> 'speculative'").select("level", F.col("theta").alias("height"))
-    passed = real.join(knots, F.col("theta") >= F.col("height")).groupBy("level").agg(F.min(F.struct("date", "release_id")).alias("first"))
+    real = levels_.where("kind <> 'speculative'").select("asof", "level", F.col("theta").alias("height"))
+    line = knots.select(F.col("asof").alias("_asof"), "date", "release_id", "theta")
+    passed = real.join(line, (F.col("asof") == F.col("_asof")) & (F.col("theta") >= F.col("height"))).groupBy("asof", "level").agg(F.min(F.struct("date", "release_id")).alias("first"))
     one = trend(knots, knots.sparkSession.range(1).select(asof.alias("at")), window).where("slope > 0")
-    rest = real.join(passed, "level", "left_anti").join(F.broadcast(one))  # one row
+    rest = real.join(passed, ["asof", "level"], "left_anti").join(one, "asof")
     gap = (F.col("height") - F.col("intercept") - F.col("slope") * F.col("stop")) / F.col("slope")
     sd = F.sqrt((gap / F.col("slope")) ** 2 * F.col("slope_se") ** 2 + (F.col("sigma") / F.col("slope")) ** 2)
     day = lambda z: F.floor(F.greatest(F.col("stop") + gap + z * sd, F.col("stop").cast("double")) + 0.5).cast("int")
-    ahead = rest.where((gap > 0) & (gap <= years * 365)).select("level", F.lit("predicted").alias("kind"), F.date_from_unix_date(day(0.0)).alias("date"), F.lit(None).cast("string").alias("release_id"), *[F.date_from_unix_date(day(z)).alias(q) for q, z in (("p05", -Z05), ("p16", -1.0), ("p84", 1.0), ("p95", Z05))])
+    ahead = rest.where((gap > 0) & (gap <= years * 365)).select("asof", "level", F.lit("predicted").alias("kind"), F.date_from_unix_date(day(0.0)).alias("date"), F.lit(None).cast("string").alias("release_id"), *[F.date_from_unix_date(day(z)).alias(q) for q, z in (("p05", -Z05), ("p16", -1.0), ("p84", 1.0), ("p95", Z05))])
     none = F.lit(None).cast("date")
-    return passed.select("level", F.lit("past").alias("kind"), "first.date", "first.release_id", *[none.alias(q) for q in ("p05", "p16", "p84", "p95")]).unionByName(ahead)
+    return passed.select("asof", "level", F.lit("past").alias("kind"), "first.date", "first.release_id", *[none.alias(q) for q in ("p05", "p16", "p84", "p95")]).unionByName(ahead)
 
 
 def regime(pace_: Column) -> Column:
@@ -140,17 +144,17 @@ def regime(pace_: Column) -> Column:
 
 
 def month_grid(knots: DataFrame, asof: Column, window: int = 365) -> DataFrame:
-    """at: month starts from ``window`` days after the first knot up to ``asof``."""
-    first = knots.agg(F.min("date").alias("first")).where("first is not null")
-    months = first.select("first", F.explode(F.sequence(F.add_months(F.trunc("first", "month"), 1), F.greatest(asof, F.add_months(F.trunc("first", "month"), 1)), F.expr("interval 1 month"))).alias("at"))
-    return months.where((F.datediff("at", "first") >= window) & (F.col("at") <= asof)).select("at")
+    """By asof, at: month starts from ``window`` days after the first knot up to ``asof``."""
+    first = knots.groupBy("asof").agg(F.min("date").alias("first"))
+    months = first.select("asof", "first", F.explode(F.sequence(F.add_months(F.trunc("first", "month"), 1), F.greatest(asof, F.add_months(F.trunc("first", "month"), 1)), F.expr("interval 1 month"))).alias("at"))
+    return months.where((F.datediff("at", "first") >= window) & (F.col("at") <= asof)).select("asof", "at")
 
 
 def eras(knots: DataFrame, asof: Column, window: int = 365) -> DataFrame:
-    """Runs of months of one regime: start, end (null for the last), regime, mean and greatest pace."""
-    in_order = Window.orderBy("at")  # one row for each month
+    """By asof: runs of months of one regime: start, end (null for the last), regime, mean and greatest pace."""
+    in_order = Window.partitionBy("asof").orderBy("at")  # one row for each month
     paced = pace(knots, month_grid(knots, asof, window), window).withColumn("regime", regime(F.col("logits_per_year")))
     paced = paced.withColumn("run", F.sum(F.when(F.lag("regime").over(in_order) == F.col("regime"), 0).otherwise(1)).over(in_order))
-    paced = paced.withColumn("all", F.count("*").over(Window.partitionBy())).where("all >= 2")
-    runs = paced.groupBy("run", "regime").agg(F.min("at").alias("start"), F.avg("logits_per_year").alias("mean_pace"), F.max("logits_per_year").alias("max_pace"), F.count("*").alias("months"))
-    return runs.select("start", F.lead("start").over(Window.orderBy("start")).alias("end"), "regime", "mean_pace", "max_pace", "months")
+    paced = paced.withColumn("all", F.count("*").over(Window.partitionBy("asof"))).where("all >= 2")
+    runs = paced.groupBy("asof", "run", "regime").agg(F.min("at").alias("start"), F.avg("logits_per_year").alias("mean_pace"), F.max("logits_per_year").alias("max_pace"), F.count("*").alias("months"))
+    return runs.select("asof", "start", F.lead("start").over(Window.partitionBy("asof").orderBy("start")).alias("end"), "regime", "mean_pace", "max_pace", "months")

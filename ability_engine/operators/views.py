@@ -15,11 +15,20 @@ FAR = "9999-12-31"
 
 
 def bundle_releases(releases: DataFrame, labs: DataFrame) -> DataFrame:
-    """Releases with their place in the bundle: date, then the order of labs (lab, lab_pos), then id. One pass by range, then a count before each range."""
+    """Releases in the order of the bundle: date, then that of labs (lab, lab_pos), then id; sorted by ranges."""
     ordered = releases.join(labs.select("lab", "lab_pos"), "lab", "left")
     return ordered.orderBy("date", F.coalesce("lab_pos", F.lit(0)), "release_id")
 
 
+def with_place(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """Adds the place of each row in a total order: a sort by ranges, then the rows of the ranges before are added, one number for each range."""
+    numbered = rows.orderBy(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_in")).persist()
+    sizes = numbered.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_in").alias("_from"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = sizes.select("_part", "_from", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return numbered.join(F.broadcast(starts), "_part").select(*rows.columns, (F.col("_in") - F.col("_from") + F.col("_before") + 1).alias("place"))
+
+
 def recent_changes(changes: DataFrame, most: int = 100) -> DataFrame:
     return changes.orderBy(F.desc("at"), "release_id", "kind").limit(most)
 
@@ -47,8 +56,9 @@ def best_provisional(models: DataFrame) -> DataFrame:
 
 def next_up(predictions: DataFrame) -> DataFrame:
     """By asof: the soonest first release (lab, p50) that isn't past; labs in order where equal. predictions: asof, lab, k, p50."""
-    ahead = predictions.where((F.col("k") == 1) & (F.col("p50") >= F.col("asof")))
-    return ahead.groupBy("asof").agg(F.min(F.struct("p50", "lab")).alias("n")).select("asof", "n.lab", "n.p50")
+    # A condition in the aggregate: as a filter it would be pushed into the forecast, whose expressions then multiply.
+    ahead = F.when((F.col("k") == 1) & (F.col("p50") >= F.col("asof")), F.struct("p50", "lab"))
+    return predictions.groupBy("asof").agg(F.min(ahead).alias("n")).where("n is not null").select("asof", "n.lab", "n.p50")
 
 
 def headline(knots: DataFrame, paces: DataFrame, coming: DataFrame, provisional: DataFrame) -> DataFrame:

@@ -33,7 +33,9 @@ def dates(spark: SparkSession, *days: str) -> DataFrame:
 
 
 def fitted(spark: SparkSession, sf_dir: str, *days: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return fit.fit(a.scores(spark, sf_dir), a.releases(spark, sf_dir), a.benches(spark, sf_dir), dates(spark, *(days or ("2025-02-01",))))
+    benches = a.benches(spark, sf_dir)
+    obs = fit.observations(a.scores(spark, sf_dir), a.releases(spark, sf_dir), benches, dates(spark, *(days or ("2025-02-01",)))).persist()
+    return fit.fit_observed(obs, benches)
 
 
 def knots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,19 +86,19 @@ _PACE = {"paced": "SELECT o.at, slope * 365 AS logits_per_year, CASE WHEN slope
 @query("frontier_pace", o.sql(f"SELECT at, {o.r6('logits_per_year')} AS logits_per_year, {o.r6('doubling_days')} AS doubling_days, steps FROM paced", o.fit(), o.GRID, o.DAILY, _PACE))
 def frontier_pace(spark, sf_dir):
     k = knots(spark, sf_dir)
-    return rounded(frontier.pace(k, frontier.month_grid(k, on(NOW))), "logits_per_year", "doubling_days")
+    return rounded(frontier.pace(k, frontier.month_grid(k, on(NOW))), "logits_per_year", "doubling_days").drop("asof")
 
 
 @query("frontier_velocity", o.sql(f"SELECT o.at, {o.r6('slope_index * 30')} AS per_month FROM ols o JOIN steps s ON o.at = s.at WHERE dates >= 2", o.fit(), o.GRID, o.DAILY))
 def frontier_velocity(spark, sf_dir):
     k = knots(spark, sf_dir)
-    return rounded(frontier.velocity(k, frontier.month_grid(k, on(NOW))), "per_month")
+    return rounded(frontier.velocity(k, frontier.month_grid(k, on(NOW))), "per_month").drop("asof")
 
 
 @query("frontier_trend", o.sql(f"SELECT o.at, {o.r6('slope')} AS slope, {o.r6('intercept')} AS intercept, {o.r6('sqrt(sse / (n - 2))')} AS sigma, {o.r6('sqrt(sse / (n - 2)) / sqrt(sxx)')} AS slope_se, n FROM ols o JOIN steps s ON o.at = s.at WHERE steps >= 2", o.fit(), o.GRID, o.DAILY))
 def frontier_trend(spark, sf_dir):
     k = knots(spark, sf_dir)
-    return rounded(frontier.trend(k, frontier.month_grid(k, on(NOW))), "slope", "intercept", "sigma", "slope_se").drop("stop")
+    return rounded(frontier.trend(k, frontier.month_grid(k, on(NOW))), "slope", "intercept", "sigma", "slope_se").drop("stop", "asof")
 
 
 @query(
@@ -109,7 +111,7 @@ def frontier_trend(spark, sf_dir):
     ),
 )
 def frontier_gains_quarter(spark, sf_dir):
-    return rounded(frontier.gains(knots(spark, sf_dir), on(NOW)), "gain")
+    return rounded(frontier.gains(knots(spark, sf_dir), on(NOW)), "gain").drop("asof")
 
 
 _EARLY = "DATE '2020-03-01'"
@@ -129,7 +131,7 @@ def frontier_fan(spark, sf_dir):
 
 @query("levels", o.sql(f"SELECT level, kind, {o.r6('theta')} AS theta, {o.r6('1000 + 400 / ln(10) * theta')} AS rating FROM levels", o.fit(), o.LEVELS))
 def levels(spark, sf_dir):
-    return rounded(frontier.levels(fitted(spark, sf_dir)[1], a.benches(spark, sf_dir)), "theta", "rating")
+    return rounded(frontier.levels(fitted(spark, sf_dir)[1], a.benches(spark, sf_dir)), "theta", "rating").drop("asof")
 
 
 @query(
@@ -159,7 +161,7 @@ def _day(z: float) -> str:
 )
 def crossings(spark, sf_dir):
     models, deltas, _ = fitted(spark, sf_dir)
-    return frontier.crossings(frontier.line(models).cache(), frontier.levels(deltas, a.benches(spark, sf_dir)), on(THEN))
+    return frontier.crossings(frontier.line(models).cache(), frontier.levels(deltas, a.benches(spark, sf_dir)), on(THEN)).drop("asof")
 
 
 @query(
@@ -173,7 +175,7 @@ def crossings(spark, sf_dir):
     ),
 )
 def pace_eras(spark, sf_dir):
-    return rounded(frontier.eras(knots(spark, sf_dir), on(NOW)), "mean_pace", "max_pace")
+    return rounded(frontier.eras(knots(spark, sf_dir), on(NOW)), "mean_pace", "max_pace").drop("asof")
 
 
 _LATEST = {"latest": f"SELECT lab, max(date) AS date, arg_max(release_id, (date, release_id)) AS release_id FROM releases WHERE status = 'released' AND tier = 'flagship' AND date <= {o.ASOF} GROUP BY 1"}
@@ -279,9 +281,9 @@ def evidence_by_halfyear(spark, sf_dir):
     return fitted(spark, sf_dir)[0].groupBy(F.year("date").alias("year"), half.alias("half")).agg(F.count("*").alias("fitted"), r6(F.avg("n")).alias("mean_n"))
 
 
-@query("unscored_anti", o.sql("SELECT release_id, lab FROM releases WHERE status = 'released' AND release_id NOT IN (SELECT release_id FROM models)", o.fit()))
+@query("unscored_anti", o.sql("SELECT release_id, lab FROM releases WHERE status = 'released' AND release_id NOT IN (SELECT release_id FROM models)", o.fit("DATE '2021-06-30'")))
 def unscored_anti(spark, sf_dir):
-    return a.releases(spark, sf_dir).where("status = 'released'").join(fitted(spark, sf_dir)[0], "release_id", "left_anti").select("release_id", "lab")
+    return a.releases(spark, sf_dir).where("status = 'released'").join(fitted(spark, sf_dir, "2021-06-30")[0], "release_id", "left_anti").select("release_id", "lab")
 
 
 @query("missing_basket_anti", o.sql("SELECT r.release_id, b.benchmark FROM releases r JOIN benches b ON b.in_index WHERE r.status = 'released' AND (r.release_id, b.benchmark) NOT IN (SELECT (release_id, benchmark) FROM picked)", {"picked": o.PICKED}))
