@@ -12,7 +12,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ability_engine.functions.scalar import clamp, lognormal_cdf, normal_quantile, recency_weight, theta_of
+from ability_engine.functions.scalar import clamp, lognormal_cdf, normal_pdf, normal_quantile, recency_weight, theta_of
 
 #: Prior of a table without gaps; strength of the pull of the drift to 0 (days squared); what is left of a law that is overdue.
 DEFAULT_MU, DEFAULT_SIGMA = math.log(120), 0.6
@@ -34,7 +34,7 @@ def intervals(dates: DataFrame) -> DataFrame:
 
 
 def _weighted(gaps: DataFrame, grid: DataFrame, half_life: float) -> DataFrame:
-    both = gaps.join(F.broadcast(grid), F.col("date") <= F.col("asof"))  # grid: dates
+    both = gaps.join(grid, F.col("date") <= F.col("asof"))
     return both.select("asof", "lab", F.ln("gap").alias("x"), F.unix_date("date").cast("double").alias("t"), recency_weight(F.datediff("asof", "date"), half_life).alias("w"))
 
 
@@ -58,12 +58,12 @@ def prior(gaps: DataFrame, grid: DataFrame, half_life: float = 730.0) -> DataFra
 
 def laws(releases: DataFrame, grid: DataFrame, half_life: float = 730.0, prior_weight: float = 2.0, drift: bool = True) -> DataFrame:
     """asof, lab, last (date of its latest flagship), t0 (days since), mu and sigma of every lab that has released by then."""
-    dates = event_dates(releases).cache()
+    dates = event_dates(releases)
     gaps = intervals(dates)
     pooled = prior(gaps, grid, half_life).select("asof", F.col("mu").alias("mu_0"), F.col("sigma").alias("sigma_0"), F.col("drift").alias("drift_0"), F.col("t_bar").alias("t_0"))
     own = _moments(_weighted(gaps, grid, half_life), ["asof", "lab"]).select("asof", "lab", "mean", "variance", "n", "t_bar")
-    latest = dates.join(F.broadcast(grid), F.col("date") <= F.col("asof")).groupBy("asof", "lab").agg(F.max("date").alias("last"))
-    both = latest.join(own, ["asof", "lab"], "left").join(F.broadcast(pooled), "asof")  # one row for each date
+    latest = dates.join(grid, F.col("date") <= F.col("asof")).groupBy("asof", "lab").agg(F.max("date").alias("last"))
+    both = latest.join(own, ["asof", "lab"], "left").join(pooled, "asof")
     n, w = F.coalesce("n", F.lit(0.0)), prior_weight
     mean, variance = F.coalesce("mean", F.lit(0.0)), F.coalesce("variance", F.lit(0.0))
     shift = clamp(F.col("drift_0") * (F.unix_date("asof") - F.coalesce("t_bar", "t_0")), -1.0, 1.0) if drift else F.lit(0.0)
@@ -111,15 +111,53 @@ def next_release(rows: DataFrame, stretch: Column | None = None) -> DataFrame:
     return found.select(*rows.columns, *[moved("last", F.col(n)).alias(n) for n in QUANTILES])
 
 
-def chain(rows: DataFrame, count: int = 5, stretch: float = 1.0) -> DataFrame:
-    """asof, lab, k and the dates of the k-th next release. From the second on, steps of the median, with a spread that grows as sqrt(k)."""
+def announced(releases: DataFrame, grid: DataFrame) -> DataFrame:
+    """By asof and lab: the announced release of the earliest window that starts after asof. releases: lab, release_id, status, window_start, window_end."""
+    open_ = releases.where("status = 'announced' and window_start is not null").join(grid, F.col("window_start") > F.col("asof"))
+    first = F.min(F.struct("window_start", "release_id", "window_end")).alias("a")
+    return open_.groupBy("asof", "lab").agg(first).select("asof", "lab", F.col("a.release_id").alias("release_id"), F.col("a.window_start").alias("window_start"), F.coalesce("a.window_end", "a.window_start").alias("window_end"))
+
+
+def certainty(p16: Column, p84: Column) -> Column:
+    """1 for a day, falling with the width of the window."""
+    return 1 / (1 + F.greatest(F.lit(0), F.datediff(p84, p16)) / 90)
+
+
+def chain(rows: DataFrame, count: int = 5, stretch: float = 1.0, windows: DataFrame | None = None, horizon: int | None = None) -> DataFrame:
+    """asof, lab, k, the dates of the k-th next release, their certainty, source and release_id.
+
+    From the second on, steps of the median, with a spread that grows as sqrt(k). A window of ``windows`` (see ``announced``) takes the place of the first
+    release, and the chain goes on from its middle. ``horizon``: days after asof up to which statistical medians are given; one beyond it ends the chain.
+    """
     first = wait_quantiles(rows, QUANTILES, F.lit(stretch))
-    k = F.col("k")
-    offset = clamp(clamp(F.col("p50"), 0.0, MOST_DAYS) + (k - 1) * F.exp("mu"), 0.0, MOST_DAYS)
-    steps = first.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(count)))).withColumn("_off", offset)
+    if windows is not None:
+        first = first.join(windows, ["asof", "lab"], "left")
+    else:
+        first = first.withColumns({"release_id": F.lit(None).cast("string"), "window_start": F.lit(None).cast("date"), "window_end": F.lit(None).cast("date")})
+    k, given = F.col("k"), F.col("window_start").isNotNull()
+    width = F.greatest(F.lit(0), F.datediff("window_end", "window_start"))
+    first = first.withColumn("_len", width).withColumn("_mid", F.date_add("window_start", F.floor(F.col("_len") / 2 + 0.5).cast("int")))
+    first = first.withColumn("_anchor", F.coalesce("_mid", "last")).withColumn("_from", F.when(given, 0.0).otherwise(clamp(F.col("p50"), 0.0, MOST_DAYS)))
+    steps = first.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(count)))).withColumn("_off", clamp(F.col("_from") + (k - 1) * F.exp("mu"), 0.0, MOST_DAYS))
     spread = lambda q: F.col("_off") * F.exp(F.col("sigma") * stretch * F.sqrt(k) * NormalDist().inv_cdf(q))
-    days = {n: F.when(k == 1, F.col(n)).otherwise(F.col("_off") if q == 0.5 else spread(q)) for n, q in QUANTILES.items()}
-    return steps.select("asof", "lab", "k", *[moved("last", d).alias(n) for n, d in days.items()])
+    edge = {"p05": -0.15 * F.col("_len"), "p16": F.lit(0.0), "p50": F.col("_len") / 2, "p84": F.col("_len").cast("double"), "p95": 1.15 * F.col("_len")}
+    shown = lambda n: F.date_add("window_start", F.floor(edge[n] + 0.5).cast("int"))
+    days = {n: F.when((k == 1) & given, shown(n)).when(k == 1, moved("last", F.col(n))).otherwise(moved("_anchor", F.col("_off") if q == 0.5 else spread(q))) for n, q in QUANTILES.items()}
+    kept = steps.columns
+    dated = steps.select(*[c for c in kept if c not in QUANTILES], *[d.alias(n) for n, d in days.items()])
+    own = (k == 1) & given
+    if horizon is not None:
+        # Medians grow with k, so whatever is beyond the horizon ends the chain.
+        dated = dated.withColumn("_late", F.datediff("p50", "asof") > horizon).where(own | ~F.col("_late"))
+    return dated.select("asof", "lab", "k", *QUANTILES, certainty(F.col("p16"), F.col("p84")).alias("certainty"), F.when(own, "announced").otherwise("statistical").alias("source"), F.when(own, F.col("release_id")).alias("release_id"))
+
+
+def anchors(releases: DataFrame, models: DataFrame) -> DataFrame:
+    """asof, lab, release_id, date and index (0 if it isn't fitted) of the release that a forecast starts from: of a lab's latest flagships the one of the highest index, else the last by id."""
+    out = releases.where((F.col("status") == "released") & (F.coalesce("tier", F.lit("flagship")) == "flagship")).select("lab", "release_id", "date")
+    rows = out.join(models.select("asof").distinct(), F.col("date") <= F.col("asof")).join(models.select("asof", "release_id", "index"), ["asof", "release_id"], "left")
+    best = F.max(F.struct("date", F.coalesce("index", F.lit(0.0)).alias("index"), "release_id")).alias("b")
+    return rows.groupBy("asof", "lab").agg(best).select("asof", "lab", "b.release_id", "b.date", "b.index")
 
 
 def capability_trend(models: DataFrame, sigma: Column, points: int = 5) -> DataFrame:
@@ -146,21 +184,60 @@ def capability_fan(trend: DataFrame, last: DataFrame, asof: Column, to: Column,
     return rows.select("lab", F.date_from_unix_date("day").alias("date"), theta.alias("theta"), (theta - half).alias("theta_low"), (theta + half).alias("theta_high"))
 
 
-def density(rows: DataFrame, samples: int = 48) -> DataFrame:
-    """asof, lab, day (offset from the last release) and p: the next release's density between its 2nd and 98th percentile, 1 at the mode."""
-    ends = wait_quantiles(rows, {"lo": 0.02, "hi": 0.98})
+def _stretched_gone(at: Column, stretch: float) -> Column:
+    """Probability that the wait is over by ``at``, given t0, when its law is stretched about the median _m."""
+    back = at if stretch == 1 or stretch <= 0 else F.when((F.col("_m") > 0) & (at > 0), F.col("_m") * F.pow(at / F.col("_m"), F.lit(1 / stretch))).otherwise(at)
+    return F.greatest(back, F.col("t0"))
+
+
+def density(rows: DataFrame, samples: int = 48, stretch: float = 1.0) -> DataFrame:
+    """asof, lab, day (offset from the last release) and p: the next release's density between its 2nd and 98th percentile, 1 at the mode.
+
+    A stretched law begins before t0 where its median is later, so it is pulled back to the plain one before it is read off.
+    """
+    ends = wait_quantiles(rows, {"lo": 0.02, "hi": 0.98, "_m": 0.5}, F.lit(stretch))
     day = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (samples - 1)
     points = ends.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("day", day)
-    points = points.withColumn("_a", F.greatest(F.col("day") - 0.5, F.col("t0"))).withColumn("_b", F.greatest(F.col("day") + 0.5, F.col("t0")))
+    points = points.withColumn("_a", _stretched_gone(F.col("day") - 0.5, stretch)).withColumn("_b", _stretched_gone(F.col("day") + 0.5, stretch))
     mass = points.withColumn("mass", lognormal_cdf("mu", "sigma", "_b") - lognormal_cdf("mu", "sigma", "_a"))
     top = F.max("mass").over(Window.partitionBy("asof", "lab"))  # ``samples`` rows
     short = F.col("hi") - F.col("lo") < 1
     return mass.select("asof", "lab", "i", "day", F.when(short | ~(top > 0), 1.0).otherwise(F.col("mass") / top).alias("p"))
 
 
+def chain_density(rows: DataFrame, k: int, samples: int = 48, stretch: float = 1.0) -> DataFrame:
+    """As ``density``, of the k-th next release, k at least 2: a log-normal law about its median, m days after the last release. rows: asof, lab, sigma, m."""
+    sd = F.col("sigma") * stretch * math.sqrt(k)
+    low, high = NormalDist().inv_cdf(0.02), NormalDist().inv_cdf(0.98)
+    at = rows.withColumn("m", F.greatest(F.lit(1.0), "m")).withColumn("sd", sd)
+    ends = at.withColumn("lo", clamp(F.col("m") * F.exp(F.col("sd") * low), 0.0, MOST_DAYS)).withColumn("hi", clamp(F.col("m") * F.exp(F.col("sd") * high), 0.0, MOST_DAYS))
+    points = ends.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("day", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (samples - 1))
+    law = F.when((F.col("day") > 0) & (F.col("sd") > 0), normal_pdf(F.try_divide(F.ln("day") - F.ln("m"), F.col("sd"))) / (F.col("day") * F.col("sd"))).otherwise(0.0)
+    raw = points.withColumn("raw", law)
+    top = F.max("raw").over(Window.partitionBy("asof", "lab"))  # ``samples`` rows
+    return raw.select("asof", "lab", "i", "day", F.when((F.col("hi") - F.col("lo") < 1) | ~(top > 0), 1.0).otherwise(F.col("raw") / top).alias("p"))
+
+
+def window_density(windows: DataFrame, samples: int = 48) -> DataFrame:
+    """As ``density``, of announced windows (asof, lab, p05, p16, p84, p95): level within the window, straight slopes to its outer edges; day counts from 1970."""
+    d = {n: F.unix_date(n).cast("double") for n in ("p05", "p16", "p84", "p95")}
+    points = windows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("day", d["p05"] + (d["p95"] - d["p05"]) * F.col("i") / (samples - 1))
+    day = F.col("day")
+    p = F.when(d["p95"] - d["p05"] < 1, 1.0).when((day <= d["p05"]) | (day >= d["p95"]), 0.0).when(day < d["p16"], F.try_divide(day - d["p05"], d["p16"] - d["p05"])).when(day > d["p84"], F.try_divide(d["p95"] - day, d["p95"] - d["p84"])).otherwise(1.0)
+    top = F.max(p).over(Window.partitionBy("asof", "lab"))
+    return points.select("asof", "lab", "i", "day", (p / F.when(top > 0, top).otherwise(1.0)).alias("p"))
+
+
+def replay_grid(releases: DataFrame, to: Column, step: int = 30, after: int = 365) -> DataFrame:
+    """asof: every ``step`` days from ``after`` days after the first flagship up to a step before ``to``."""
+    first = event_dates(releases).agg(F.date_add(F.min("date"), after).alias("start"))
+    end = F.date_sub(to, step)
+    return first.where(F.col("start") <= end).select(F.explode(F.sequence("start", end, F.expr(f"interval {step} days"))).alias("asof"))
+
+
 def actuals(releases: DataFrame, grid: DataFrame) -> DataFrame:
     """asof, lab and the first flagship date strictly after it."""
-    ahead = event_dates(releases).join(F.broadcast(grid), F.col("date") > F.col("asof"))
+    ahead = event_dates(releases).join(grid, F.col("date") > F.col("asof"))
     return ahead.groupBy("asof", "lab").agg(F.min("date").alias("actual"))
 
 
@@ -170,11 +247,25 @@ def backtest(rows: DataFrame, actual: DataFrame, stretch: Column | None = None)
     return found.withColumns({"error_days": F.datediff("actual", "p50"), "in68": F.col("actual").between(F.col("p16"), F.col("p84")), "in90": F.col("actual").between(F.col("p05"), F.col("p95"))})
 
 
-def summary(rows: DataFrame) -> DataFrame:
-    """Coverage and errors over all labs (lab null) and by lab, in one pass."""
+def summary(rows: DataFrame, labs: DataFrame | None = None) -> DataFrame:
+    """Coverage and errors over all labs (total true) and by lab, in one pass; 0 where nothing was forecast. Labs of ``labs`` without rows get a row of zeros.
+
+    n: forecasts with a known outcome; unforecastable: known outcomes without a forecast. theta_mae if rows have theta_error.
+    """
     known = rows.where(F.col("actual").isNotNull())
-    error = F.abs("error_days")
-    return known.rollup("lab").agg(F.count("*").alias("n"), F.avg(F.col("in68").cast("int")).alias("coverage68"), F.avg(F.col("in90").cast("int")).alias("coverage90"), F.avg(error).alias("mae_days"), F.percentile(error, 0.5).alias("median_abs_days"), F.avg("error_days").alias("bias_days"))
+    made = F.col("p50").isNotNull()
+    error = F.when(made, F.abs("error_days"))
+    share = lambda c: F.coalesce(F.avg(F.when(made, F.col(c).cast("int"))), F.lit(0.0)).alias(c.replace("in", "coverage"))
+    theta = [F.avg(F.abs("theta_error")).alias("theta_mae")] if "theta_error" in rows.columns else []
+    found = known.rollup("lab").agg(
+        (F.grouping("lab") == 1).alias("total"), F.count_if(made).alias("n"), F.count_if(~made).alias("unforecastable"), share("in68"), share("in90"), F.coalesce(F.avg(error), F.lit(0.0)).alias("mae_days"),
+        F.coalesce(F.percentile(error, 0.5), F.lit(0.0)).alias("median_abs_days"), F.coalesce(F.avg(F.when(made, F.col("error_days"))), F.lit(0.0)).alias("bias_days"), *theta,
+    )
+    if labs is None:
+        return found
+    lacking = labs.select("lab").distinct().join(found.where(~F.col("total")), "lab", "left_anti")
+    zero = {c: F.lit(0) for c in ("n", "unforecastable")} | {c: F.lit(0.0) for c in ("coverage68", "coverage90", "mae_days", "median_abs_days", "bias_days")}
+    return found.unionByName(lacking.select("lab", F.lit(False).alias("total"), *[v.cast(found.schema[c].dataType).alias(c) for c, v in zero.items()], *([F.lit(None).cast("double").alias("theta_mae")] if theta else [])))
 
 
 def calibration_curve(rows: DataFrame, actual: DataFrame) -> DataFrame:
@@ -192,3 +283,8 @@ def calibrate(rows: DataFrame, actual: DataFrame, scales: tuple[float, ...] = tu
     inside = lambda a, b: F.avg(F.col("actual").between(moved("last", F.col(a)), moved("last", F.col(b))).cast("int"))
     sums = found.groupBy("scale").agg(inside("p16", "p84").alias("coverage68"), inside("p05", "p95").alias("coverage90"))
     return sums.withColumn("loss", F.abs(F.col("coverage68") - 0.68) + F.abs(F.col("coverage90") - 0.9))
+
+
+def best_scale(calibrated: DataFrame) -> DataFrame:
+    """The stretch of the least loss, the smaller where equal."""
+    return calibrated.orderBy("loss", "scale").limit(1)
