@@ -1,28 +1,27 @@
-"""Language-model scores by a weighted backoff automaton.
+"""Language-model scores by a weighted backoff automaton over all n-grams of up to three tokens.
 
-Tokens are words (A-Z lowered, split at ASCII white space) and one end for each document. Unigrams are smoothed by adding one; word pairs are
-discounted, and what the discount frees is spread over the other words by a backoff weight. In the automaton the root is the state that knows
-nothing; each word of the training corpus is a state, with an arc for each pair that it begins and a failure arc, of its backoff weight, to the
-root. The state after a token is that of its word. A document's score adds up the log10 of its arcs.
+Tokens are words (A-Z lowered, split at ASCII white space) and one end for each document, which also stands before its first word. A word's
+probability after the context s is smoothed by that after the context without its first word, s', with a hierarchical Dirichlet prior:
+p(w | s) = (c(sw) + k p(w | s')) / (c(s) + k), and p(w) = (c(w) + 1) / (N + V + 1) at the root. Every c(s) is the sum of its c(sw), so the
+probabilities of all words, one unknown word included, add up to one after any context.
 
-All words and all pairs count, however rare, so the arcs grow with the corpus; the tasks never hold all of them. Frequent words (a share of
-``least_word`` or more) and frequent pairs (``least_pair`` or more) are broadcast only to spare the shuffle and to keep it even. All
-other pairs of the documents meet the pairs of the training corpus in one shuffle, in packed arrays, and each part sums by document what it finds.
+In the automaton the states are the contexts that the corpus has: the root, words and word pairs. A state has an arc of log10 p(w | s) for each w
+that followed it, and a failure arc of log10 (k / (c(s) + k)) to the state without its first word. One traversal from left to right carries the
+state: where it has no arc for the next token it fails down, level by level, and the logarithms are added up on the way.
 
-With n(s) the count of s, c that of the pair (s, w), t(s) the different words after s and m(s) the sum of their counts, M = tokens + words + 1:
-an arc is (c - D) / n(s), and the failure arc of s is (D t(s) / n(s)) / (1 - (m(s) + t(s)) / M). A document's states are its tokens (the end comes
-first and last), so 1 / n(s) is summed by token, and what is left of a pair that never was is the weight of its word and of ``backoff(s)`` =
-D t(s) M / (M - m(s) - t(s)).
+Counts go through Spark whole: no n-gram is cut, however rare, and what is gathered grows with the corpus. Documents are taken in chunks of about
+``CHUNK`` tokens. A chunk sends its distinct n-grams (as sorted 64-bit hashes, in packed ranges) with its training counts through one shuffle; a
+range is summed over all chunks, and each chunk is sent back its counts, by which the task that holds the chunk builds that part of the
+automaton that its documents can reach. A frequent n-gram crosses the shuffle once a chunk, so there is no hot key. Only N and V come to the driver.
 
 Defined cases: null and empty texts are the end alone. Rows are documents; a repeated doc_id is scored each time. With no training rows all
-words are unknown: N and V are 0. Rare words go by 63-bit hashes. Other columns are ignored.
+words are unknown: N and V are 0. Two words with one 64-bit hash count as one. Other columns are ignored. The input is read twice and has to
+be the same both times: a chunk that has changed ends the job.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,116 +31,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ability_engine.llm.common import map_lists, stash, struct_of, words_of
+from ability_engine.llm.common import map_lists, stash, struct_of, word_hashes, words_of
 
 #: The end of a document as a token: no word, since words have no white space.
 END = b"\n"
-DISCOUNT = 0.75
-COUNT = struct_of(("word", T.BinaryType()), ("n", T.LongType()))
-
-
-def count_words(docs: DataFrame, flush: int = 300_000) -> DataFrame:
-    """word (UTF-8) and n over all rows of ``docs``; summed in each task before the shuffle."""
-
-    def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        seen: Counter = Counter()
-        for b in batches:
-            for text in b["text"]:
-                seen.update(words_of(text))
-            seen[END] += len(b["text"])
-            if len(seen) > flush:
-                yield {"word": [*seen], "n": [*seen.values()]}
-                seen = Counter()
-        yield {"word": [*seen], "n": [*seen.values()]}
-
-    return map_lists(docs.select("text"), run, COUNT).groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
-
-
-#: Characters of training and scored text for each part of the shuffle, and pairs of a chunk of documents.
-PART, CHUNK = 8_000_000, 800_000
-RARE = 1 << 63
-
-
-class Codes(dict):
-    """Frequent words to their states; other words to hashes of RARE or more."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word) | RARE
-        if len(self) < 300_000 + self.fixed:
-            self[word] = h
-        return h
-
-
-@dataclass
-class Automaton:
-    """``words``: frequent words to states, most frequent first, the first ``hot`` of them those that may have broadcast arcs. ``arcs``: sorted keys state * 2**32 + word, with the log10 of the discounted count."""
-
-    words: dict[bytes, int]
-    hot: int
-    counts: np.ndarray
-    arcs: np.ndarray
-    arc_log: np.ndarray
-    tokens: int
-    distinct: int
-
-    @property
-    def floor(self) -> float:
-        """log10 of what all smoothed counts are divided by."""
-        return float(np.log10(self.tokens + self.distinct + 1))
-
-    def codes(self) -> Codes:
-        out = Codes(self.words)
-        out.fixed = len(out)
-        return out
-
-    def unigrams(self, n: np.ndarray) -> np.ndarray:
-        return np.log10(n + 1.0) - self.floor
-
-    def backoff(self, t: np.ndarray, m: np.ndarray) -> np.ndarray:
-        """log10 of backoff(s) of states with t > 0 different words after them, whose counts add up to m."""
-        whole = self.tokens + self.distinct + 1
-        return np.log10(DISCOUNT * t) + np.log10(whole) - np.log10(whole - m - t)
-
-
-def count_pairs(docs: DataFrame, states: dict[bytes, int], flush: int = 4_000_000) -> DataFrame:
-    """key (state * 2**32 + state of the next token) and n, for pairs of the given words; summed in each task before the shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(states)  # bounded by least_pair
-
-    def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        get = shared.value.get
-        held: list[np.ndarray] = []
-        size = 0
-
-        def summed() -> dict[str, list]:
-            keys, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
-            return {"key": keys, "n": n}
-
-        for b in batches:
-            for text in b["text"]:
-                tokens = [END, *words_of(text), END]
-                ids = np.fromiter((get(w, -1) for w in tokens), np.int64, len(tokens))
-                keys = (ids[:-1] << 32 | np.maximum(ids[1:], 0))[(ids[:-1] >= 0) & (ids[1:] >= 0)]
-                held.append(keys)
-                size += len(keys)
-            if size > flush:
-                yield summed()
-                held, size = [], 0
-        yield summed()
-
-    found = map_lists(docs.select("text"), run, struct_of(("key", T.LongType()), ("n", T.LongType())))
-    return found.groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def pack(*columns: np.ndarray) -> bytes:
-    """Compressed columns of 8 bytes, byte by byte: equal and zero bytes lie together."""
-    planes = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
-    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
-
-
-def unpack(data: bytes, columns: int) -> list[np.ndarray]:
-    size = int.from_bytes(data[:8], "little")
-    planes = np.frombuffer(pa.decompress(data[8:], size, "zstd"), np.uint8).reshape(columns, 8, size // (8 * columns))
-    return [np.ascontiguousarray(c.T).reshape(-1).view(np.uint64) for c in planes]
+#: Tokens of a chunk; characters of text for each part of the shuffle.
+CHUNK, PART = 800_000, 8_000_000
+#: Weight of the shorter context in that of one and of two tokens.
+PRIOR = (1000.0, 10.0)
+_EVEN = np.uint64(0xFFFFFFFFFFFFFFFE)
 
 
 def mixed(s: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -155,252 +53,223 @@ def mixed(s: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def at_of(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where ``wanted`` are in the sorted ``keys``, and whether they are."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
+def pack(*columns: np.ndarray) -> bytes:
+    """Compressed columns of 8 bytes, byte by byte: equal and zero bytes lie together."""
+    planes = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
-def summed_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys and the sums of the values (whole numbers below 2**53) of each."""
-    found, inverse = np.unique(keys, return_inverse=True)
-    return found, *[np.bincount(inverse, v, len(found)) for v in values]
+def unpack(data: bytes, columns: int) -> list[np.ndarray]:
+    size = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], size, "zstd"), np.uint8).reshape(columns, 8, size // (8 * columns))
+    return [np.ascontiguousarray(c.T).reshape(-1).view(np.uint64) for c in planes]
 
 
-def train(docs: DataFrame, least_word: float = 1e-6, least_pair: float = 1e-5) -> tuple[DataFrame, Automaton]:
-    """The training texts, and the automaton's broadcast core, from all rows of ``docs``."""
-    counts = stash(count_words(docs), "words")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("distinct")).first()
-    tokens, distinct = total["tokens"], total["distinct"]
-    top = sorted(((r["n"], bytes(r["word"])) for r in counts.where((F.col("n") >= least_word * tokens) | (F.col("word") == F.lit(END))).collect()), key=lambda r: (-r[0], r[1]))
-    words = {w: k for k, (_, w) in enumerate(top)}
-    n = np.array([c for c, _ in top], float)
-    # Both words of a frequent pair are as frequent as the pair.
-    states = {w: k for w, k in words.items() if n[k] >= least_pair * tokens}
-    pairs = sorted((r["key"], r["n"]) for r in count_pairs(docs, states).where(F.col("n") >= least_pair * tokens).collect())
-    keys, c = np.array([k for k, _ in pairs], np.uint64), np.array([v for _, v in pairs], float)
-    return docs.select("text"), Automaton(words, len(states), n, keys, np.log10(c - DISCOUNT), tokens, distinct)
+def encode(text: str | None) -> np.ndarray:
+    """The hashes of a text's tokens."""
+    return word_hashes([*words_of(text), END])
 
 
-#: What goes through the shuffles. TRAIN: state, word, n. ASK: state, word, twice the row of the
-#: chunk and 1 if it is learned. STATE: state, t, m. MISS: state, row of the chunk (both apart for hot states). SUM: row of the chunk, known, base, score. HEAD: a document. Chunks are of documents in a row.
-TRAIN, ASK, STATE, HOT_STATE, MISS, HOT_MISS, SUM, HEAD = range(8)
+def grams(tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct n-grams of a chunk, and where those that end at each token are: all of one token (odd), of two, then of three (none at a start).
 
+    ``tokens``: those of all documents of the chunk, which begin at ``starts``; the end of a document stands before its first token.
+    """
+    before = np.roll(tokens, 1)
+    before[starts] = tokens[-1]  # an end
+    two = mixed(before, tokens)
+    later = np.ones(len(tokens), bool)
+    later[starts] = False
+    at = np.flatnonzero(later)
+    three = mixed(two[at - 1] ^ np.uint64(0x5851F42D4C957F2D), tokens[at])
+    return np.unique(np.concatenate([tokens | np.uint64(1), two & _EVEN, three & _EVEN]), return_inverse=True)
 
-def score(docs: DataFrame, learned: DataFrame | Column, automaton: Automaton) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``.
 
-    ``learned``: the training texts, or which rows of ``docs`` they are, which spares their pairs a second way through the shuffle.
+class Automaton:
+    """The states and arcs that the documents of a chunk can reach. n: the training counts of the n-grams that ``grams`` gave, at their places."""
+
+    def __init__(self, n: np.ndarray, starts: np.ndarray, tokens: int, distinct: int, prior: tuple[float, float] = PRIOR):
+        size = (len(n) + len(starts)) // 3
+        self.starts, self.ends = starts, np.append(starts[1:], size)
+        one, two, three = n[:size], n[size : 2 * size], np.zeros(size)
+        later = np.ones(size, bool)
+        later[starts] = False
+        three[later] = n[2 * size :]
+        context, pair = np.roll(one, 1), np.roll(two, 1)
+        context[starts], pair[starts] = one[self.ends - 1], 0
+        self.unigram = np.log10(one + 1) - np.log10(tokens + distinct + 1)
+        p1 = (one + 1) / (tokens + distinct + 1)
+        p2 = (two + prior[0] * p1) / (context + prior[0])
+        p3 = (three + prior[1] * p2) / (pair + prior[1])
+        self.known = one > 0
+        #: The longest context from which there is an arc for the token, the weight of that arc, and the failure arcs of the states of two tokens and of one.
+        self.depth = np.where(three > 0, 2, (two > 0).astype(np.int64))
+        self.arc = np.log10(np.where(three > 0, p3, np.where(two > 0, p2, p1)))
+        self.fail = np.log10(prior[1] / (pair + prior[1])), np.log10(prior[0] / (context + prior[0]))
+
+    def walk(self, k: int) -> float:
+        """log10 of the probability of the k-th document."""
+        part = slice(self.starts[k], self.ends[k])
+        total, state = 0.0, 1  # words of the state
+        for depth, arc, fail2, fail1, known in zip(self.depth[part].tolist(), self.arc[part].tolist(), self.fail[0][part].tolist(), self.fail[1][part].tolist(), self.known[part].tolist(), strict=True):
+            if state == 2 and depth < 2:
+                total += fail2
+                state = 1
+            if state == 1 and depth < 1:
+                total += fail1
+            total += arc
+            state = 2 if depth else 1 if known else 0
+        return total
+
+
+class Chunk:
+    """Documents in a row of one input partition."""
+
+    def __init__(self):
+        self.ids, self.learns, self.asked, self.docs, self.size = [], [], [], [], 0
+
+    def add(self, doc_id: object, text: str | None, learns: bool, asked: bool) -> None:
+        self.docs.append(encode(text))
+        self.size += len(self.docs[-1])
+        for kept, value in ((self.ids, doc_id), (self.learns, learns), (self.asked, asked)):
+            kept.append(value)
+
+    def close(self, number: int) -> None:
+        self.lengths = np.array([len(d) for d in self.docs], np.int64)
+        self.tokens = np.concatenate(self.docs)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.keys, self.at = grams(self.tokens, self.starts)
+        #: Its name says what it holds and where, so that another content cannot pass for it.
+        self.name = xxhash.xxh3_64_intdigest(self.keys.tobytes(), (TaskContext.get().partitionId() << 24) + number) >> 1
+
+
+def chunks(batches: Iterator[dict[str, list]], size: int) -> Iterator[Chunk]:
+    chunk, number = Chunk(), 0
+    for b in batches:
+        for row in zip(b["doc_id"], b["text"], b["learns"], b["asked"], strict=True):
+            chunk.add(*row)
+            if chunk.size >= size:
+                chunk.close(number)
+                yield chunk
+                chunk, number = Chunk(), number + 1
+    if chunk.docs:
+        chunk.close(number)
+        yield chunk
+
+
+#: Rows of the shuffles. PAIRS: a range of a chunk's n-grams and training counts; COUNTS: the counts of all chunks for them; TOTAL: tokens and
+#: distinct words of a range; CHUNK_: a chunk itself.
+CHUNK_, PAIRS, COUNTS, TOTAL = range(4)
+
+
+def score(docs: DataFrame, learned: Column | DataFrame, prior: tuple[float, float] = PRIOR, chunk_tokens: int = CHUNK, part_chars: int = PART) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score (unigrams alone) and score of every row of ``docs``.
+
+    ``learned``: which rows of ``docs`` the training texts are, or a table of them (text).
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(automaton)  # bounded by least_word and least_pair
     kind = docs.schema["doc_id"].dataType
-    packed = struct_of(("what", T.IntegerType()), ("bucket", T.LongType()), ("chunk", T.LongType()), ("data", T.BinaryType()))
-    doc = struct_of(("row", T.LongType()), ("doc_id", kind), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))
-    schema = T.StructType(packed.fields + doc.fields)
-    own = isinstance(learned, Column)
-    size = (docs.select("text") if own else docs.select("text").unionByName(learned)).agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = size // PART + 2
-    buckets = np.uint64(4 * parts)
-
-    def rows(**columns: list) -> dict[str, list]:
-        n = max(map(len, columns.values()))
-        return {f.name: columns.get(f.name, [None] * n) for f in schema}
-
-    def dealt(what: int, chunk: int | None, bucket: np.ndarray, order: np.ndarray, *columns: np.ndarray) -> dict[str, list]:
-        """Packed rows of the columns by bucket; ``order`` sorts by bucket."""
-        bucket = bucket[order]
-        ends = np.flatnonzero(np.diff(bucket)) + 1 if len(bucket) else np.zeros(0, np.int64)
-        columns = [c[order] for c in columns]
-        spans = [(i, j) for i, j in zip([0, *ends.tolist()], [*ends.tolist(), len(bucket)], strict=True) if j > i]
-        return rows(what=[what] * len(spans), bucket=[int(bucket[i]) for i, _ in spans], chunk=[chunk] * len(spans), data=[pack(*[c[i:j] for c in columns]) for i, j in spans])
-
-    def bucket_of(s: np.ndarray, w: np.ndarray) -> np.ndarray:
-        # All pairs of a rare word lie together, so that its count is known there.
-        return np.where(w >= np.uint64(RARE), (w ^ (w >> np.uint64(31))), mixed(s, w)) % buckets
-
-    def pairs(what: int):
-        def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-            model = shared.value
-            code, limit = model.codes(), np.uint64(RARE)
-            unigram, minus = model.unigrams(model.counts), -np.log10(model.counts)
-            chunk, held, ids, learns, size = TaskContext.get().partitionId() << 32, [], [], [], 0
-
-            def flush() -> Iterator[dict[str, list]]:
-                lengths = [len(x) - 1 for x in held]
-                row = np.repeat(np.arange(len(held), dtype=np.uint64), lengths)
-                s, w = np.concatenate([x[:-1] for x in held]), np.concatenate([x[1:] for x in held])
-                both = (s < limit) & (w < limit)
-                at, hit = at_of(model.arcs, s[both] << np.uint64(32) | w[both])
-                found = np.zeros(len(s), bool)
-                found[both] = hit
-                if what == TRAIN:
-                    s, w = s[~found], w[~found]
-                    _, first, n = np.unique(mixed(s, w), return_index=True, return_counts=True)
-                    s, w = s[first], w[first]
-                    b = bucket_of(s, w)
-                    yield dealt(TRAIN, chunk, b, np.lexsort((w, b)), s, w, n.astype(np.uint64))
-                    return
-                known = w < limit
-                sums = lambda at, values: np.bincount(row[at].astype(np.int64), values, len(held))
-                own = w[known].astype(np.int64)
-                total = sums(known, minus[own])
-                total += sums(found, model.arc_log[at[hit]])
-                yield rows(what=[HEAD] * len(held), bucket=[chunk % int(buckets)] * len(held), chunk=[chunk] * len(held), row=list(range(len(held))), doc_id=ids, n_tokens=lengths, n_known=sums(known, None).tolist(), base_score=sums(known, unigram[own]).tolist(), score=total.tolist())
-                row = row << np.uint64(1) | np.repeat(np.array(learns, np.uint64), lengths)
-                s, w, row = s[~found], w[~found], row[~found]
-                b = bucket_of(s, w)
-                yield dealt(ASK, chunk, b, np.lexsort((w, b)), s, w, row)
-
-            for batch in batches:
-                for k, text in enumerate(batch["text"]):
-                    tokens = [END, *words_of(text), END]
-                    held.append(np.fromiter(map(code.__getitem__, tokens), np.uint64, len(tokens)))
-                    if what == ASK:
-                        ids.append(batch["doc_id"][k])
-                        learns.append(batch["learns"][k])
-                    size += len(tokens)
-                    if size > CHUNK:
-                        yield from flush()
-                        chunk, held, ids, learns, size = chunk + 1, [], [], [], 0
-            if held:
-                yield from flush()
-
-        return run
-
-    def look_up(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        """Count the pairs of a part, and sum by document what its pairs find."""
-        model, limit = shared.value, np.uint64(RARE)
-        learned_, asked = [], []
-        for b in batches:
-            heads = [k for k, what in enumerate(b["what"]) if what == HEAD]
-            if heads:
-                yield {name: [v[k] for k in heads] for name, v in b.items()}
-            for what, chunk, data in zip(b["what"], b["chunk"], b["data"], strict=True):
-                if what == TRAIN:
-                    learned_.append(unpack(data, 3))
-                elif what == ASK:
-                    asked.append((chunk, data))
-                    x, y, row = unpack(data, 3)
-                    mine = row & np.uint64(1) == 1
-                    learned_.append([x[mine], y[mine], np.ones(mine.sum(), np.uint64)])
-        s, w, n = (np.concatenate([x[k] for x in learned_] or [np.zeros(0, np.uint64)]) for k in range(3))
-        learned_.clear()
-        keys, first, inverse = np.unique(mixed(s, w), return_index=True, return_inverse=True)
-        c = np.bincount(inverse, n, len(keys))
-        s, w = s[first], w[first]
-        del inverse, n
-        rare = w >= limit
-        words, times = summed_by(w[rare], c[rare])
-        after = np.empty(len(w))
-        after[~rare] = model.counts[w[~rare].astype(np.int64)]
-        after[rare] = times[np.searchsorted(words, w[rare])]
-        state, t, m = summed_by(s, np.ones(len(s)), after)
-        hot = state < np.uint64(model.hot)
-        for what, mine in ((HOT_STATE, hot), (STATE, ~hot)):
-            b = (state[mine] ^ (state[mine] >> np.uint64(31))) % buckets
-            yield dealt(what, None, b, np.lexsort((state[mine], b)), state[mine], *[v[mine].astype(np.uint64) for v in (t, m)])
-        arc = np.log10(c - DISCOUNT)
-        for chunk, data in asked:
-            s, w, row = unpack(data, 3)
-            row >>= np.uint64(1)
-            rare = w >= limit
-            n = np.zeros(len(w))
-            n[~rare] = model.counts[w[~rare].astype(np.int64)]
-            at, hit = at_of(words, w[rare])
-            n[rare] = np.where(hit, times[at], 0) if len(words) else 0
-            base = model.unigrams(n)
-            at, seen = at_of(keys, mixed(s, w))
-            total = base.copy()
-            total[seen] = arc[at[seen]]
-            own = rare & (n > 0)
-            total[own] -= np.log10(n[own])
-            found, base, known, total = summed_by(row, np.where(rare, base, 0), own, total)
-            yield rows(what=[SUM], bucket=[chunk % int(buckets)], chunk=[chunk], data=[pack(found, known.astype(np.uint64), base, total)])
-            s, row = s[~seen], row[~seen]
-            hot = s < np.uint64(model.hot)
-            if hot.any():
-                yield rows(what=[HOT_MISS], bucket=[chunk % int(buckets)], chunk=[chunk], data=[pack(s[hot], row[hot])])
-            s, row = s[~hot], row[~hot]
-            b = (s ^ (s >> np.uint64(31))) % buckets
-            yield dealt(MISS, chunk, b, np.lexsort((s, b)), s, row)
-
-    def back_off(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        """Sum by document the backoff weights of the states of a part."""
-        model, states, missed = shared.value, [], []
-        for b in batches:
-            for what, chunk, data in zip(b["what"], b["chunk"], b["data"], strict=True):
-                if what == STATE:
-                    states.append(unpack(data, 3))
-                else:
-                    missed.append((chunk, data))
-        s, t, m = (np.concatenate([x[k] for x in states] or [np.zeros(0, np.uint64)]) for k in range(3))
-        state, t, m = summed_by(s, t, m)
-        weight = model.backoff(t, m)
-        by_chunk = defaultdict(list)
-        for chunk, data in missed:
-            by_chunk[chunk].append(unpack(data, 2))
-        for chunk, found in by_chunk.items():
-            s, row = (np.concatenate(x) for x in zip(*found, strict=True))
-            at, hit = at_of(state, s)  # a state that never was has no failure arc
-            row, total = summed_by(row[hit], weight[at[hit]])
-            zero = np.zeros(len(row))
-            yield rows(what=[SUM], bucket=[chunk % int(buckets)], chunk=[chunk], data=[pack(row, zero.astype(np.uint64), zero, total)])
-
-    def hot_states(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        t, m = np.zeros(shared.value.hot), np.zeros(shared.value.hot)
+    flag = F.coalesce(learned, F.lit(False)) if isinstance(learned, Column) else F.lit(False)
+    rows = docs.select("doc_id", "text", flag.alias("learns"), F.lit(True).alias("asked"))
+    if isinstance(learned, DataFrame):
+        rows = rows.unionByName(learned.select(F.lit(None).cast(kind).alias("doc_id"), "text", F.lit(True).alias("learns"), F.lit(False).alias("asked")))
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = size // part_chars + 2
+    ranges = 4 * parts
+    edges = np.array([(k << 64) // ranges for k in range(ranges)], np.uint64)
+    packed = struct_of(("what", T.IntegerType()), ("range", T.LongType()), ("chunk", T.LongType()), ("asked", T.BooleanType()), ("data", T.BinaryType()), ("tokens", T.LongType()), ("distinct", T.LongType()))
+    whole = T.StructType([*packed.fields, T.StructField("ids", T.ArrayType(kind)), T.StructField("lengths", T.ArrayType(T.LongType()))])
+
+    def columns(schema: T.StructType, n: int, **given: object) -> dict[str, list]:
+        return {f.name: given[f.name] if isinstance(given.get(f.name), list) else [given.get(f.name)] * n for f in schema}
+
+    def send(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        for chunk in chunks(batches, chunk_tokens):
+            learns = np.repeat(np.array(chunk.learns, float), chunk.lengths)
+            later = np.ones(len(learns), bool)
+            later[chunk.starts] = False
+            n = np.bincount(chunk.at, np.concatenate([learns, learns, learns[later]]), len(chunk.keys)).astype(np.uint64)
+            cuts = np.append(np.searchsorted(chunk.keys, edges), len(chunk.keys))
+            spans = [(k, i, j) for k, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if j > i]
+            for at in range(0, len(spans), 500):
+                part = spans[at : at + 500]
+                data = [pack(np.diff(chunk.keys[i:j], prepend=np.uint64(0)), n[i:j]) for _, i, j in part]
+                yield columns(packed, len(part), what=PAIRS, range=[k for k, _, _ in part], chunk=chunk.name, asked=any(chunk.asked), data=data)
+
+    def count(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        """Sum each range over the chunks, and answer them."""
+        held: list[tuple[int, bool, bytes]] = []
+        last = -1
+
+        def answers() -> Iterator[dict[str, list]]:
+            sides = [unpack(data, 2) for _, _, data in held]
+            keys, at = np.unique(np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _ in sides]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([c for _, c in sides]).astype(float), len(keys))
+            words = n[keys & np.uint64(1) == 1]
+            yield columns(packed, 1, what=TOTAL, range=last, tokens=int(words.sum()), distinct=int((words > 0).sum()))
+            upto = 0
+            for (chunk, asked, _), (k, _) in zip(held, sides, strict=True):
+                if asked:
+                    yield columns(packed, 1, what=COUNTS, range=last, chunk=chunk, data=[pack(n[at[upto : upto + len(k)]].astype(np.uint64))])
+                upto += len(k)
+
         for b in batches:
-            for data in b["data"]:
-                s, x, y = unpack(data, 3)
-                t[s.astype(np.int64)] += x
-                m[s.astype(np.int64)] += y
-        some = np.flatnonzero(t)
-        yield {"state": some.tolist(), "t": t[some].astype(np.int64).tolist(), "m": m[some].astype(np.int64).tolist()}
-
-    dealt_out = map_lists(docs.select("doc_id", "text", F.coalesce(learned if own else F.lit(False), F.lit(False)).alias("learns")), pairs(ASK), schema)
-    if not own:
-        dealt_out = dealt_out.unionByName(map_lists(learned.select("text"), pairs(TRAIN), schema))
-    found = stash(map_lists(dealt_out.repartition(parts, "bucket"), look_up, schema), "pairs")
-    of = struct_of(("state", T.LongType()), ("t", T.LongType()), ("m", T.LongType()))
-    hot = map_lists(found.where(F.col("what") == HOT_STATE), hot_states, of).groupBy("state").agg(F.sum("t").alias("t"), F.sum("m").alias("m")).collect()
-    # The broadcast arcs stayed out of the shuffle.
-    arc_from, arc_to = (automaton.arcs >> np.uint64(32)).astype(np.int64), (automaton.arcs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    t = np.bincount(arc_from, minlength=automaton.hot).astype(float)
-    m = np.bincount(arc_from, automaton.counts[arc_to], automaton.hot)
-    for r in hot:
-        t[r["state"]] += r["t"]
-        m[r["state"]] += r["m"]
-    weight = np.zeros(automaton.hot)
-    weight[t > 0] = automaton.backoff(t[t > 0], m[t > 0])
-    weights = spark.sparkContext.broadcast(weight)  # bounded by least_pair
-
-    def by_document(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        heads, sums = defaultdict(list), defaultdict(list)
+            for at, chunk, asked, data in zip(b["range"], b["chunk"], b["asked"], b["data"], strict=True):
+                if at != last and held:
+                    yield from answers()
+                    held = []
+                last = at
+                held.append((chunk, asked, data))
+        if held:
+            yield from answers()
+
+    def resend(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        """The chunks themselves: their words, and each token's place among them."""
+        for chunk in chunks(batches, chunk_tokens):
+            if any(chunk.asked):
+                words, at = np.unique(chunk.tokens, return_inverse=True)
+                ids = [i if a else None for i, a in zip(chunk.ids, chunk.asked, strict=True)]
+                lengths = np.where(chunk.asked, chunk.lengths, -chunk.lengths).tolist()
+                data = len(words).to_bytes(8, "little") + pack(np.concatenate([words, at.astype(np.uint64)]))
+                yield columns(whole, 1, what=CHUNK_, range=-1, chunk=chunk.name, data=[data], ids=[ids], lengths=[lengths])
+
+    sums = map_lists(rows, send, packed).repartition(parts, "range").sortWithinPartitions("range")
+    found = stash(map_lists(sums.select("range", "chunk", "asked", "data"), count, packed), "counts")
+    total = found.where(F.col("what") == TOTAL).agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    tokens, distinct = int(total[0]), int(total[1])
+    out = struct_of(("doc_id", kind), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))
+
+    def walk(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        head, held, name = None, [], None
+
+        def scored() -> dict[str, list]:
+            ids, lengths, data = head
+            asked, lengths = np.array(lengths) > 0, np.abs(np.array(lengths))
+            (flat,) = unpack(data[8:], 1)
+            words = int.from_bytes(data[:8], "little")
+            text, starts = flat[:words][flat[words:].astype(np.int64)], np.cumsum(lengths) - lengths
+            keys, at = grams(text, starts)
+            n = np.concatenate([np.zeros(0), *[unpack(x, 1)[0].astype(float) for x in held]])
+            if len(n) != len(keys):
+                raise RuntimeError("the documents changed between two reads")
+            automaton = Automaton(n[at], starts, tokens, distinct, prior)
+            own = np.flatnonzero(asked).tolist()
+            base, known = np.add.reduceat(automaton.unigram, starts), np.add.reduceat(automaton.known.astype(np.int64), starts)
+            return {"doc_id": [ids[k] for k in own], "n_tokens": lengths[own].tolist(), "n_known": known[own].tolist(), "base_score": base[own].tolist(), "score": [automaton.walk(k) for k in own]}
+
         for b in batches:
-            for what, chunk, data, *head in zip(*[b[n] for n in ("what", "chunk", "data", *doc.names)], strict=True):
-                if what == HEAD:
-                    heads[chunk].append(head)
-                else:
-                    sums[chunk].append((what, data))
-        for chunk, own in heads.items():
-            row, doc_id, n_tokens, known, base, total = zip(*sorted(own, key=lambda h: h[0]), strict=True)
-            known, base, total = np.array(known, float), np.array(base), np.array(total)
-            for what, data in sums.pop(chunk, ()):
-                if what == SUM:
-                    at, k, x, y = unpack(data, 4)
-                    at = at.astype(np.int64)
-                    known[at] += k
-                    base[at] += x.view(float)
-                    total[at] += y.view(float)
+            for what, chunk, ids, lengths, data in zip(b["what"], b["chunk"], b["ids"], b["lengths"], b["data"], strict=True):
+                if what == CHUNK_:
+                    if head:
+                        yield scored()
+                    head, held, name = (ids, lengths, data), [], chunk
+                elif chunk != name:
+                    raise RuntimeError("the documents changed between two reads")
                 else:
-                    s, at = (v.astype(np.int64) for v in unpack(data, 2))
-                    total += np.bincount(at, weights.value[s], len(total))
-            yield {"row": row, "doc_id": doc_id, "n_tokens": n_tokens, "n_known": known.astype(np.int64).tolist(), "base_score": base.tolist(), "score": total.tolist()}
-
-    what = F.col("what")
-    rest = map_lists(found.where(what.isin(STATE, MISS)).repartition(parts, "bucket"), back_off, schema)
-    back = found.where(what.isin(SUM, HEAD, HOT_MISS)).unionByName(rest)
-    out = map_lists(back.repartition(parts, "bucket"), by_document, doc)
-    return out.select("doc_id", "n_tokens", "n_known", F.lit(automaton.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+                    held.append(data)
+        if head:
+            yield scored()
+
+    none = [F.lit(None).cast(whole[c].dataType).alias(c) for c in ("ids", "lengths")]
+    both = map_lists(rows, resend, whole).unionByName(found.where(F.col("what") == COUNTS).select("*", *none))
+    ordered = both.repartition(parts, "chunk").sortWithinPartitions("chunk", "what", "range").select("what", "chunk", "ids", "lengths", "data")
+    return map_lists(ordered, walk, out).select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
