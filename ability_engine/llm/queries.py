@@ -40,7 +40,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return secrets.digest(secrets.report(docs, secrets.scan(docs)))
+    return secrets.digest(secrets.report(docs, secrets.update(docs, new_path(spark, "ledger"))))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,9 +51,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), remainder("doc_id", 7) == 2
-    _, automaton = lm.train(docs.where(~held))
-    scored = lm.score(docs, ~held, automaton)
-    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return lm.score(docs, ~held).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +61,35 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_near_duplicates, op3_decontamination, op4_quality_model, op5_token_files, op6_chat, op7_secrets, op8_quality_rules, op9_lm, op10_language)}
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words(pattern: str) -> str:
+    return f"list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{pattern}'), lambda w: w <> '')"
+
+
+#: All pairs by their common shingles, then reachability: for small tables.
+_NEAR = rf"""WITH RECURSIVE w AS (SELECT doc_id, {_words(r'[\x20\x09-\x0D]+')} AS words FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')] ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda k: array_to_string(list_slice(words, k, k + 4), ' '))) END AS s FROM w),
+sized AS (SELECT doc_id, len(s) AS n, s FROM sets), t AS (SELECT doc_id, n, unnest(s) AS shingle FROM sized),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM sized UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a), least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sized JOIN least USING (doc_id)"""
+
+_LEAKS = rf"""WITH items AS (SELECT item_id, {_words(decontaminate.SEPARATORS)} AS w FROM benchmark), spans AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM items WHERE len(w) > 0),
+wins AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, array_to_string(list_slice(w, k, k + 9), ' ') AS phrase, least(len(w), 10) AS size FROM spans),
+docs AS (SELECT doc_id, {_words(decontaminate.SEPARATORS)} AS w FROM documents), places AS (SELECT doc_id, size, k, array_to_string(list_slice(w, k, k + size - 1), ' ') AS phrase FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM docs, (SELECT DISTINCT size FROM wins))),
+hits AS (SELECT p.doc_id, p.k, p.size, x.item FROM places p JOIN wins x ON p.phrase = x.phrase), n AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS place FROM hits) GROUP BY 1), i AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM hits GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM docs d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN i ON d.doc_id = i.doc_id"""
+
+
+def _escaped(text: str) -> str:
+    return rf"regexp_replace(regexp_replace(replace({text}, '\', '\\'), '(\[)(/?ROLE\]|/?INST\])', '\1\\\2', 'g'), '(<)(/?s>|\|image\|>|\|audio\|>|\|document\|>)', '\1\\\2', 'g')"
+
+
+_CHAT = f"""WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+CAST(sum(length({_escaped('role')}) + length({_escaped('text')}) + 17) AS BIGINT) AS formatted_chars FROM turns GROUP BY conv_id"""
+
+#: The others rest on fitted models, tokenizers or patterns that SQL lacks; tests hold them against brute force.
+ORACLES: dict[str, str] = {"op2_near_duplicates": _NEAR, "op3_decontamination": _LEAKS, "op6_chat": _CHAT}

@@ -106,6 +106,44 @@ def test_near_duplicates_of_a_hot_group(spark):
     assert got == brute_components(texts)
 
 
+def two_clusters(n):
+    """Near copies of two texts that share a passage, n and 2n of them."""
+    rng, passage = np.random.default_rng(3), [f"p{k}" for k in range(150)]
+    texts = {}
+    for d in range(3 * n):
+        words = passage + [f"{'ab'[d % 3 > 0]}{k}" for k in range(150)]
+        words[int(rng.integers(0, 300))] = f"e{d}"
+        texts[d] = " ".join(words)
+    return texts
+
+
+def test_pairs_grow_with_the_copies_in_two_clusters(spark):
+    compared = []
+    for n in (40, 80):
+        texts = two_clusters(n)
+        df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+        rows = neardup.sketches(df).cache()
+        of_set = rows.select("set_id", "key")
+        _, stars, pairs = neardup.candidate_pairs(rows.select("set_id", "sketch"), lambda wanted: neardup.full_sets(df, wanted.join(of_set, "set_id")), 85)  # noqa: B023
+        compared.append(stars.count() + pairs.count())
+        if n == 40:
+            got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.components(df).collect()}
+            assert got == brute_components(texts)
+    assert compared[0] <= 6 * 120 and compared[1] <= 6 * 240  # all pairs of the larger cluster alone: 12,720
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    a, b = " ".join(BASE * 5), " ".join(f"z{k}" for k in range(60))
+    made = [(None, a), (5, a + " more"), (5, b), (7, b), (7, b), (3, a), (None, None), (None, ""), (4, ""), (4, "")]
+    df = spark.createDataFrame(made, "doc_id long, text string").withColumn("_key", F.lit(1)).withColumn("_once", F.lit("x"))
+    got = sorted(((r.doc_id, r.component_id, r.kept, r.n_shingles > 0) for r in neardup.components(df).collect()), key=str)
+    want = [(None, 3, False, True), (5, 3, False, True), (3, 3, True, True), (5, 5, True, True), (7, 5, False, True), (7, 5, False, True), (None, None, True, False), (None, None, True, False), (4, 4, True, False), (4, 4, True, False)]
+    assert got == sorted(want, key=str)
+    one = neardup.keep_one(df)
+    assert one.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in one.collect()), key=str) == sorted([(3, a), (5, b), (None, None), (None, ""), (4, ""), (4, "")], key=str)
+
+
 def test_decontamination(spark, docs):
     bench = spark.createDataFrame([(1, WINDOW), (2, "short text"), (3, None), (4, ""), (10, WINDOW), (5, "never there at all")], "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate.report(docs, bench).collect()}
@@ -130,7 +168,7 @@ def test_token_files(spark, docs, tmp_path):
 @pytest.mark.parametrize("ends", [[1], [3, 3, 9], list(range(0, 100_000, 37)), [5] * 200 + [10**9]])
 def test_elias_fano(ends):
     b = tokenfile.Bounds.from_bytes(tokenfile.Bounds.of(np.array(ends)).to_bytes())
-    assert b.all().tolist() == ends and [b.select(k) for k in range(len(ends))] == ends
+    assert [b.select(k) for k in range(len(ends))] == ends
 
 
 def test_chat(spark):
@@ -179,6 +217,30 @@ def test_ledger_is_incremental(docs):
     assert {tuple(r.scanned) for r in secrets.scan(docs, ledger, newer).collect()} == {("hex@2",)}
 
 
+def test_ledger_on_disk_scans_each_version_once(spark, docs, tmp_path, monkeypatch):
+    path = str(tmp_path / "ledger")
+    history = spark.createDataFrame([(1, 1, "token = abcdef123"), (1, 2, "nothing"), (1, 3, "token = abcdef123"), (2, 1, "nothing"), (None, 1, None)], "doc_id long, version int, text string")
+    first = secrets.update(history, path)
+    assert first.count() == 3
+    scanned = []
+    real = secrets.scan
+    monkeypatch.setattr(secrets, "scan", lambda *a: scanned.append(real(*a).count()) or real(*a))
+    assert secrets.update(history, path).count() == 3
+    more = history.union(spark.createDataFrame([(2, 2, "AKIA" + "B" * 16)], history.schema))
+    ledger = secrets.update(more, path)
+    assert scanned == [0, 1]
+    got = {(r.doc_id, r.version): [f.kind for f in r.findings] for r in secrets.report(more, ledger, path=("doc_id", "version")).collect()}
+    assert got == {(1, 1): ["assign"], (1, 2): [], (1, 3): ["assign"], (2, 1): [], (None, 1): [], (2, 2): ["access"]}
+
+
+def test_redaction(spark):
+    text = "x AKIA" + "A" * 20 + " token=" + "0123456789abcdef" * 2 + " y"
+    df = spark.createDataFrame([(1, text, 3, 4), (None, text, 3, 4), (2, None, 3, 4), (3, "clean", 3, 4)], "doc_id long, text string, _blob int, _spans int")
+    got = secrets.redact(df, secrets.scan(df))
+    assert got.columns == df.columns and sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, "x [secret] [secret] y"), (None, "x [secret] [secret] y"), (2, None), (3, "clean")], key=str)
+    assert secrets.redacted("abcdef", [(1, 3), (2, 4), (5, 6)], "-") == "a-e-"
+
+
 def test_quality_rules(docs):
     for r in quality_rules.judge(docs, None).collect():
         text = rows()[r.doc_id][1] or ""
@@ -210,7 +272,7 @@ def test_lm_base(docs):
     words = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
     counts = Counter(w for r in rows() if r[0] % 2 for w in words(r[1]))
     n, v = sum(counts.values()), len(counts)
-    got = lm.score(docs, *lm.train(docs.where("doc_id % 2 = 1"))).collect()
+    got = lm.score(docs, docs.where("doc_id % 2 = 1")).collect()
     assert len(got) == len(rows())
     for r in got:
         w = words(rows()[r.doc_id][1])
@@ -218,35 +280,35 @@ def test_lm_base(docs):
         assert r.base_score == pytest.approx(sum(log10((counts[x] + 1) / (n + v + 1)) for x in w)) and r.score < 0
 
 
-def test_lm_keeps_every_pair(spark, monkeypatch):
-    """The backoff model of all pairs by brute force, with frequent words and pairs broadcast and with none, in many chunks and parts."""
+def test_lm_scores_by_brute_force(spark):
+    """All n-grams of one to three tokens, in many chunks and parts, as rows of the table and as a table of their own."""
     rng = np.random.default_rng(7)
-    made = [(k, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 60) % 400)) for k in range(300)] + [(300, None), (301, "new words"), (302, "w1 new w1")]
+    made = [(k, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 60) % 40)) for k in range(300)] + [(300, None), (301, "new words"), (302, "w1 new w1"), (302, "w1 new w1"), (None, "w1 w2 w1")]
     docs = spark.createDataFrame(made, "doc_id long, text string")
     tokens = lambda t: [None, *(t or "").split(), None]
-    learned = [tokens(t) for d, t in made if d % 3]
-    n, pairs = Counter(w for t in learned for w in t[1:]), Counter(p for t in learned for p in zip(t, t[1:]))
-    after = defaultdict(set)
-    for s, w in pairs:
-        after[s].add(w)
-    unigram = lambda w: (n[w] + 1) / (sum(n.values()) + len(n) + 1)
-
-    def step(s, w):
-        if pairs[s, w]:
-            return log10((pairs[s, w] - 0.75) / n[s])
-        back = 0.75 * len(after[s]) / n[s] / (1 - sum(map(unigram, after[s]))) if n[s] else 1
-        return log10(back * unigram(w))
-
-    monkeypatch.setattr(lm, "CHUNK", 700)
-    monkeypatch.setattr(lm, "PART", 20_000)
-    for least_word, least_pair in ((1e-3, 5e-3), (1e-6, 1e-5), (0.01, 1.0), (1.0, 1.0)):
-        learned, automaton = lm.train(docs.where("doc_id % 3 <> 0"), least_word, least_pair)
-        got = lm.score(docs, F.expr("doc_id % 3 <> 0") if least_word < 0.01 else learned, automaton).collect()
-        assert sorted(r.doc_id for r in got) == list(range(303))
+    learned = [tokens(t) for d, t in made if d is not None and d % 3]
+    counts = Counter(tuple(t[k : k + n]) for t in learned for n in (1, 2, 3) for k in range(n == 1, len(t) - n + 1))
+    total, distinct = sum(c for g, c in counts.items() if len(g) == 1), sum(len(g) == 1 for g in counts)
+
+    def p(context, w):
+        if not context:
+            return (counts[(w,)] + 1) / (total + distinct + 1)
+        k = lm.PRIOR[len(context) - 1]
+        return (counts[(*context, w)] + k * p(context[1:], w)) / (counts[context] + k)
+
+    vocabulary = [*{w for g in counts for w in g}, "never"]
+    for context in [(), (None,), ("w1",), (None, "w1"), ("w1", "w2"), ("never", "w1")]:
+        assert sum(p(context, w) for w in vocabulary) == pytest.approx(1)
+    condition = F.expr("doc_id % 3 <> 0")
+    for how, chunk, part in ((condition, 700, 20_000), (docs.where(condition), 700, 5_000), (condition, 10**6, 10**7)):
+        got = lm.score(docs, how, chunk_tokens=chunk, part_chars=part).collect()
+        assert sorted(str(r.doc_id) for r in got) == sorted(str(d) for d, _ in made)
+        texts = dict(made)
         for r in got:
-            t = tokens(made[r.doc_id][1])
-            assert r.n_known == sum(n[w] > 0 for w in t[1:]) and r.base_score == pytest.approx(sum(log10(unigram(w)) for w in t[1:]))
-            assert r.score == pytest.approx(sum(map(step, t, t[1:])))
+            t = tokens(texts[r.doc_id])
+            assert r.train_tokens == total and r.n_known == sum(counts[(w,)] > 0 for w in t[1:])
+            assert r.base_score == pytest.approx(sum(log10(p((), w)) for w in t[1:]))
+            assert r.score == pytest.approx(sum(log10(p(tuple(t[max(0, k - 2) : k]), t[k])) for k in range(1, len(t))))
 
 
 def test_language(spark):
@@ -261,7 +323,7 @@ def test_empty_tables(spark, empty, tmp_path):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([], "item_id long, text string")
     tokenfile.write_tokens(empty, str(tmp_path / "e"))
-    found = [packing.pack(empty), neardup.components(empty), decontaminate.report(empty, bench), quality_model.score(empty, quality_model.train(empty, labels)), quality_rules.judge(empty, quality_rules.train(empty, labels)), secrets.digest(secrets.report(empty, secrets.scan(empty))), lm.score(empty, *lm.train(empty)), language.predict(empty, *language.train(empty, F.lit(True)))]
+    found = [packing.pack(empty), neardup.components(empty), decontaminate.report(empty, bench), quality_model.score(empty, quality_model.train(empty, labels)), quality_rules.judge(empty, quality_rules.train(empty, labels)), secrets.digest(secrets.report(empty, secrets.scan(empty))), lm.score(empty, empty), language.predict(empty, *language.train(empty, F.lit(True)))]
     assert [df.count() for df in found] == [0] * len(found)
 
 
