@@ -61,13 +61,24 @@ def traffic_log(spark, sf_dir):
     return lines.groupBy("v.day", "v.class").agg(F.count("*").alias("lines"))
 
 
-@query("traffic_stream", f"SELECT CAST(ts AS DATE) AS day, count(DISTINCT user_id) AS visitors FROM events WHERE {_CLASS} = 'visit' AND CAST(ts AS DATE) <> DATE '2024-01-02' GROUP BY 1")
-def traffic_stream(spark, sf_dir):
+def _folded(spark, sf_dir, closed=None):
     events = spark.readStream.schema(a.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")  # a pattern also takes a table of one file
     folder = traffic.shared_folder(spark, "visits")
-    closed = spark.sql("select date'2024-01-02' as day")
-    traffic.fold(events.select(F.expr(_LINE).alias("value")), f"{folder}/pairs", f"{folder}/offsets", closed).awaitTermination()
-    return traffic.visitors(spark, f"{folder}/pairs")
+    traffic.fold(events.select(F.expr(_LINE).alias("value")), f"{folder}/visits", f"{folder}/offsets", closed).awaitTermination()
+    return f"{folder}/visits"
+
+
+@query("traffic_stream", f"SELECT CAST(ts AS DATE) AS day, count(DISTINCT user_id) AS visitors FROM events WHERE {_CLASS} = 'visit' AND CAST(ts AS DATE) <> DATE '2024-01-02' GROUP BY 1")
+def traffic_stream(spark, sf_dir):
+    return traffic.visitors(spark, _folded(spark, sf_dir, spark.sql("select date'2024-01-02' as day")))
+
+
+@query("traffic_retained", f"WITH d AS (SELECT CAST(ts AS DATE) AS day, count(DISTINCT user_id) AS visitors FROM events WHERE {_CLASS} = 'visit' GROUP BY 1) SELECT * FROM d WHERE day >= DATE '2024-01-20' UNION ALL (SELECT * FROM d WHERE day < DATE '2024-01-20' ORDER BY day DESC LIMIT 14)")
+def traffic_retained(spark, sf_dir):
+    folder = _folded(spark, sf_dir)
+    traffic.compact(spark, folder, "2024-01-20")
+    traffic.compact(spark, folder, "2024-01-20")  # closing twice changes nothing
+    return traffic.visitors(spark, folder)
 
 
 @query("quote_verification", "SELECT item_id, true AS verified, item_id % 3 = 2 AS altered FROM benchmark WHERE item_id % 3 <> 2 AND length(trim(text)) > 0 UNION ALL SELECT item_id, false, true FROM benchmark WHERE item_id % 3 = 2 AND length(trim(text)) > 0")
