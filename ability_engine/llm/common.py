@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,6 +92,24 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+class WordHashes(dict):
+    """64-bit hashes of words, with a bounded memo: frequent words stay at hand, and a worker's memory doesn't grow with the vocabulary."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 150_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+#: One memo for each Python worker, whatever operators it runs.
+_HASHES = WordHashes()
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+
+
 def struct_of(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(*f) for f in fields])
 

@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ability_engine.llm.common import map_lists, struct_of
+from ability_engine.llm.common import map_lists, struct_of, word_hashes
 
 #: Buckets of each block (character 3-grams, words, word pairs), then eight numbers on length and repetition.
 BLOCK = 2048
@@ -19,19 +18,6 @@ LENGTHS = (5, 10, 25, 50)
 _BITS = np.uint32(32 - 11)
 
 
-class WordHash(dict):
-    """32-bit hashes of words, with a bounded memo."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh32_intdigest(word)
-        return h
-
-
-_WORDS = WordHash()
-
-
 def _spread(h: np.ndarray) -> np.ndarray:
     return (h * np.uint32(0x9E3779B1)) >> _BITS
 
@@ -49,7 +35,7 @@ def features(text: str | None) -> np.ndarray:
         x[:BLOCK] = np.bincount(_spread(b[:-2] << 16 | b[1:-1] << 8 | b[2:]), minlength=BLOCK) / (len(b) - 2)
     words = data.split()
     if words:
-        h = np.fromiter(map(_WORDS.__getitem__, words), np.uint32, len(words))
+        h = word_hashes(words).astype(np.uint32)
         x[BLOCK : 2 * BLOCK] = np.bincount(_spread(h), minlength=BLOCK) / len(h)
         if len(h) > 1:
             pairs = h[:-1] * np.uint32(31) + h[1:]
