@@ -7,31 +7,35 @@ similarity; candidates far below the threshold (``sigmas`` standard errors) end
 
 Copies and hot groups: documents with equal sets are one class, and only classes are compared. In a band's group of up to ``few`` classes all
 pairs are candidates. A larger group has a center, the member that shares most bands with others, and groups of one center are joined. Each
-member x is verified against the center c, which gives its edits E(x), the symmetric difference of x and c. As E(a) and E(b) differ just
-where a and b do, pairs within the group are found by their edits: a member linked to the center needs no other link, and any other
-member a is linked with b only if they share so many edits that one of b's rarest ones is among a's. So the pairs come from a join on edits
-with prefix, length and positional filters; a group of n near copies costs about n comparisons, and no link is lost.
+member is verified against the center; those linked to it form its star and need no other link among themselves. The others get a center of
+their own, and so on, so a cluster of n near copies costs about n comparisons however many clusters a group has; a group of ``few`` is
+compared in pairs. A member x outside a star of center c can be linked into it only if its edits E(x), the symmetric difference of x and c, are few
+enough; such x meet the star by a join on edits with prefix, length and positional filters, as E(a) and E(b) differ just where a and b do. So
+do the members that ``rounds`` centers leave. No link of the bands' candidates is lost in any of this.
+
+A pair at similarity 0.85 shares no band with probability 2e-8, and the estimate rules it out with probability below 1e-11.
 
 Components are found by alternating large-star and small-star steps on tables. Nothing but counts comes to the driver.
 
 Defined cases: a text without words (or null) has an empty set, is linked with nothing and is kept. With fewer than five words the whole sequence is
-the one shingle. Rows are documents: equal rows fall into one class, and the class's least doc_id stands for it; rows that share a doc_id but
-not a text stay apart until a link joins them. Other columns are ignored by ``components`` and kept by ``keep_one``.
+the one shingle. Rows are documents, known by a digest of doc_id and text: equal rows fall into one class; rows that share a doc_id but not a
+text stay apart until a link joins them; a null doc_id has links like any other, and its component's id is the least that isn't null. Other
+columns are ignored by ``components`` and kept by ``keep_one``, which leaves one row of each component: that of the least doc_id, nulls last.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ability_engine.llm.common import map_lists, stash, struct_of, words_of
+from ability_engine.llm.common import map_lists, row_key, stash, struct_of, unused, word_hashes, words_of
 
 SHINGLE = 5
 BANDS, ROWS = 24, 4
@@ -43,23 +47,12 @@ _ADD = _rng.integers(0, 1 << 32, BUCKETS, np.uint64).astype(np.uint32)[:, None]
 _TURN = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
-class _Hash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_HASH = _Hash()
-
-
 def shingles(text: str | None) -> np.ndarray:
     """The set of a text: sorted distinct 64-bit hashes of its shingles."""
     words = words_of(text)
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words))
+    h = word_hashes(words)
     width = min(SHINGLE, len(h))
     s = np.full(len(h) - width + 1, width, np.uint64)
     for k in range(width):
@@ -88,9 +81,8 @@ def estimate(equal: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_shingles, set_id (a 128-bit digest of the set; null if it is empty) and the sketch as BANDS longs."""
-    kind = docs.schema["doc_id"].dataType
-    schema = struct_of(("doc_id", kind), ("text_hash", T.LongType()), ("n_shingles", T.LongType()), ("set_id", T.BinaryType()), ("sketch", T.ArrayType(T.LongType())))
+    """doc_id, key, n_shingles, set_id (a 128-bit digest of the set; null if it is empty) and the sketch as BANDS longs."""
+    schema = struct_of(("doc_id", docs.schema["doc_id"].dataType), ("key", T.BinaryType()), ("n_shingles", T.LongType()), ("set_id", T.BinaryType()), ("sketch", T.ArrayType(T.LongType())))
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for b in batches:
@@ -100,24 +92,23 @@ def sketches(docs: DataFrame) -> DataFrame:
                 n.append(len(s))
                 ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 found.append(registers(s).view(np.int64) if len(s) else None)
-            yield {"doc_id": b["doc_id"], "text_hash": b["text_hash"], "n_shingles": n, "set_id": ids, "sketch": found}
+            yield {"doc_id": b["doc_id"], "key": b["key"], "n_shingles": n, "set_id": ids, "sketch": found}
 
-    return map_lists(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), run, schema)
+    return map_lists(docs.select("doc_id", "text", row_key().alias("key")), run, schema)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """set_id and the full set of each row of ``wanted`` (set_id, doc_id, text_hash)."""
+    """set_id and the full set of each row of ``wanted`` (set_id, key)."""
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for b in batches:
             yield {"set_id": b["set_id"], "set": [shingles(t).tobytes() for t in b["text"]]}
 
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    found = keyed.join(wanted, ["doc_id", "text_hash"]).groupBy("set_id").agg(F.first("text").alias("text"))
+    found = docs.select(row_key().alias("key"), "text").join(wanted, "key").groupBy("set_id").agg(F.first("text").alias("text"))
     return map_lists(found, run, struct_of(("set_id", T.BinaryType()), ("set", T.BinaryType())))
 
 
-def likely(pairs: DataFrame, classes: DataFrame, percent: int, sigmas: float) -> DataFrame:
+def likely(pairs: DataFrame, classes: DataFrame, percent: int, sigmas: float = 7.0) -> DataFrame:
     """The pairs (a, b) whose estimate doesn't rule the threshold out."""
     t = percent / 100
     least = t - sigmas * (t * (1 - t) / BUCKETS) ** 0.5
@@ -173,83 +164,132 @@ def connect(links: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
 
 
-def edits(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """center, set_id, the sizes n and n_center of their sets, and their symmetric difference, of every row of ``members``."""
-    schema = struct_of(("center", T.BinaryType()), ("set_id", T.BinaryType()), ("n", T.LongType()), ("n_center", T.LongType()), ("edits", T.ArrayType(T.LongType())))
+def edits(members: DataFrame, sets: DataFrame, salts: int = 16) -> DataFrame:
+    """``members`` (center, set_id, score) with the sizes n and n_center of their sets, and their symmetric difference.
+
+    A center's set comes first in each of ``salts`` parts of its group, and its members stream past it, so it isn't copied to their rows.
+    """
+    schema = struct_of(("center", T.BinaryType()), ("set_id", T.BinaryType()), ("score", T.LongType()), ("n", T.LongType()), ("n_center", T.LongType()), ("edits", T.ArrayType(T.LongType())))
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        at, v = None, np.zeros(0, np.uint64)
         for batch in batches:
-            out: dict[str, list] = {"center": batch["center"], "set_id": batch["set_id"], "n": [], "n_center": [], "edits": []}
-            for x, c in zip(batch["set"], batch["center_set"], strict=True):
-                u, v = np.frombuffer(x, np.uint64), np.frombuffer(c, np.uint64)
-                out["n"].append(len(u))
-                out["n_center"].append(len(v))
-                out["edits"].append(np.setxor1d(u, v, assume_unique=True).view(np.int64))
+            out: dict[str, list] = {f: [] for f in schema.names}
+            for center, set_id, score, data in zip(batch["center"], batch["set_id"], batch["score"], batch["set"], strict=True):
+                u = np.frombuffer(data, np.uint64)
+                if set_id is None:
+                    at, v = center, u
+                    continue
+                if center != at:
+                    raise RuntimeError("a member without its center")
+                for name, value in zip(schema.names, (center, set_id, score, len(u), len(v), np.setxor1d(u, v, assume_unique=True).view(np.int64)), strict=True):
+                    out[name].append(value)
             yield out
 
-    both = members.join(sets, "set_id").join(sets.select(F.col("set_id").alias("center"), F.col("set").alias("center_set")), "center")
-    return map_lists(both.select("center", "set_id", "set", "center_set"), run, schema)
+    salt = F.pmod(F.hash("set_id"), F.lit(salts))
+    rows = members.join(sets, "set_id").select("center", "set_id", "score", "set", salt.alias("salt"))
+    heads = rows.select("center", "salt").distinct().join(sets.select(F.col("set_id").alias("center"), "set"), "center").select("center", F.lit(None).cast("binary").alias("set_id"), F.lit(None).cast("long").alias("score"), "set", "salt")
+    both = rows.unionByName(heads).repartition("center", "salt").sortWithinPartitions("center", "salt", F.asc_nulls_first("set_id"))
+    return map_lists(both.select("center", "set_id", "score", "set"), run, schema)
 
 
-def edit_pairs(found: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of one center's group that may be linked, where a isn't linked to the center.
+def edit_pairs(found: DataFrame, probe: Column, index: Column, percent: int) -> DataFrame:
+    """Pairs (a, b) that may be linked, of rows of ``found`` with one center where ``probe`` holds for a, which isn't linked to it, and ``index`` for b.
 
     With k = (100 - percent) / (100 + percent), x and y are linked if |x ^ y| <= k (|x| + |y|), that is if they share at least
     (|E(x)| + |E(y)| - k (|x| + |y|)) / 2 edits. If x isn't linked to the center that is more than (1 - k) |E(y)| / 2.
     """
     k = (100 - percent) / (100 + percent)
-    size = F.size("edits")
-    tokens = found.select("center", "set_id", "n", size.alias("e"), (size > k * (F.col("n") + F.col("n_center")) - 1e-9).alias("outside"), F.explode("edits").alias("edit"))
-    often = tokens.groupBy("center", "edit").agg(F.count("*").alias("times"))
-    rarest = Window.partitionBy("center", "set_id").orderBy("times", "edit")
-    ranked = tokens.join(often, ["center", "edit"]).withColumn("rank", F.row_number().over(rarest) - 1).where("times > 1")
-    ranked = stash(ranked.select("center", "edit", "set_id", "n", "e", "outside", "rank"), "edits")
+    tokens = found.select("center", "set_id", "n", F.size("edits").alias("e"), probe.alias("probe"), index.alias("index"), F.explode("edits").alias("edit")).where("probe or index")
+    often = tokens.groupBy("center", "edit").agg(F.count("*").alias("times"), F.max("probe").alias("probed")).where("probed and times > 1")
+    rarest = Window.partitionBy("center", "set_id").orderBy("times", "edit")  # the edits of one member
+    ranked = stash(tokens.join(often, ["center", "edit"], "left").withColumn("rank", F.row_number().over(rarest) - 1).where("times is not null"), "edits")
     side = lambda df, x: df.select("center", "edit", *[F.col(c).alias(f"{c}_{x}") for c in ("set_id", "n", "e", "rank")])
-    probe = side(ranked.where("outside"), "a")
-    index = side(ranked.where(F.col("rank") <= F.col("e") - F.greatest(F.lit(1), F.ceil((1 - k) / 2 * F.col("e") - 1e-9))), "b")
+    left = side(ranked.where("probe"), "a")
+    right = side(ranked.where("index").where(F.col("rank") <= F.col("e") - F.greatest(F.lit(1), F.ceil((1 - k) / 2 * F.col("e") - 1e-9))), "b")
     most = k * (F.col("n_a") + F.col("n_b")) + 1e-9
     fits = (F.abs(F.col("e_a") - F.col("e_b")) <= most) & (2 * F.least(F.col("e_a") - F.col("rank_a"), F.col("e_b") - F.col("rank_b")) >= F.col("e_a") + F.col("e_b") - most)
-    pairs = probe.join(index, ["center", "edit"]).where((F.col("set_id_a") != F.col("set_id_b")) & fits)
+    pairs = left.join(right, ["center", "edit"]).where((F.col("set_id_a") != F.col("set_id_b")) & fits)
     return pairs.select(F.least("set_id_a", "set_id_b").alias("a"), F.greatest("set_id_a", "set_id_b").alias("b")).distinct()
 
 
-def components(docs: DataFrame, percent: int = 85, sigmas: float = 5.0, few: int = 8) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and component (the digest that stands for the component, null for empty sets) of every row."""
-    rows = stash(sketches(docs), "sketches")
-    full = rows.where("n_shingles > 0")
-    member = F.min(F.struct("doc_id", "text_hash")).alias("member")
-    classes = stash(full.groupBy("set_id").agg(member, F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
+def all_pairs(members: DataFrame, *group: str) -> DataFrame:
+    """The pairs (a, b) of ``members`` (group, set_id) of one group; for groups of a few."""
+    left, right = members.select(*group, F.col("set_id").alias("a")), members.select(*group, F.col("set_id").alias("b"))
+    return left.join(right, [*group]).where("a < b").select("a", "b").distinct()
 
-    bands = classes.select("set_id", F.posexplode("sketch").alias("band", "key"))
+
+def hot_pairs(members: DataFrame, sets: DataFrame, percent: int, few: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Links to centers, and further candidates, of groups of more than ``few`` members. members: center, set_id, score; the center is no member of its own."""
+    k = (100 - percent) / (100 + percent)
+    linked = F.size("edits") <= k * (F.col("n") + F.col("n_center")) + 1e-9
+    # |E(x)| <= |x ^ y| + |E(y)|, and |y| is at most |x| * 100 / percent, for y in the star.
+    near = F.size("edits") <= k * (F.col("n") * (1 + 200 / percent) + F.col("n_center")) + 1e-9
+    stars, candidates = [], []
+    for turn in range(rounds):
+        found = stash(edits(members, sets), "edits")
+        stars.append(found.where(linked).select(F.col("center").alias("a"), F.col("set_id").alias("b")))
+        outside = found.where(~linked)
+        if outside.isEmpty():
+            break
+        candidates.append(edit_pairs(found, ~linked & near, linked, percent))
+        size = outside.groupBy("center").agg(F.count("*").alias("size"), F.max_by("set_id", F.struct("score", "set_id")).alias("next"))
+        sized = stash(outside.select("center", "set_id", "score").join(size, "center"), "outside")
+        candidates.append(all_pairs(sized.where(F.col("size") <= few), "center"))
+        rest = sized.where(F.col("size") > few)
+        if rest.isEmpty():
+            break
+        if turn == rounds - 1:
+            left = found.join(rest.select("center", "set_id"), ["center", "set_id"], "left_semi")
+            candidates.append(edit_pairs(left, F.lit(True), F.lit(True), percent))
+        members = rest.where("set_id <> next").select(F.col("next").alias("center"), "set_id", "score").distinct()
+    return reduce(DataFrame.unionByName, stars), reduce(DataFrame.unionByName, candidates) if candidates else stars[0].limit(0)
+
+
+def candidate_pairs(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, few: int = 8, rounds: int = 4, salts: int = 16) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(full sets, links to centers, candidates) of classes (set_id, sketch) that share a band. ``sets_of`` gives the full sets of set_ids."""
+    # A band's group may be hot: its members are spread over ``salts`` parts wherever they meet what is known of the group.
+    salt = F.pmod(F.hash("set_id"), F.lit(salts)).alias("salt")
+    spread = lambda groups: groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    bands = classes.select("set_id", F.posexplode("sketch").alias("band", "key"), salt)
     groups = bands.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
-    members = stash(bands.join(groups, ["band", "key"]), "members")
-    wanted = members.select("set_id").distinct().join(classes, "set_id").select("set_id", "member.doc_id", "member.text_hash")
-    sets = stash(full_sets(docs, wanted), "sets")
+    members = stash(bands.join(spread(groups), ["band", "key", "salt"]), "members")
+    sets = stash(sets_of(members.select("set_id").distinct()), "sets")
 
-    small = members.where(F.col("size") <= few).select("band", "key", "set_id")
-    pairs = small.select("band", "key", F.col("set_id").alias("a")).join(small.select("band", "key", F.col("set_id").alias("b")), ["band", "key"]).where("a < b").select("a", "b").distinct()
-    large = members.where(F.col("size") > few)
+    pairs = all_pairs(members.where(F.col("size") <= few), "band", "key")
     score = members.groupBy("set_id").agg(F.sum("size").alias("score"))
-    centers = large.join(score, "set_id").groupBy("band", "key").agg(F.max(F.struct("score", "set_id")).alias("top")).select("band", "key", F.col("top.set_id").alias("center"))
-    grouped = large.join(centers, ["band", "key"]).where("set_id <> center").select("center", "set_id").distinct()
-    found = stash(edits(grouped, sets), "edits")
-    starred = found.where((100 + percent) * F.size("edits") <= (100 - percent) * (F.col("n") + F.col("n_center"))).select(F.col("center").alias("a"), F.col("set_id").alias("b"))
-    checked = verify(likely(pairs.unionByName(edit_pairs(found, percent)).distinct(), classes, percent, sigmas), sets, percent)
-    roots = connect(starred.unionByName(checked))
-
-    named = classes.select("set_id", F.col("member.doc_id").alias("doc_id")).join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "doc_id", F.coalesce("root", "set_id").alias("root"))
+    large = stash(members.where(F.col("size") > few).join(score, "set_id"), "large")
+    if large.isEmpty():
+        return sets, pairs.limit(0), pairs
+    centers = large.groupBy("band", "key").agg(F.max(F.struct("score", "set_id")).alias("top")).select("band", "key", F.col("top.set_id").alias("center"))
+    grouped = large.join(spread(centers), ["band", "key", "salt"]).where("set_id <> center").select("center", "set_id", "score").distinct()
+    stars, more = hot_pairs(grouped, sets, percent, few, rounds)
+    return sets, stars, pairs.unionByName(more).distinct()
+
+
+def components(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """doc_id, key, n_shingles, component_id, kept and component (the digest that stands for the component, null for empty sets) of every row."""
+    rows = stash(sketches(docs), "sketches")
+    full = rows.where("n_shingles > 0")
+    classes = stash(full.groupBy("set_id").agg(F.min("key").alias("key"), F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
+    sets, stars, pairs = candidate_pairs(classes, lambda wanted: full_sets(docs, wanted.join(classes, "set_id").select("set_id", "key")), percent)
+    roots = connect(stars.unionByName(verify(likely(pairs, classes, percent), sets, percent)))
+
+    named = classes.select("set_id", "doc_id").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "doc_id", F.coalesce("root", "set_id").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_set = named.join(least, "root").select("set_id", "component_id", F.col("root").alias("component"))
-    linked = full.select("doc_id", "n_shingles", "set_id").join(of_set, "set_id").select("doc_id", "n_shingles", "component_id", "component")
-    alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("component"))
+    linked = full.select("doc_id", "key", "n_shingles", "set_id").join(of_set, "set_id").select("doc_id", "key", "n_shingles", "component_id", "component")
+    alone = rows.where("n_shingles = 0").select("doc_id", "key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("component"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """One document of each component, with all columns of ``docs``; documents without words all stay."""
+    """One row of each component, with all columns of ``docs``; documents without words all stay."""
+    key, once = unused(docs, "_key", "_once")
     found = components(docs, percent)
-    drop = found.where(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.join(drop, "doc_id", "left_anti")
-    worded = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")) > 0
-    once = F.when(worded, F.xxhash64("text")).otherwise(F.monotonically_increasing_id())
-    return kept.withColumn("_once", once).dropDuplicates(["doc_id", "_once"]).select(*docs.columns)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias(key)
+    chosen = found.where("component is not null").groupBy("component").agg(first).select(key, F.lit(True).alias(once))
+    empty = found.where("component is null").select(F.col("key").alias(key), F.lit(False).alias(once)).distinct()
+    kept = docs.withColumn(key, row_key()).join(chosen.unionByName(empty), key)
+    number = F.when(F.col(once), 0).otherwise(F.monotonically_increasing_id())  # equal rows of a component are one
+    return kept.withColumn(once, number).dropDuplicates([key, once]).select(*docs.columns)
