@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ability_engine.llm import decontaminate, neardup, packing, quality_rules, secrets
-from ability_engine.llm.common import stash, table
+from ability_engine.llm.common import new_path, stash, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +18,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return neardup.keep_one(docs)
+    """One document of each group of near copies, linked from a similarity of 0.8 on."""
+    return neardup.keep_one(docs, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,13 +28,13 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by a mark."""
-    return secrets.redact(docs, secrets.scan(docs))
+    """All documents, with secrets replaced by a mark. The ledger of scanned texts is a table of its own."""
+    return secrets.redact(docs, secrets.update(docs, new_path(spark, "ledger")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a training sequence."""
-    return packing.pack(docs, ids=False)
+    """A row for each piece of a training sequence, with its token ids."""
+    return packing.pack(docs)
 
 
 STAGES = [
