@@ -61,6 +61,14 @@ def rating_of(theta) -> Column:
     return RATING_BASE + RATING_STEP / math.log(10) * _col(theta)
 
 
+def theta_of_rating(rating) -> Column:
+    return (_col(rating) - RATING_BASE) * (math.log(10) / RATING_STEP)
+
+
+def rating_of_index(index) -> Column:
+    return rating_of(theta_of(index))
+
+
 def probability_of(value, unit=None, elo_reference=None) -> Column:
     """A score as a clipped probability: a percentage, or the expected result against the reference of an Elo scale."""
     share = clamp(value, *CLIP) / 100
@@ -108,6 +116,13 @@ def lognormal_cdf(mu, sigma, t) -> Column:
     return F.when(t <= 0, 0.0).when(sigma <= 0, mass).otherwise(normal_cdf((safe - mu) / sigma))
 
 
+def lognormal_quantile(mu, sigma, q) -> Column:
+    """exp(mu) if sigma isn't positive, before all else; 0 and infinity at the ends."""
+    mu, sigma, q = _col(mu), _col(sigma), _col(q)
+    inside = F.exp(mu + sigma * normal_quantile(q))
+    return F.when(sigma <= 0, F.exp(mu)).when(q <= 0, 0.0).when(q >= 1, F.lit(float("inf"))).otherwise(inside)
+
+
 def recency_weight(age, half_life: float) -> Column:
     return F.lit(1.0) if not (0 < half_life < math.inf) else F.pow(F.lit(0.5), _col(age) / half_life)
 

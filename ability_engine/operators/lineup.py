@@ -46,10 +46,14 @@ def rank_ties(ranking: DataFrame, z: float = 1.0) -> DataFrame:
     return ranked.withColumn("tied", F.count("*").over(Window.partitionBy("block", "rank")) > 1)
 
 
-def evidence(rows: DataFrame, community: Column) -> DataFrame:
-    """Of what a release's fit rests on: official, mixed or community scores only."""
+def evidence(rows: DataFrame, community: Column, releases: DataFrame | None = None) -> DataFrame:
+    """Of what a release's fit rests on: official, mixed or community scores only, with the label of the last; none for rows of ``releases`` (release_id) that aren't fitted."""
     one = rows.groupBy("release_id").agg(F.count("*").alias("n"), F.count_if(community).alias("community"))
-    return one.withColumn("kind", F.when(F.col("community") == F.col("n"), "community-only").when(F.col("community") > 0, "mixed").otherwise("official"))
+    if releases is not None:
+        one = releases.select("release_id").join(one, "release_id", "left").na.fill(0, ["n", "community"])
+    kind = F.when(F.col("n") == 0, "none").when(F.col("community") == F.col("n"), "community-only").when(F.col("community") > 0, "mixed").otherwise("official")
+    label = F.when(F.col("n") == 0, "no index benchmarks").when(F.col("community") < F.col("n"), "").when(F.col("n") == 1, "community Elo only").otherwise("community scores only")
+    return one.withColumn("kind", kind).withColumn("label", label)
 
 
 def lab_lineup(models: DataFrame, asof: Column) -> DataFrame:

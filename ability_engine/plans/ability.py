@@ -210,9 +210,10 @@ def rank_ties(spark, sf_dir):
     return lineup.rank_ties(ranking.withColumn("block", F.col("qualified")))
 
 
-@query("evidence_kind", o.sql("SELECT release_id, n, community, CASE WHEN community = n THEN 'community-only' WHEN community > 0 THEN 'mixed' ELSE 'official' END AS kind FROM (SELECT release_id, count(*) AS n, count(*) FILTER (benchmark IN ('Brand#25', 'Brand#7', 'Brand#13')) AS community FROM picked GROUP BY 1)", {"picked": o.PICKED}))
+@query("evidence_kind", o.sql("SELECT release_id, n, community, CASE WHEN n = 0 THEN 'none' WHEN community = n THEN 'community-only' WHEN community > 0 THEN 'mixed' ELSE 'official' END AS kind, CASE WHEN n = 0 THEN 'no index benchmarks' WHEN community < n THEN '' WHEN n = 1 THEN 'community Elo only' ELSE 'community scores only' END AS label FROM (SELECT s_suppkey, 'r-' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS release_id, count(p.benchmark) AS n, count(*) FILTER (benchmark IN ('Brand#25', 'Brand#7', 'Brand#13')) AS community FROM supplier LEFT JOIN picked p ON p.release_id = 'r-' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AND s_suppkey % 10 > 0 GROUP BY 1, 2)", {"picked": o.PICKED}))
 def evidence_kind(spark, sf_dir):
-    return lineup.evidence(fit.select_scores(a.scores(spark, sf_dir), a.benches(spark, sf_dir)), F.col("benchmark").isin("Brand#25", "Brand#7", "Brand#13"))
+    picked = fit.select_scores(a.scores(spark, sf_dir), a.benches(spark, sf_dir)).where("release_id not like '%0'")  # one release in ten counts as unscored
+    return lineup.evidence(picked, F.col("benchmark").isin("Brand#25", "Brand#7", "Brand#13"), a.releases(spark, sf_dir))
 
 
 @query("lab_lineup", o.sql(f"SELECT lab, tier, arg_max(release_id, (date, release_id)) AS release_id, {o.r6('arg_max(theta, (date, release_id))')} AS theta FROM models GROUP BY 1, 2", o.fit()))
@@ -325,3 +326,16 @@ def capability_fan(spark, sf_dir):
     sigma = F.lit(fit.sigma(rows).first()["sigma"])
     last = models.where("tier = 'flagship'").groupBy("lab").agg(F.max("date").alias("date"), F.max_by("index", F.struct("date", "release_id")).alias("index"))
     return rounded(forecast.capability_fan(forecast.capability_trend(models, sigma), last, on(NOW), F.lit("2025-06-01").cast("date")), "theta", "theta_low", "theta_high")
+
+
+_ELO = {"picked": o.PICKED.replace(f"{o.clipped('value')} AS y", f"CASE WHEN benchmark = 'Brand#11' THEN ln((least(greatest(1 / (1 + pow(10.0, (50.0 - value) / 400)), 0.005), 0.995)) / (1 - least(greatest(1 / (1 + pow(10.0, (50.0 - value) / 400)), 0.005), 0.995))) ELSE {o.clipped('value')} END AS y")}
+
+
+def _elo_benches(spark, sf_dir):
+    return a.benches(spark, sf_dir).withColumns({"unit": F.when(F.col("benchmark") == "Brand#11", "elo").otherwise("%"), "elo_reference": F.when(F.col("benchmark") == "Brand#11", 50.0)})
+
+
+@query("elo_fit", o.sql(f"SELECT release_id, {o.r6('theta')} AS theta, n FROM models", o.fit(), _ELO))
+def elo_fit(spark, sf_dir):
+    models, _, _ = fit.fit(a.scores(spark, sf_dir), a.releases(spark, sf_dir), _elo_benches(spark, sf_dir), dates(spark, NOW))
+    return rounded(models, "theta").select("release_id", "theta", "n")

@@ -36,6 +36,22 @@ def json_items(spark, sf_dir):
     return feeds.distinct_items(feeds.json_items(_bodies(spark, sf_dir, body)))
 
 
+@query("html_items", "SELECT p_partkey AS id, 0 AS pos, 'https://example.com/' || p_partkey AS key, p_name AS title, 'https://example.com/' || p_partkey AS link, p_brand AS date FROM part UNION ALL SELECT p_partkey, 3, 't:' || p_type, p_type, NULL, NULL FROM part")
+def html_items(spark, sf_dir):
+    html = "concat('<a class=\"x\" href=\"/', p_partkey, '#t\"><b>', p_name, '</b><time datetime=\"', p_brand, '\">now</time></a><a href=\"mailto:x\">mail us</a><a href=\"/q\">no</a><h2 id=\"h\">', p_type, '</h2><h5>deep heading</h5>')"
+    bodies = _bodies(spark, sf_dir, html).withColumn("html", F.regexp_replace("body", "<time[^>]*>now</time>", "")).withColumn("html", F.regexp_replace("body", ">now<", "><"))
+    return feeds.distinct_items(feeds.html_items(bodies, compose=False))
+
+
+@query("extract_items", "SELECT p_partkey AS id, 0 AS pos, CASE p_partkey % 5 WHEN 3 THEN 'hf:' || p_name WHEN 4 THEN 't:' || p_name ELSE 'https://example.com/' || p_partkey END AS key FROM part WHERE p_partkey % 5 <> 4 OR length(p_name) BETWEEN 9 AND 199")
+def extract_items(spark, sf_dir):
+    raw = "case p_partkey % 5 when 0 then concat('<rss><channel><item><title>', p_name, '</title><link>https://example.com/', p_partkey, '</link></item></channel></rss>') when 1 then concat('<a href=\"/', p_partkey, '\">', p_name, '</a>') when 2 then '' when 3 then to_json(array(named_struct('id', p_name))) else '' end"
+    text = "case p_partkey % 5 when 2 then concat('[', p_name, '](/', p_partkey, ')') when 4 then p_name else '' end"
+    kind = "case p_partkey % 5 when 0 then 'rss' when 2 then 'json' when 3 then 'hf-org' else 'html' end"
+    pages = a.table(spark, sf_dir, "part").selectExpr("p_partkey as id", f"{kind} as kind", "'https://example.com/list/' as base", f"{raw} as raw", f"{text} as text")
+    return feeds.extract_items(pages, compose=False).select("id", "pos", "key")
+
+
 @query("model_listing", "SELECT p_partkey AS id, 0 AS pos, 'hf:' || p_name AS key, p_name AS title, 'https://huggingface.co/' || p_name AS link, p_brand AS date FROM part")
 def model_listing(spark, sf_dir):
     return feeds.model_items(_bodies(spark, sf_dir, "to_json(array(named_struct('modelId', p_name, 'createdAt', p_brand)))"))

@@ -82,3 +82,56 @@ def test_changes(spark, tmp_path):
 def test_one_row_each(spark):
     rows = spark.createDataFrame([(1, 10, 1, False), (1, 11, 2, True), (2, 12, 3, False), (2, 13, 4, False)], "known_id int, row_id int, rank int, plain boolean")
     assert sorted(map(tuple, matching.one_row_each(rows).collect())) == [(1, 11, 2, True), (2, 12, 3, False)]
+
+
+def test_publishing_is_checked(spark, tmp_path):
+    from ability_engine.operators import validate
+
+    source = '{"url":"https://x.example/a","quote":"said","retrieved_at":"2024-01-01T00:00:00Z"}'
+    release = lambda id_, date: f'{{"id":"{id_}","lab":"l","name":"N","date":"{date}","date_precision":"day","status":"released","announcement":{source},"scores":[]}}'
+    (tmp_path / "models").mkdir()
+    (tmp_path / "models" / "l.json").write_text(f'{{"lab":"l","updated_at":"t","releases":[{release("l-2", "2024-02-01")},{release("l-1", "2024-01-01")}]}}')
+    (tmp_path / "labs.json").write_text('[{"id":"l","name":"L","color":"#123456","website":"https://l.example","sources":[{"label":"a","url":"https://l.example/f","kind":"rss"}]}]')
+    (tmp_path / "benchmarks.json").write_text('[{"id":"b","unit":"%","min":0,"max":100}]')
+    (tmp_path / "changes.jsonl").write_text('{"at":"2024","actor":"seed","lab":"l","release_id":"l-1","kind":"release_added"}\n')
+    data = star.read_all(spark, str(tmp_path))
+    assert data["labs"].count() == 1 and star.lab_sources(data["labs"]).first().kind == "rss" and spark.table("benchmarks").count() == 1
+    assert star.lab_files_or_none(spark, str(tmp_path / "none")).count() == 0
+    assert sorted(r.place for r in star.source_refs(data["lab_files"]).collect()) == ["announcement", "announcement"]
+    assert [r.release_id for r in star.seed_changes(star.releases(data["lab_files"]), data["changes"], "2025").collect()] == ["l-2"]
+
+    def check(day):
+        def rules(files):
+            flat = star.releases(files).select(F.col("lab").alias("file"), "lab", "id", "name", "date", "date_precision", "status", "tier", F.col("expected_window.start").alias("window_start"), F.col("expected_window.end").alias("window_end"), F.col("announcement.quote").alias("quote"), F.size("scores").alias("n_scores"))
+            return validate.check_releases(flat, data["labs"].select("id"), F.lit(day).cast("date"))
+
+        return rules
+
+    out = str(tmp_path / "out")
+    with pytest.raises(ValueError):
+        star.write_lab_files(data["lab_files"], out, check("2024-01-15"))
+    assert [p.name for p in tmp_path.glob("out*")] == []
+    assert star.write_lab_files(data["lab_files"], out, check("2025-01-01")) and not star.write_lab_files(data["lab_files"], out)
+    again = star.lab_files(spark, out).withColumn("updated_at", F.lit("u"))
+    assert star.write_lab_files(again, out)  # it may read the folder that it replaces
+    assert star.lab_files(spark, out).first().updated_at == "u" and [p.name for p in tmp_path.glob("out*")] == ["out"]
+
+
+def test_entities():
+    from ability_engine.operators.ingest import ENTITIES
+
+    assert len(ENTITIES) == 23
+
+
+@pytest.mark.parametrize("text, want", [("a&#8217;s &mdash; &AMP; &bogus; &#0;x &amp;lt;", "a’s — & &bogus; x &lt;"), ("&#x1F600;&#xD800;", "😀"), ("plain", "plain"), (None, None)])
+def test_decoding(spark, text, want):
+    from ability_engine.operators.ingest import decode_entities
+
+    assert spark.createDataFrame([(text,)], "t string").select(decode_entities(F.col("t")).alias("t")).first().t == want
+
+
+def test_small_laws(spark):
+    from ability_engine.functions import scalar
+
+    row = spark.range(1).select(scalar.lognormal_quantile(1.0, 0.0, 0.0), scalar.lognormal_quantile(1.0, 1.0, 0.0), scalar.lognormal_quantile(1.0, 1.0, 1.0), scalar.lognormal_quantile(1.0, 1.0, 0.5), scalar.theta_of_rating(scalar.rating_of(1.5)), scalar.normal_pdf(0.0)).first()
+    assert [pytest.approx(x) for x in row] == [2.718281828459045, 0.0, float("inf"), 2.718281828459045, 1.5, 0.3989422804014327]
