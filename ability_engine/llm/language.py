@@ -23,7 +23,8 @@ from pyspark.sql import types as T
 from ability_engine.llm.common import map_lists, struct_of
 
 DIM = 1024
-_ALPHA = np.zeros(0x30000, bool)
+#: Letters by code point, up to the end of the planes that have any.
+_ALPHA = np.zeros(0x40000, bool)
 
 
 def letters(text: str) -> np.ndarray:
