@@ -110,6 +110,17 @@ def quote_contains_value(quote: Column, value: Column) -> Column:
     return F.exists(spelled, lambda s: bare.contains(s))
 
 
+def iso_time(at: Column) -> Column:
+    """A time to the second, as the data write it; the session's time zone is UTC."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def iso_date(text: Column) -> Column:
+    """The day of a strict ISO date; anything else ends the query."""
+    bad = F.raise_error(F.concat(F.lit("no date: "), F.coalesce(text, F.lit("null")))).cast("date")
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd")).otherwise(bad)
+
+
 def truncated(text: Column, most: int) -> Column:
     """The first ``most`` characters, cut at their last space if that is in the last tenth, and marked as cut."""
     cut = F.substring(text, 1, most)

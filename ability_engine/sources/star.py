@@ -38,6 +38,12 @@ def lab_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(LAB_FILE).option("multiLine", True).option("mode", "FAILFAST").json(folder)
 
 
+def readable_lab_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The lab files that can be read; a malformed one counts as empty, as gold and candidates may."""
+    rows = spark.read.schema(f"{LAB_FILE}, _bad string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(folder)
+    return rows.where("_bad is null and lab is not null").drop("_bad")
+
+
 def lab_files_or_none(spark: SparkSession, folder: str) -> DataFrame:
     """The lab files of a folder; none where there is no folder yet."""
     return lab_files(spark, folder) if _exists(spark, folder) else spark.createDataFrame([], LAB_FILE)

@@ -135,3 +135,18 @@ def test_small_laws(spark):
 
     row = spark.range(1).select(scalar.lognormal_quantile(1.0, 0.0, 0.0), scalar.lognormal_quantile(1.0, 1.0, 0.0), scalar.lognormal_quantile(1.0, 1.0, 1.0), scalar.lognormal_quantile(1.0, 1.0, 0.5), scalar.theta_of_rating(scalar.rating_of(1.5)), scalar.normal_pdf(0.0)).first()
     assert [pytest.approx(x) for x in row] == [2.718281828459045, 0.0, float("inf"), 2.718281828459045, 1.5, 0.3989422804014327]
+
+
+def test_malformed_files_count_as_empty(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"lab":"a","updated_at":"t","releases":[]}')
+    (tmp_path / "b.json").write_text('{"lab":')
+    assert [r.lab for r in star.readable_lab_files(spark, str(tmp_path)).collect()] == ["a"]
+
+
+def test_dates_are_strict(spark):
+    from ability_engine.operators import ingest
+
+    assert str(spark.range(1).select(ingest.iso_date(F.lit("2024-02-29"))).first()[0]) == "2024-02-29"
+    with pytest.raises(Exception, match="no date"):
+        spark.range(1).select(ingest.iso_date(F.lit("29.2.2024"))).collect()
+    assert spark.range(1).select(ingest.iso_time(F.lit("2024-02-29T01:02:03Z").cast("timestamp"))).first()[0] == "2024-02-29T01:02:03Z"
