@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from ability_engine.llm import chat, decontaminate, language, lm, neardup, packing, quality_model, quality_rules, secrets, tokenfile
+from ability_engine.llm import chat, common, decontaminate, language, lm, neardup, packing, quality_model, quality_rules, secrets, tokenfile
 
 BASE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
 WINDOW = "one two three four five six seven eight nine ten eleven"
@@ -329,7 +329,12 @@ def test_empty_tables(spark, empty, tmp_path):
 
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = len(common._WRITTEN)
     packed = corpus_pipeline.run(spark, sf_dir)
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
     kept = {r.doc_id for r in packed.select("doc_id").distinct().collect()}
+    left = sorted(p.split("/")[-1].rsplit("-", 1)[0] for p in common._WRITTEN[before:])
+    assert left == sorted(n.replace(" ", "-") for n, _ in corpus_pipeline.STAGES[:-1])
+    common.drop_stashes(spark)
+    assert common._WRITTEN == []
     assert kept and kept < {r.doc_id for r in docs.select("doc_id").collect()}
