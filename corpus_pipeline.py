@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ability_engine.llm import decontaminate, neardup, packing, quality_rules, secrets
-from ability_engine.llm.common import new_path, stash, table
+from ability_engine.llm.common import new_path, scratch, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,5 +52,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path, schema = new_path(spark, name.replace(" ", "-")), docs.schema
+        with scratch(spark):  # a stage's own tables go once its result is written
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.schema(schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
