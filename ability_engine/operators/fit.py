@@ -48,7 +48,7 @@ def observations(scores: DataFrame, releases: DataFrame, benches: DataFrame, aso
 
 
 def difficulties(obs: DataFrame, ridge: float = 0.05) -> DataFrame:
-    """asof, benchmark, delta and shift (c) of every observed benchmark."""
+    """asof, benchmark, delta, shift (c) of every observed benchmark, and how many there are."""
     row = obs.groupBy("asof", "release_id").agg(F.collect_list(F.struct("benchmark", "legacy", "w", "y")).alias("row"))  # at most the basket's size
     total = F.aggregate("row", F.lit(ridge), lambda acc, o: acc + o["w"])
     mean = F.aggregate("row", F.lit(0.0), lambda acc, o: acc + o["w"] * o["y"]) / total
@@ -74,9 +74,9 @@ def difficulties(obs: DataFrame, ridge: float = 0.05) -> DataFrame:
         system[:n, n] = 1
         system[n, :n] = anchor / anchor.sum() if anchor.any() else 1 / n
         found = np.linalg.lstsq(system, right, rcond=None)[0]
-        return pd.DataFrame({"asof": [part["asof"].iloc[0]] * n, "benchmark": names, "delta": found[:n], "shift": [found[n]] * n})
+        return pd.DataFrame({"asof": [part["asof"].iloc[0]] * n, "benchmark": names, "delta": found[:n], "shift": [found[n]] * n, "observed": [n] * n})
 
-    return system.groupBy("asof").applyInPandas(solve, "asof date, benchmark string, delta double, shift double")
+    return system.groupBy("asof").applyInPandas(solve, "asof date, benchmark string, delta double, shift double, observed long")
 
 
 def residuals(obs: DataFrame, deltas: DataFrame, ridge: float = 0.05) -> DataFrame:
@@ -88,23 +88,33 @@ def residuals(obs: DataFrame, deltas: DataFrame, ridge: float = 0.05) -> DataFra
     return out.withColumn("predicted", index_of(margin)).withColumn("residual", F.col("y") - margin)
 
 
-def sigma(rows: DataFrame) -> DataFrame:
-    """asof and the residual sigma of what ``residuals`` gives."""
-    sums = rows.groupBy("asof", "release_id").agg(F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("residual") ** 2).alias("ss"))
-    observed = rows.groupBy("asof").agg(F.count_distinct("benchmark").alias("observed"))
-    total = sums.groupBy("asof").agg(F.sum("sw").alias("sw"), F.sum("ss").alias("ss"), F.count("*").alias("models")).join(observed, "asof")
+def _sums(rows: DataFrame, *by: str, **more: Column) -> DataFrame:
+    w = F.col("w")
+    return rows.groupBy("asof", "release_id", *by).agg(F.sum("w").alias("sw"), F.sum(w * F.col("residual") ** 2).alias("ss"), F.first("observed").alias("observed"), *[c.alias(n) for n, c in more.items()])
+
+
+def _sigma(sums: DataFrame) -> DataFrame:
+    total = sums.groupBy("asof").agg(F.sum("sw").alias("sw"), F.sum("ss").alias("ss"), F.count("*").alias("models"), F.first("observed").alias("observed"))
     freedom = F.greatest(F.lit(1.0), F.col("sw") - (F.col("models") + F.col("observed") - 1))
     return total.select("asof", F.sqrt(F.col("ss") / freedom).alias("sigma"))
 
 
+def sigma(rows: DataFrame) -> DataFrame:
+    """asof and the residual sigma of what ``residuals`` gives."""
+    return _sigma(_sums(rows))
+
+
 def models(rows: DataFrame, basket_size: Column) -> DataFrame:
-    """``basket_size``: an aggregate of ``rows``. A row for each asof and fitted release: theta, index, rating, standard error, band, evidence and whether it is qualified."""
-    one = rows.groupBy("asof", "release_id", "lab", "date", "tier").agg(F.first("theta").alias("theta"), F.count("*").alias("n"), basket_size.alias("_basket"))
-    both = one.join(sigma(rows), "asof")
+    """``basket_size``: an aggregate of ``rows``. A row for each asof and fitted release: theta, index, rating, standard error, band, evidence and whether it is qualified.
+
+    Sigma is taken from the same sums by release, so the residual rows are read once.
+    """
+    one = _sums(rows, "lab", "date", "tier", theta=F.first("theta"), n=F.count("*"), basket=basket_size)
+    both = one.join(_sigma(one), "asof")
     se, theta = F.col("se"), F.col("theta")
     return both.withColumn("se", F.col("sigma") / F.sqrt("n")).select(
         "asof", "release_id", "lab", "date", "tier", "theta", index_of(theta).alias("index"), rating_of(theta).alias("rating"), "se",
-        index_of(theta - se).alias("index_low"), index_of(theta + se).alias("index_high"), "n", (F.col("n") / F.col("_basket")).alias("coverage"), (F.col("n") >= MIN_QUALIFIED).alias("qualified"), "sigma",
+        index_of(theta - se).alias("index_low"), index_of(theta + se).alias("index_high"), "n", (F.col("n") / F.col("basket")).alias("coverage"), (F.col("n") >= MIN_QUALIFIED).alias("qualified"), "sigma",
     )
 
 
@@ -113,7 +123,7 @@ def fit_observed(obs: DataFrame, benches: DataFrame, ridge: float = 0.05) -> tup
     deltas = difficulties(obs, ridge)
     rows = residuals(obs, deltas, ridge)
     size = benches.where("in_index").agg(F.count("*").cast("double").alias("_size"))
-    return models(rows.crossJoin(F.broadcast(size)), F.first("_size")).drop("_size"), deltas, rows  # one row
+    return models(rows.crossJoin(F.broadcast(size)), F.first("_size")), deltas, rows  # one row
 
 
 def fit(scores: DataFrame, releases: DataFrame, benches: DataFrame, asof: DataFrame, ridge: float = 0.05) -> tuple[DataFrame, DataFrame, DataFrame]:

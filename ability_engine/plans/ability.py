@@ -307,9 +307,7 @@ _TREND_SQL = {
 
 @query("capability_trend", o.sql(f"SELECT lab, n, {o.r6('slope')} AS slope, {o.r6('intercept')} AS intercept, {o.r6('sigma')} AS sigma, {o.r6('slope_se')} AS slope_se FROM trended", o.fit(), _TREND_SQL))
 def capability_trend(spark, sf_dir):
-    models, _, rows = fitted(spark, sf_dir)
-    sigma = F.lit(fit.sigma(rows).first()["sigma"])  # one number
-    return rounded(forecast.capability_trend(models, sigma), "slope", "intercept", "sigma", "slope_se")
+    return rounded(forecast.capability_trend(fitted(spark, sf_dir)[0]), "slope", "intercept", "sigma", "slope_se")
 
 
 @query(
@@ -322,10 +320,9 @@ def capability_trend(spark, sf_dir):
     ),
 )
 def capability_fan(spark, sf_dir):
-    models, _, rows = fitted(spark, sf_dir)
-    sigma = F.lit(fit.sigma(rows).first()["sigma"])
+    models = fitted(spark, sf_dir)[0]
     last = models.where("tier = 'flagship'").groupBy("lab").agg(F.max("date").alias("date"), F.max_by("index", F.struct("date", "release_id")).alias("index"))
-    return rounded(forecast.capability_fan(forecast.capability_trend(models, sigma), last, on(NOW), F.lit("2025-06-01").cast("date")), "theta", "theta_low", "theta_high")
+    return rounded(forecast.capability_fan(forecast.capability_trend(models), last, on(NOW), F.lit("2025-06-01").cast("date")), "theta", "theta_low", "theta_high")
 
 
 _ELO = {"picked": o.PICKED.replace(f"{o.clipped('value')} AS y", f"CASE WHEN benchmark = 'Brand#11' THEN ln((least(greatest(1 / (1 + pow(10.0, (50.0 - value) / 400)), 0.005), 0.995)) / (1 - least(greatest(1 / (1 + pow(10.0, (50.0 - value) / 400)), 0.005), 0.995))) ELSE {o.clipped('value')} END AS y")}
