@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ability_engine.llm import chat, decontaminate, language, lm, neardup, packing, quality_model, quality_rules, secrets, tokenfile
+from ability_engine.llm import align, chat, decontaminate, language, lm, neardup, packing, quality_model, quality_rules, secrets, tokenfile
 from ability_engine.llm.common import new_path, remainder, table
 
 
@@ -60,7 +60,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, langs, prototypes).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_near_duplicates, op3_decontamination, op4_quality_model, op5_token_files, op6_chat, op7_secrets, op8_quality_rules, op9_lm, op10_language)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_near_duplicates, op3_decontamination, op4_quality_model, op5_token_files, op6_chat, op7_secrets, op8_quality_rules, op9_lm, op10_language, op11_alignment)}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
