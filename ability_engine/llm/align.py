@@ -40,7 +40,7 @@ from ability_engine.llm.common import stash, struct_of
 
 #: The ranks hold the merges of byte_bpe_50k.json: a test compares both.
 RANKS_A, TOKENIZER_B = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
-BLOCK_CHARS, BATCH_CHARS, MEMO = 100_000, 6_000_000, 300_000
+BLOCK_CHARS, BATCH_CHARS, MEMO = 100_000, 5_000_000, 250_000
 _MASK = 0x7FFFFFFF
 #: White space, and what follows up to the next.
 STRETCH, DOUBLE = re.compile(r"[ \n]*[^ \n]+|[ \n]+"), re.compile(r"[ \n][ \n]")
@@ -246,7 +246,7 @@ def align_stretch(s: Column, size_b: int) -> Column:
         return let(F.sort_array(F.concat(mark(s["a_ends"], 0), mark(s["b_ends"], 1 << 31))), of_marks)
 
     shared = F.size(F.array_intersect(s["a_ends"], s["b_ends"]))
-    return let(shared, lambda n: F.when((n == F.size(a)) & (n == F.size(b)), paired(n)).otherwise(merged(n)))
+    return F.when(s["a_ends"] == s["b_ends"], paired(F.size(a))).otherwise(merged(shared))
 
 
 def align(tokens: DataFrame, size_b: int = 32_000) -> DataFrame:
