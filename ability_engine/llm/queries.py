@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ability_engine.llm import align, chat, decontaminate, language, lm, neardup, packing, quality_model, quality_rules, secrets, tokenfile
+from ability_engine.llm import align, chat, decontaminate, language, lm, neardup, packing, phrases, quality_model, quality_rules, secrets, tokenfile
 from ability_engine.llm.common import new_path, remainder, table
 
 
@@ -64,7 +64,11 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_near_duplicates, op3_decontamination, op4_quality_model, op5_token_files, op6_chat, op7_secrets, op8_quality_rules, op9_lm, op10_language, op11_alignment)}
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_near_duplicates, op3_decontamination, op4_quality_model, op5_token_files, op6_chat, op7_secrets, op8_quality_rules, op9_lm, op10_language, op11_alignment, op13_phrases)}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -95,5 +99,15 @@ _CHAT = f"""WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coa
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
 CAST(sum(length({_escaped('role')}) + length({_escaped('text')}) + 17) AS BIGINT) AS formatted_chars FROM turns GROUP BY conv_id"""
 
+_PHRASES = rf"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+texts AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces), totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM texts GROUP BY 1),
+grams AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM texts, range(1, 6) sizes(k))),
+freq AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100), cand AS (SELECT *, string_split(phrase, ' ') AS w FROM freq WHERE k > 1),
+whole AS (SELECT * FROM cand c WHERE NOT EXISTS (SELECT 1 FROM cand q WHERE q.lang = c.lang AND q.k > c.k AND q.f >= c.f AND contains(' ' || q.phrase || ' ', ' ' || c.phrase || ' '))),
+cuts AS (SELECT lang, phrase, f AS a, j, array_to_string(list_slice(w, 1, j), ' ') AS head, array_to_string(list_slice(w, j + 1, k), ' ') AS rest FROM (SELECT *, unnest(range(1, k)) AS j FROM whole)),
+scored AS (SELECT c.lang, c.phrase, a, x.f AS l, y.f AS r, n, j, (1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS score FROM cuts c JOIN freq x ON x.lang = c.lang AND x.phrase = c.head JOIN freq y ON y.lang = c.lang AND y.phrase = c.rest JOIN totals t ON t.lang = c.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000"""
+
 #: The others rest on fitted models, tokenizers or patterns that SQL lacks; tests hold them against brute force.
-ORACLES: dict[str, str] = {"op2_near_duplicates": _NEAR, "op3_decontamination": _LEAKS, "op6_chat": _CHAT}
+ORACLES: dict[str, str] = {"op2_near_duplicates": _NEAR, "op3_decontamination": _LEAKS, "op6_chat": _CHAT, "op13_phrases": _PHRASES}
