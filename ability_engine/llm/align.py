@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ability_engine.llm.common import stash, struct_of
+from ability_engine.llm.common import let, stash, struct_of
 
 #: The ranks hold the merges of byte_bpe_50k.json: a test compares both.
 RANKS_A, TOKENIZER_B = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
@@ -195,11 +195,6 @@ def tokenize(docs: DataFrame, block_chars: int = BLOCK_CHARS, batch_chars: int =
     return docs.select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text").mapInArrow(run, schema)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is evaluated once, within a lambda."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _range(first: Column, last: Column, ids: Column) -> Column:
     return F.array_join(F.transform(F.sequence(first, last), lambda k: F.get(ids, k).cast("string")), ",")
 

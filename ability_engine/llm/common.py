@@ -124,6 +124,11 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, within an expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def struct_of(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(*f) for f in fields])
 

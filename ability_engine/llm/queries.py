@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ability_engine.llm import align, chat, decontaminate, language, lm, neardup, packing, phrases, quality_model, quality_rules, secrets, tokenfile
+from ability_engine.llm import align, chat, decontaminate, language, lm, neardup, packing, phrases, quality_model, quality_rules, secrets, spots, tokenfile
 from ability_engine.llm.common import new_path, remainder, table
 
 
@@ -64,11 +64,15 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.report(table(spark, sf_dir, "documents"))
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spots.report(table(spark, sf_dir, "documents"))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_near_duplicates, op3_decontamination, op4_quality_model, op5_token_files, op6_chat, op7_secrets, op8_quality_rules, op9_lm, op10_language, op11_alignment, op13_phrases)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_near_duplicates, op3_decontamination, op4_quality_model, op5_token_files, op6_chat, op7_secrets, op8_quality_rules, op9_lm, op10_language, op11_alignment, op12_fingerprints, op13_phrases)}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -109,5 +113,28 @@ scored AS (SELECT c.lang, c.phrase, a, x.f AS l, y.f AS r, n, j, (1000::HUGEINT
 best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
 SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000"""
 
+def _spot_sets(table: str, name: str, text: str) -> str:
+    """SQL of (doc_id, ``name``): the sorted signatures of a text."""
+    chains = "list_transform(list_filter(range(1, len(w) + 1), lambda p: list_contains(s, w[p])), lambda p, k: left(md5(concat_ws(' ', w[p], c[p - k + 1], c[p - k + 2])), 8))"
+    start = "left(md5(concat_ws(' ', '^', w[1], w[2])), 8)"
+    split = f"SELECT doc_id, {_words(decontaminate.SEPARATORS).replace('text', text)} AS w FROM {table}"
+    content = f"SELECT doc_id, w, s, list_filter(w, lambda x: NOT list_contains(s, x)) AS c FROM ({split}), spots"
+    return f"SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_append({chains}, {start}))) END AS {name} FROM ({content})"
+
+
+def _likeness(a: str, b: str) -> str:
+    shared = f"len(list_intersect({a}, {b}))"
+    return f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 WHEN least(len({a}), len({b})) < CAST(0.1 AS DOUBLE) * greatest(len({a}), len({b})) THEN 0.0 ELSE CAST({shared} AS DOUBLE) / (len({a}) + len({b}) - {shared}) END"
+
+
+_SPOTS = rf"""WITH short AS (SELECT lang, w, count(*) AS n FROM (SELECT coalesce(lang, 'und') AS lang, unnest(list_distinct(list_filter({_words(decontaminate.SEPARATORS)}, lambda w: length(w) <= 5))) AS w FROM documents) GROUP BY 1, 2),
+top AS (SELECT lang, w FROM short QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) <= 20), langs AS (SELECT coalesce(lang, 'und') AS lang FROM documents GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 50),
+spots AS (SELECT coalesce(list(DISTINCT w), []) AS s FROM top JOIN langs USING (lang)),
+pairs AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(coalesce(text, '')) OVER o, first_value(coalesce(text, '')) OVER o) AS next FROM documents WINDOW o AS (ORDER BY doc_id NULLS FIRST)),
+edits AS (SELECT doc_id, text, next, length(text) AS n, left(text, length(text) - length(text) // 4) || left(next, length(text) // 4) AS edited FROM pairs),
+own AS ({_spot_sets("edits", "a", "text")}), changed AS ({_spot_sets("edits", "b", "edited")}), following AS ({_spot_sets("edits", "d", "next")})
+SELECT e.doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, array_to_string(a, '') AS fingerprint, array_to_string(b, '') AS edited_fingerprint, {_likeness("a", "b")} AS near_edited, {_likeness("a", "d")} AS near_next
+FROM edits e JOIN own ON own.doc_id = e.doc_id JOIN changed ON changed.doc_id = e.doc_id JOIN following ON following.doc_id = e.doc_id"""
+
 #: The others rest on fitted models, tokenizers or patterns that SQL lacks; tests hold them against brute force.
-ORACLES: dict[str, str] = {"op2_near_duplicates": _NEAR, "op3_decontamination": _LEAKS, "op6_chat": _CHAT, "op13_phrases": _PHRASES}
+ORACLES: dict[str, str] = {"op2_near_duplicates": _NEAR, "op3_decontamination": _LEAKS, "op6_chat": _CHAT, "op12_fingerprints": _SPOTS, "op13_phrases": _PHRASES}
