@@ -60,9 +60,10 @@ class Pieces:
         self.lengths = np.array([len(b) for b in self.bytes], np.int32)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of texts as they are: the model puts a space before what it encodes, but none after a line end."""
-        found = self.model.encode([t[1:] if t[0] == " " else "\n" + t for t in texts], num_threads=1)
-        return [ids if t[0] == " " else ids[2:] for t, ids in zip(texts, found, strict=True)]
+        """Ids of texts as they are: the model puts a space before what it encodes, unless that is empty, but none after a line end."""
+        spaced = [len(t) > 1 and t[0] == " " for t in texts]
+        found = self.model.encode([t[1:] if s else "\n" + t for s, t in zip(spaced, texts, strict=True)], num_threads=1)
+        return [ids if s else ids[2:] for s, ids in zip(spaced, found, strict=True)]
 
 
 class Both(dict):

@@ -41,6 +41,8 @@ BITS = 1 << 27
 _SIGNS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
 NODES = struct_of(("lang", T.StringType()), ("prefix", T.StringType()), ("part", T.IntegerType()), ("words", T.BinaryType()), ("levels", T.BinaryType()), ("counts", T.BinaryType()))
 PHRASES = struct_of(("lang", T.StringType()), ("words", T.ArrayType(T.StringType())), ("f", T.LongType()))
+#: Exact: three factors of up to 38 digits together.
+SCORE = "CAST(CAST(1000 AS DECIMAL(38,0)) * a * n AS DECIMAL(38,0)) DIV CAST(CAST(l AS DECIMAL(38,0)) * r AS DECIMAL(38,0))"
 
 
 class Vocabulary(dict):
@@ -326,8 +328,7 @@ def mine(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, top: int = TOP
     cut = led.select("lang", "phrase", "words", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), size - 1)).alias("k"), F.concat(F.array("first_f"), "lefts").alias("lefts"))
     link = F.array_join(F.slice("words", F.col("k") + 1, size), " ")
     linked = cut.select("lang", "phrase", "a", "k", F.get("lefts", F.col("k") - 1).alias("l"), link.alias("rest")).join(counts.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r")), ["lang", "rest"])
-    exact = F.expr("CAST(CAST(1000 AS DECIMAL(38,0)) * a * n AS DECIMAL(38,0)) DIV CAST(CAST(l AS DECIMAL(38,0)) * r AS DECIMAL(38,0))")
-    scored = linked.join(totals, "lang").select("lang", "phrase", "a", "n", F.struct(exact.alias("score"), "k", "l", "r").alias("cut"))
+    scored = linked.join(totals, "lang").select("lang", "phrase", "a", "n", F.struct(F.expr(SCORE).alias("score"), "k", "l", "r").alias("cut"))
     least_cut = scored.groupBy("lang", "phrase", "a", "n").agg(F.min("cut").alias("cut"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = least_cut.select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
