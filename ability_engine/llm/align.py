@@ -3,8 +3,8 @@
 Python only tokenises. It gives stretches of text, each with two arrays of ids and two of byte ends, and each text as a list of stretches. A stretch
 is white space and what follows up to the next white space: neither tokenizer runs over its start, so ends, groups and links of a text are
 those of its stretches, and a stretch that a batch of texts holds many times is aligned once. From there on Spark's array functions do the work. The ends
-that ``array_intersect`` finds in both arrays cut a stretch into groups. Where every end is shared, tokens pair off by their index. Otherwise all ends,
-each with its own index, are sorted into one array; an end of A at place p with index i has p - i ends of B before it, and so names the token
+that ``array_intersect`` finds in both arrays cut a stretch into groups. Where every end is shared, tokens pair off by their index. In a short stretch each place
+where a token ends is looked up on either side. In a long one, all ends, each with its own index, are sorted into one array; an end of A at place p with index i has p - i ends of B before it, and so names the token
 of B that covers it, and the reverse. Each end but the shared ones of B is a link, as the shortest pieces between ends lie in one token of either side.
 
 A pair's count is the number of documents that hold it linked, over the corpus. The counts are a table: its ``head_rows`` most frequent pairs at most are broadcast
@@ -40,8 +40,10 @@ from ability_engine.llm.common import let, stash, struct_of
 
 #: The ranks hold the merges of byte_bpe_50k.json: a test compares both.
 RANKS_A, TOKENIZER_B = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
-BLOCK_CHARS, BATCH_CHARS, MEMO = 100_000, 5_000_000, 250_000
+BLOCK_CHARS, BATCH_CHARS, MEMO = 100_000, 4_000_000, 250_000
 _MASK = 0x7FFFFFFF
+#: Up to so many tokens of both sides, looking each one up costs less than sorting.
+SHORT = 24
 #: White space, and what follows up to the next.
 STRETCH, DOUBLE = re.compile(r"[ \n]*[^ \n]+|[ \n]+"), re.compile(r"[ \n][ \n]")
 #: Other white space, which tokenizers may join with a space before it.
@@ -209,6 +211,21 @@ def align_stretch(s: Column, size_b: int) -> Column:
         texts = F.transform(a, lambda x, k: F.concat(x.cast("string"), F.lit("|"), F.get(b, k).cast("string")))
         return made(F.array_join(texts, ";"), n, F.transform(a, lambda x, k: x * size_b + F.get(b, k)))
 
+    def short(shared: Column) -> Column:
+        """Few tokens: which end is shared, and which token covers a place, are looked up one by one."""
+
+        def side(ids: Column, ends: Column) -> Column:
+            texts = F.transform(ids, lambda x, k: F.concat(x.cast("string"), F.when(F.array_contains(shared, F.get(ends, k)), ";").otherwise(",")))
+            return F.split(F.array_join(texts, ""), ";")
+
+        def at(ids: Column, ends: Column, place: Column) -> Column:
+            return F.get(ids, F.size(F.filter(ends, lambda e: e < place)))
+
+        # Both sides end with a shared end, so an empty text comes after the last group on either.
+        groups = F.zip_with(side(a, s["a_ends"]), side(b, s["b_ends"]), lambda x, y: F.when(x != "", F.concat(x, F.lit("|"), y)))
+        places = F.array_union(s["a_ends"], s["b_ends"])
+        return made(F.array_join(groups, ";"), F.size(shared), F.transform(places, lambda u: at(a, s["a_ends"], u) * size_b + at(b, s["b_ends"], u)))
+
     def mark(ends: Column, tag: int) -> Column:
         return F.transform(ends, lambda e, k: F.shiftleft(e.cast("long"), 32).bitwiseOR((k + F.lit(tag)).cast("long")))
 
@@ -241,8 +258,9 @@ def align_stretch(s: Column, size_b: int) -> Column:
 
         return let(F.sort_array(F.concat(mark(s["a_ends"], 0), mark(s["b_ends"], 1 << 31))), of_marks)
 
-    shared = F.size(F.array_intersect(s["a_ends"], s["b_ends"]))
-    return F.when(s["a_ends"] == s["b_ends"], paired(F.size(a))).otherwise(merged(shared))
+    few = F.size(a) + F.size(b) <= SHORT
+    several = let(F.array_intersect(s["a_ends"], s["b_ends"]), lambda shared: F.when(few, short(shared)).otherwise(merged(F.size(shared))))
+    return F.when(s["a_ends"] == s["b_ends"], paired(F.size(a))).otherwise(several)
 
 
 def align(tokens: DataFrame, size_b: int = 32_000) -> DataFrame:
