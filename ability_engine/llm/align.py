@@ -215,7 +215,7 @@ def align_stretch(s: Column, size_b: int) -> Column:
         """Few tokens: which end is shared, and which token covers a place, are looked up one by one."""
 
         def side(ids: Column, ends: Column) -> Column:
-            texts = F.transform(ids, lambda x, k: F.concat(x.cast("string"), F.when(F.array_contains(shared, F.get(ends, k)), ";").otherwise(",")))
+            texts = F.transform(ids, lambda x, k: F.concat(x.cast("string"), F.when(F.exists(shared, lambda e: e == F.get(ends, k)), ";").otherwise(",")))
             return F.split(F.array_join(texts, ""), ";")
 
         def at(ids: Column, ends: Column, place: Column) -> Column:
