@@ -38,13 +38,18 @@ def select_scores(scores: DataFrame, benches: DataFrame) -> DataFrame:
     return picked.select("release_id", "benchmark", "basket_pos", F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0).alias("weight"), "legacy", "best.value", "best.config", "best.reported_by", *scale)
 
 
-def observations(scores: DataFrame, releases: DataFrame, benches: DataFrame, asof: DataFrame) -> DataFrame:
-    """asof, release_id, benchmark, y (logit), w and legacy of what is released by each date of ``asof`` (asof)."""
+def known(scores: DataFrame, releases: DataFrame, benches: DataFrame) -> DataFrame:
+    """release_id, lab, date, tier, benchmark, y (logit), w and legacy of all released models."""
     out = releases.where(F.col("status") == "released").select("release_id", "lab", "date", F.coalesce("tier", F.lit("flagship")).alias("tier"))
     picked = select_scores(scores, benches)
     elo = ("unit", "elo_reference") if "unit" in picked.columns else ()
-    known = picked.withColumn("y", logit(probability_of("value", *elo))).join(out, "release_id").join(asof, F.col("date") <= F.col("asof"))
-    return known.select("asof", "release_id", "lab", "date", "tier", "benchmark", "basket_pos", "value", "reported_by", "legacy", "y", F.col("weight").alias("w"))
+    return picked.withColumn("y", logit(probability_of("value", *elo))).join(out, "release_id").withColumnRenamed("weight", "w")
+
+
+def observations(scores: DataFrame, releases: DataFrame, benches: DataFrame, asof: DataFrame) -> DataFrame:
+    """asof, release_id, benchmark, y (logit), w and legacy of what is released by each date of ``asof`` (asof)."""
+    rows = known(scores, releases, benches).join(asof, F.col("date") <= F.col("asof"))
+    return rows.select("asof", "release_id", "lab", "date", "tier", "benchmark", "basket_pos", "value", "reported_by", "legacy", "y", "w")
 
 
 def difficulties(obs: DataFrame, ridge: float = 0.05) -> DataFrame:

@@ -161,24 +161,29 @@ def anchors(releases: DataFrame, models: DataFrame) -> DataFrame:
 
 
 def capability_trend(models: DataFrame, points: int = 5) -> DataFrame:
-    """Least squares of theta over days, of each lab's last ``points`` fitted flagships (qualified ones if it has two)."""
-    some = models.where(F.col("tier") == "flagship").withColumn("good", F.count_if("qualified").over(Window.partitionBy("lab")))
-    newest = Window.partitionBy("lab").orderBy(F.desc("date"), F.desc("release_id"))
+    """Least squares of theta over days, by asof and lab, of the last ``points`` fitted flagships (qualified ones if there are two)."""
+    some = models.where(F.col("tier") == "flagship").withColumn("good", F.count_if("qualified").over(Window.partitionBy("asof", "lab")))
+    newest = Window.partitionBy("asof", "lab").orderBy(F.desc("date"), F.desc("release_id"))
     last = some.where((F.col("good") < 2) | F.col("qualified")).withColumn("at", F.row_number().over(newest)).where(F.col("at") <= points).withColumn("x", F.unix_date("date").cast("double"))
-    sums = last.groupBy("lab").agg(F.count("*").alias("n"), F.regr_sxx("theta", "x").alias("sxx"), F.regr_sxy("theta", "x").alias("sxy"), F.regr_syy("theta", "x").alias("syy"), F.avg("x").alias("x_bar"), F.avg("theta").alias("y_bar"), (F.max("x") - F.min("x")).alias("span"), F.stddev_pop("theta").alias("sd"), F.first("sigma").alias("of_fit"))
+    return fitted_trend(last, ("asof", "lab"))
+
+
+def fitted_trend(last: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """n, slope, intercept, sigma and slope_se of each group's few rows (x in days, theta, sigma of the fit)."""
+    sums = last.groupBy(*by).agg(F.count("*").alias("n"), F.regr_sxx("theta", "x").alias("sxx"), F.regr_sxy("theta", "x").alias("sxy"), F.regr_syy("theta", "x").alias("syy"), F.avg("x").alias("x_bar"), F.avg("theta").alias("y_bar"), (F.max("x") - F.min("x")).alias("span"), F.stddev_pop("theta").alias("sd"), F.first("sigma").alias("of_fit"))
     sigma = F.col("of_fit")
     flat = (F.col("n") == 1) | ~(F.col("sxx") > 0)
     slope = F.when(flat, 0.0).otherwise(F.try_divide(F.col("sxy"), F.col("sxx")))
     own = F.sqrt(F.greatest(F.lit(0.0), F.col("syy") - F.try_divide(F.col("sxy") ** 2, F.col("sxx"))) / F.greatest(F.lit(1), F.col("n") - 2))
     noise = F.when(F.col("n") == 1, sigma).when(flat, F.greatest(sigma, F.col("sd"))).otherwise(F.greatest(own, sigma))
-    out = sums.select("lab", "n", "sxx", "span", "of_fit", slope.alias("slope"), (F.col("y_bar") - slope * F.col("x_bar")).alias("intercept"), noise.alias("sigma"))
+    out = sums.select(*by, "n", "sxx", "span", "of_fit", slope.alias("slope"), (F.col("y_bar") - slope * F.col("x_bar")).alias("intercept"), noise.alias("sigma"))
     slope_se = F.when((F.col("n") == 1) | ~(F.col("sxx") > 0), 0.0).when(F.col("n") == 2, F.try_divide(sigma, F.col("span"))).otherwise(F.col("sigma") / F.sqrt("sxx"))
-    return out.select("lab", "n", "slope", "intercept", "sigma", slope_se.alias("slope_se"))
+    return out.select(*by, "n", "slope", "intercept", "sigma", slope_se.alias("slope_se"))
 
 
 def capability_fan(trend: DataFrame, last: DataFrame, asof: Column, to: Column, step: int = 7) -> DataFrame:
-    """theta and its band by lab and date; the centre stays between five points under the last index and the ceiling. last: lab, date, index."""
-    rows = trend.join(last.select("lab", F.col("date").alias("last"), F.col("index").alias("last_index")), "lab").withColumn("day", F.explode(F.sequence(F.unix_date(asof), F.unix_date(to), F.lit(step))))
+    """theta and its band by lab and date, of a trend of one asof; the centre stays between five points under the last index and the ceiling. last: lab, date, index."""
+    rows = trend.drop("asof").join(last.select("lab", F.col("date").alias("last"), F.col("index").alias("last_index")), "lab").withColumn("day", F.explode(F.sequence(F.unix_date(asof), F.unix_date(to), F.lit(step))))
     low, high = theta_of(F.col("last_index") - 5), theta_of(99.5)
     theta = F.least(F.greatest(F.col("intercept") + F.col("slope") * F.col("day"), low), high)
     half = 1.2816 * F.sqrt(F.col("sigma") ** 2 + (F.col("slope_se") * F.greatest(F.lit(0), F.col("day") - F.unix_date("last"))) ** 2)

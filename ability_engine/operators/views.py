@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ability_engine.operators import asof
 from ability_engine.operators.frontier import regime
 from ability_engine.operators.lineup import rank_ties
 
@@ -135,32 +136,30 @@ def rank_groups(ranking: DataFrame) -> DataFrame:
 
 def level_at(points: DataFrame, knots: DataFrame, value: str) -> DataFrame:
     """Points (point_id, asof, date) with the value of the last knot (asof, date, value) on or before their date, null before the first."""
-    ahead = points.join(knots.select("asof", F.col("date").alias("_d"), F.col(value).alias("_v")), "asof", "left").where("_d is null or _d <= date")
-    found = ahead.groupBy("point_id").agg(F.max_by("_v", "_d").alias(value))
-    return points.join(found, "point_id", "left")
+    return asof.last_before(points, knots, ("asof",), "date", value)
 
 
 def nearest(points: DataFrame, samples: DataFrame, value: str) -> DataFrame:
-    """Points (point_id, date) with the value of the nearest sample (date, value), the earlier where equally near.
-
-    Samples meet points by the last one before and the first one after, from one window over both.
-    """
-    both = points.select("date", "point_id", F.lit(None).cast(samples.schema[value].dataType).alias("v"), F.lit(1).alias("kind")).unionByName(samples.select("date", F.lit(None).cast(points.schema["point_id"].dataType).alias("point_id"), F.col(value).alias("v"), F.lit(0).alias("kind")))
-    before = Window.orderBy("date", "kind").rowsBetween(Window.unboundedPreceding, 0)  # dates of one line: its length at most
-    after = Window.orderBy("date", F.desc("kind")).rowsBetween(0, Window.unboundedFollowing)
-    mark = F.when(F.col("kind") == 0, F.struct("date", "v"))
-    rows = both.withColumn("a", F.last(mark, True).over(before)).withColumn("b", F.first(mark, True).over(after)).where("kind = 1")
-    closer = F.when(F.col("b").isNull() | (F.datediff("date", "a.date") <= F.datediff("b.date", "date")), F.col("a.v")).otherwise(F.col("b.v"))
-    return rows.select("point_id", "date", closer.alias(value))
+    """Points (point_id, date) with the value of the nearest sample (date, value), the earlier where equally near."""
+    met, day = asof.around(points, samples, (), "date", value), F.unix_date("date")
+    closer = F.when(F.col("after").isNull() | (day - F.col("before.at") <= F.col("after.at") - day), F.col("before.v")).otherwise(F.col("after.v"))
+    return met.select("point_id", "date", closer.alias(value))
 
 
 def density_at(samples: DataFrame, points: DataFrame) -> DataFrame:
     """Points (lab, day) with p between the samples (lab, day, p) around them, by straight lines; 0 outside."""
-    step = samples.select("lab", F.col("day").alias("a"), F.col("p").alias("pa"), *[F.lead(c).over(Window.partitionBy("lab").orderBy("day")).alias(n) for c, n in (("day", "b"), ("p", "pb"))])
-    inside = points.join(step, "lab").where((F.col("day") >= F.col("a")) & (F.col("day") <= F.coalesce("b", "a")))
-    t = F.coalesce(F.try_divide(F.col("day") - F.col("a"), F.col("b") - F.col("a")), F.lit(0.0))
-    found = inside.groupBy("lab", "day").agg(F.min_by(F.col("pa") + (F.coalesce("pb", "pa") - F.col("pa")) * t, "a").alias("p"))
-    return points.join(found, ["lab", "day"], "left").select("lab", "day", F.coalesce("p", F.lit(0.0)).alias("p"))
+    a, b = F.col("before"), F.col("after")
+    t = F.coalesce(F.try_divide(F.col("day") - a["at"], b["at"] - a["at"]), F.lit(0.0))
+    met = asof.around(points.select("lab", "day"), samples, ("lab",), "day", "p")
+    return met.select("lab", "day", F.coalesce(a["v"] + (b["v"] - a["v"]) * t, F.lit(0.0)).alias("p"))
+
+
+def slice_samples(samples: DataFrame, windows: DataFrame) -> DataFrame:
+    """The part of each lab's samples (lab, day, p) within its window (lab, low, high), with points of their own on the edges; a window without inner width has none."""
+    wide = windows.where("high > low")
+    inner = samples.select("lab", "day", "p").join(wide, "lab").where((F.col("day") > F.col("low")) & (F.col("day") < F.col("high"))).select("lab", "day", "p")
+    edges = wide.select("lab", F.explode(F.array(F.col("low").cast("double"), F.col("high").cast("double"))).alias("day"))
+    return inner.unionByName(density_at(samples, edges))
 
 
 def near_end(forecasts: DataFrame, hard_end: Column) -> DataFrame:
@@ -203,8 +202,11 @@ def marker_level(markers: DataFrame, announced: DataFrame, predictions: DataFram
     """
     own = announced.select("release_id", F.col("index").alias("_own"))
     coming = predictions.select("lab", F.col("index").alias("_next"))
-    mine = markers.join(qualified.select("lab", F.col("date").alias("_d"), F.col("release_id").alias("_r"), F.col("index").alias("_i")), "lab").groupBy("release_id").agg(F.max_by(F.when(F.col("_d") <= F.col("date"), F.col("_i")), F.when(F.col("_d") <= F.col("date"), F.struct("_d", "_r"))).alias("_before"), F.max_by("_i", F.struct("_d", "_r")).alias("_last"))
-    line = markers.join(knots.select("asof", F.col("date").alias("_d"), F.col("index").alias("_i")), "asof").groupBy("release_id").agg(F.max_by(F.when(F.col("_d") <= F.col("date"), F.col("_i")), F.when(F.col("_d") <= F.col("date"), F.col("_d"))).alias("_front"), F.max_by("_i", "_d").alias("_end"))
-    rows = markers.join(own, "release_id", "left").join(coming, "lab", "left").join(mine, "release_id", "left").join(line, "release_id", "left")
+    days = qualified.groupBy("lab", "date").agg(F.max_by("index", "release_id").alias("_before"))
+    rows = asof.last_before(markers, days, ("lab",), "date", "_before")
+    rows = asof.last_before(rows, knots.select("asof", "date", F.col("index").alias("_front")), ("asof",), "date", "_front")
+    newest = qualified.groupBy("lab").agg(F.max_by("index", F.struct("date", "release_id")).alias("_last"))
+    end = knots.groupBy("asof").agg(F.max_by("index", "date").alias("_end"))
+    rows = rows.join(own, "release_id", "left").join(coming, "lab", "left").join(newest, "lab", "left").join(end, "asof", "left")
     level = F.coalesce("_own", F.when(F.col("date") > F.col("asof"), F.col("_next")), "_before", "_last", "_front", "_end", F.lit(50.0))
     return rows.select(*markers.columns, level.alias("level"))

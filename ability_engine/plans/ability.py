@@ -307,7 +307,7 @@ _TREND_SQL = {
 
 @query("capability_trend", o.sql(f"SELECT lab, n, {o.r6('slope')} AS slope, {o.r6('intercept')} AS intercept, {o.r6('sigma')} AS sigma, {o.r6('slope_se')} AS slope_se FROM trended", o.fit(), _TREND_SQL))
 def capability_trend(spark, sf_dir):
-    return rounded(forecast.capability_trend(fitted(spark, sf_dir)[0]), "slope", "intercept", "sigma", "slope_se")
+    return rounded(forecast.capability_trend(fitted(spark, sf_dir)[0]), "slope", "intercept", "sigma", "slope_se").drop("asof")
 
 
 @query(
