@@ -6,8 +6,8 @@ in a bitmap of fixed size: a wrong hit costs work and changes nothing, as every
 
 A shard's trie is the sorted array of its windows; nodes are where a prefix of one length begins. It is serialised in preorder (words, levels, counts), a
 row for each prefix. Rows are dealt out by ranges of (language, prefix) and sorted, so a task meets the rows of one prefix from all shards next
-to each other and merges their nodes in order: it holds the rows of one prefix at most. Hot prefixes (more than one in ``hot_share`` of all words, so there
-are no more than that many) are made a word longer, and a hot pair is dealt out over 64 parts by its next word.
+to each other and merges their nodes level by level: it holds the rows of one prefix, or of some small ones, at a time. Hot prefixes (more than one in ``hot_share``
+of all words, so there are no more than that many) are dealt out over 32 parts by their next word, a hot pair once more.
 
 The frequent nodes are then walked once more in order, which gives the counts of all left parts of a phrase. Its right parts are its suffix links: the
 node without the first word, and so on, found by a join of all links with the nodes. A phrase is dropped where a node one word longer, whose
@@ -19,7 +19,6 @@ separators, spaces and tabs. An empty table, and languages without frequent phra
 
 from __future__ import annotations
 
-import heapq
 import itertools
 import zlib
 from collections.abc import Callable, Iterator
@@ -32,10 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ability_engine.llm.common import stash, struct_of
+from ability_engine.llm.common import new_path, scratch, stash, struct_of
 
 DEPTH, LEAST, TOP = 5, 100, 2000
-SHARD_WORDS, HOT_SHARE, PARTS = 1_500_000, 5_000, 64
+SHARD_WORDS, HOT_SHARE, PARTS = 4_000_000, 1_000, 32
+#: Nodes that are merged at once, if they don't all have one prefix.
+CHUNK = 400_000
 BITS = 1 << 27
 #: The signs that end a piece; between words, tabs are as spaces.
 _SIGNS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
@@ -62,12 +63,8 @@ class Vocabulary(dict):
         return found[found >= 0]
 
 
-def _shards(docs: DataFrame, build: Callable[[str, list[bytes], np.ndarray], Iterator[dict[str, list]]], schema: T.StructType, shard_words: int) -> DataFrame:
+def _shards(docs: DataFrame, build: Callable[[str, list[bytes], np.ndarray], Iterator[pa.RecordBatch]], schema: T.StructType, shard_words: int) -> DataFrame:
     """``build`` of (language, words by number, numbers of the running text) for each language of each shard."""
-    arrow = to_arrow_schema(schema)
-
-    def batch(columns: dict[str, list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], pa.binary()).cast(f.type) if pa.types.is_string(f.type) else pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[Vocabulary, list[np.ndarray]]] = {}
@@ -75,9 +72,8 @@ def _shards(docs: DataFrame, build: Callable[[str, list[bytes], np.ndarray], Ite
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, (vocabulary, texts) in held.items():
-                words = sorted(vocabulary, key=vocabulary.get)[1:]
-                words[0] = b""
-                yield from map(batch, build(lang, words, np.concatenate(texts)))
+                words = [b"", *itertools.islice(vocabulary, 2, None)]  # in the order of their numbers
+                yield from build(lang, words, np.concatenate(texts))
 
         for b in batches:
             for at in range(0, b.num_rows, 256):
@@ -96,12 +92,15 @@ def _shards(docs: DataFrame, build: Callable[[str, list[bytes], np.ndarray], Ite
     return docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang")).mapInArrow(run, schema)
 
 
-def _count_words(lang: str, words: list[bytes], text: np.ndarray) -> Iterator[dict[str, list]]:
+def _strings(values: list[bytes]) -> pa.Array:
+    return pa.array(values, pa.binary()).cast(pa.string())
+
+
+def _count_words(lang: str, words: list[bytes], text: np.ndarray) -> Iterator[pa.RecordBatch]:
     counts = np.bincount(text, minlength=len(words))
-    name = lang.encode()
     for at in range(1, len(words), 100_000):
         part = words[at : at + 100_000]
-        yield {"lang": [name] * len(part), "word": part, "n": counts[at : at + 100_000]}
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), _strings(part), pa.array(counts[at : at + 100_000], pa.int64())], names=["lang", "word", "n"])
 
 
 def known(bitmap: np.ndarray, lang: str, phrases: list[bytes]) -> np.ndarray:
@@ -152,14 +151,10 @@ def trie(text: np.ndarray, follows: np.ndarray, least: int, depth: int) -> tuple
     return windows, rows, levels, counts[rows, levels]
 
 
-def _tries(lang: str, words: list[bytes], text: np.ndarray, level: int, depth: int, bits: np.ndarray, hot: list[set[bytes]]) -> Iterator[dict[str, list]]:
+def _tries(lang: str, words: list[bytes], text: np.ndarray, level: int, depth: int, bits: list[np.ndarray], hot: list[set[bytes]]) -> Iterator[pa.RecordBatch]:
     """Rows of the shard's trie: nodes of ``level`` to ``depth`` words along frequent phrases of ``level`` - 1 words."""
-    if level == 2:
-        keep = known(bits, lang, words)
-        keep[0] = False
-    else:
-        keep = np.ones(len(words), bool)
-        keep[0] = False
+    keep = known(bits[0], lang, words)
+    keep[0] = False
     kept = sorted(np.flatnonzero(keep).tolist(), key=words.__getitem__)
     order = np.zeros(len(words), np.int64)
     order[kept] = np.arange(1, len(kept) + 1)
@@ -171,96 +166,115 @@ def _tries(lang: str, words: list[bytes], text: np.ndarray, level: int, depth: i
     if level == 3:
         at = np.flatnonzero(follows)
         pairs, which = np.unique(text[at] << 21 | text[at + 1], return_inverse=True)
-        fine = known(bits, lang, [names[p >> 21] + b" " + names[p & 0x1FFFFF] for p in pairs.tolist()])
+        fine = known(bits[1], lang, [names[p >> 21] + b" " + names[p & 0x1FFFFF] for p in pairs.tolist()])
         follows[at] = fine[which] if len(at) else False
     windows, rows, levels, counts = trie(text, follows, level, depth)
     if not len(rows):
         return
-    # The prefix of a window: one word; two where that one is hot; and a part by the next word where it is hot still.
+    # The prefix of a window is its first word. Where that is hot, its part goes by the next word; where the pair is hot too, the prefix is the pair.
+    width = windows.shape[1]
     first = np.isin(windows[0], [k for k, w in enumerate(names) if w in hot[0]])
-    part = np.full(windows.shape[1], -1)
-    lengths = np.ones(windows.shape[1], np.int64)
+    again = np.zeros(width, bool)
     if level == 3:
-        lengths += first
         at = np.flatnonzero(first)
         pairs, which = np.unique(windows[0, at] << 21 | windows[1, at], return_inverse=True)
-        again = np.array([names[p >> 21] + b" " + names[p & 0x1FFFFF] in hot[1] for p in pairs.tolist()], bool)
-        first = first.copy()
-        first[at] = again[which] if len(at) else False
+        if len(at):
+            again[at] = np.array([names[p >> 21] + b" " + names[p & 0x1FFFFF] in hot[1] for p in pairs.tolist()], bool)[which]
     of = np.array([zlib.crc32(w) % PARTS for w in names])
-    part[first] = of[windows[level - 1, first]]
-    cut = np.ones(windows.shape[1], bool)
-    cut[1:] = (windows[0, 1:] != windows[0, :-1]) | (lengths[1:] == 2) & (windows[1, 1:] != windows[1, :-1])
+    lengths = 1 + again
+    part = np.where(again, of[windows[min(level - 1, 2)]], np.where(first, of[windows[1]], 0))
+    cut = np.ones(width, bool)
+    cut[1:] = (windows[0, 1:] != windows[0, :-1]) | (lengths[1:] != lengths[:-1]) | again[1:] & (windows[1, 1:] != windows[1, :-1])
     runs = np.cumsum(cut) - 1
-    # Within a prefix, parts are interleaved: bring the windows of a part together, in order.
-    order = np.lexsort((np.arange(len(runs)), part, runs))
-    moved = np.empty(len(runs), np.int64)
-    moved[order] = np.arange(len(runs))
     wanted = levels >= lengths[rows]
     rows, levels, counts = rows[wanted], levels[wanted], counts[wanted]
-    if (part >= 0).any():
-        again = np.argsort(moved[rows], kind="stable")
-        rows, levels, counts = rows[again], levels[again], counts[again]
-    group = runs[rows] * (PARTS + 1) + part[rows] + 1
+    group = runs[rows] * PARTS + part[rows]
+    if first.any():  # windows of one part are brought together, in order
+        order = np.argsort(group, kind="stable")
+        rows, levels, counts, group = rows[order], levels[order], counts[order], group[order]
     starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-    ends = [*starts[1:].tolist(), len(group)]
-    spelled = windows[levels, rows].tolist()
-    levels, counts = levels.astype(np.uint8).tobytes(), counts.astype("<u4").tobytes()
-    name, get = lang.encode(), names.__getitem__
-    out: dict[str, list] = {f: [] for f in NODES.names}
-    for s, e in zip(starts.tolist(), ends, strict=True):
-        r = rows[s]
-        out["prefix"].append(b" ".join(names[w] for w in windows[: lengths[r], r]))
-        out["part"].append(int(part[r]))
-        out["words"].append(b"\n".join(map(get, spelled[s:e])))
-        out["levels"].append(levels[s:e])
-        out["counts"].append(counts[4 * s : 4 * e])
-        if len(out["part"]) == 20_000:
-            yield out | {"lang": [name] * 20_000}
-            out = {f: [] for f in NODES.names}
-    yield out | {"lang": [name] * len(out["part"])}
-
-
-def _nodes(prefix: list[bytes], words: bytes, levels: bytes, counts: bytes) -> Iterator[tuple[tuple[bytes, ...], int]]:
-    """(path, count) of a row's nodes, in order."""
-    path = [*prefix, *[b""] * DEPTH]
-    for word, level, n in zip(words.split(b"\n"), levels, np.frombuffer(counts, "<u4").tolist(), strict=True):
-        path[level] = word
-        yield tuple(path[: level + 1]), n
+    edges = np.append(starts, len(group))
+    spelled = windows[levels, rows]
+    ends = np.concatenate([[0], np.cumsum(np.array([len(w) + 1 for w in names])[spelled])])
+    lines = [w + b"\n" for w in names]
+    text = b"".join(map(lines.__getitem__, spelled.tolist()))
+    heads = [names[a] if n == 1 else names[a] + b" " + names[b] for a, b, n in zip(windows[0, rows[starts]].tolist(), windows[1, rows[starts]].tolist(), lengths[rows[starts]].tolist(), strict=True)]
+
+    def binary(data: bytes, offsets: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data)])
+
+    columns = [pa.array([lang] * len(starts), pa.string()), _strings(heads), pa.array(part[rows[starts]], pa.int32()), binary(text, ends[edges]), binary(levels.astype(np.uint8).tobytes(), edges), binary(counts.astype("<u4").tobytes(), 4 * edges)]
+    whole = pa.RecordBatch.from_arrays(columns, schema=to_arrow_schema(NODES))
+    for at in range(0, len(starts), 20_000):
+        yield whole.slice(at, 20_000)
+
+
+class Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def merge(rows: list[tuple[str, str, int, bytes, bytes, bytes]], level: int, least: int) -> Iterator[tuple[str, list[bytes], int]]:
+    """(lang, words, count) of the nodes of ``level`` words or more that occur ``least`` times in all rows. Rows of one prefix and part stand together.
+
+    Level by level, nodes with one parent and one word are the same node; their counts are added.
+    """
+    keys = [r[:3] for r in rows]
+    new = np.array([True, *(a != b for a, b in itertools.pairwise(keys))])
+    group = np.cumsum(new) - 1
+    heads = [keys[k] for k in np.flatnonzero(new)]
+    sizes = np.array([len(r[4]) for r in rows])
+    levels = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
+    counts = np.frombuffer(b"".join(r[5] for r in rows), "<u4").astype(np.int64)
+    vocabulary = Numbers()
+    words = np.array(list(map(vocabulary.__getitem__, b"".join(r[3] for r in rows).split(b"\n")[:-1])), np.int64)
+    of = np.repeat(group, sizes)
+    base = np.repeat(np.array([r[1].count(" ") + 1 for r in rows]), sizes)
+    parents, spelled, kept = [np.full(len(heads), -1)], [np.full(len(heads), -1)], []
+    node, place, count = np.zeros(len(levels), np.int64), np.arange(len(levels)), len(heads)
+    for k in range(int(levels.min()), int(levels.max()) + 1):
+        mine = np.flatnonzero(levels == k)
+        above = np.maximum.accumulate(np.where(levels == k - 1, place, -1))[mine]
+        under = np.where(base[mine] < k, node[above], of[mine])
+        codes, which = np.unique(under * len(vocabulary) + words[mine], return_inverse=True)
+        sums = np.bincount(which, counts[mine], len(codes)).astype(np.int64)
+        node[mine] = count + which
+        parents.append(codes // len(vocabulary))
+        spelled.append(codes % len(vocabulary))
+        if k + 1 >= level:
+            kept += [(count + int(x), int(sums[x])) for x in np.flatnonzero(sums >= least)]
+        count += len(codes)
+    parent, spell, names = np.concatenate(parents), np.concatenate(spelled), list(vocabulary)
+    for at, n in kept:
+        path = []
+        while parent[at] >= 0:
+            path.append(names[spell[at]])
+            at = parent[at]
+        lang, prefix, _ = heads[at]
+        yield lang, [*prefix.encode().split(b" "), *reversed(path)], n
 
 
 def _merged(rows: DataFrame, level: int, least: int) -> DataFrame:
     """PHRASES of ``level`` words or more that occur ``least`` times, from the rows of all shards."""
     arrow = to_arrow_schema(PHRASES)
 
-    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for b in batches:
-            yield from zip(*[b.column(n).to_pylist() for n in NODES.names], strict=True)
+    def made(found: list[tuple[str, list[bytes], int]]) -> pa.RecordBatch:
+        flat = _strings([w for _, words, _ in found for w in words])
+        ends = pa.array(np.cumsum([0, *(len(words) for _, words, _ in found)]), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.ListArray.from_arrays(ends, flat, type=arrow.field(1).type), pa.array([x[2] for x in found], pa.int64())], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lang: list[str] = []
-        words: list[list[bytes]] = []
-        f: list[int] = []
-
-        def made() -> pa.RecordBatch:
-            flat = pa.array([w for ws in words for w in ws], pa.binary()).cast(pa.string())
-            ends = pa.array(np.cumsum([0, *map(len, words)]), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.ListArray.from_arrays(ends, flat, type=arrow.field(1).type), pa.array(f, pa.int64())], schema=arrow)
-
-        for (name, prefix, _), group in itertools.groupby(nodes(batches), key=lambda r: r[:3]):
-            group = list(group)
-            if sum(int(np.frombuffer(r[5], "<u4").max(initial=0)) for r in group) < least:
-                continue
-            path = prefix.encode().split(b" ")
-            for phrase, same in itertools.groupby(heapq.merge(*[_nodes(path, *r[3:]) for r in group]), key=lambda x: x[0]):
-                if len(phrase) >= level and (n := sum(c for _, c in same)) >= least:
-                    lang.append(name)
-                    words.append(list(phrase))
-                    f.append(n)
-            if len(f) >= 10_000:
-                yield made()
-                lang, words, f = [], [], []
-        yield made()
+        held, size = [], 0
+        for b in batches:
+            for row in zip(*[b.column(n).to_pylist() for n in NODES.names], strict=True):
+                if size >= CHUNK and row[:3] != held[-1][:3]:
+                    yield made(list(merge(held, level, least)))
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[4])
+        if held:
+            yield made(list(merge(held, level, least)))
 
     keys = ("lang", "prefix", "part")
     return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, PHRASES)
@@ -286,25 +300,31 @@ def _lefts(nodes: DataFrame) -> DataFrame:
 
 def frequent(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, shard_words: int = SHARD_WORDS, hot_share: int = HOT_SHARE) -> tuple[DataFrame, DataFrame]:
     """Two written tables: (lang, n), and (lang, words, f) of the phrases of up to ``depth`` words that occur ``least`` times."""
+    spark = docs.sparkSession
     word_rows = struct_of(("lang", T.StringType()), ("word", T.StringType()), ("n", T.LongType()))
-    counted = stash(_shards(docs, _count_words, word_rows, shard_words).groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
+    every = _shards(docs, _count_words, word_rows, shard_words).groupBy("lang", "word").agg(F.sum("n").alias("f"))
+    # Rare words only count in their language's total.
+    counted = stash(every.groupBy("lang", F.when(F.col("f") >= least, F.col("word")).alias("word")).agg(F.sum("f").alias("f")), "words")
     totals = stash(counted.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
     total = totals.agg(F.sum("n")).first()[0] or 0
-    level = stash(counted.where(F.col("f") >= least).select("lang", F.array("word").alias("words"), "f"), "phrases")
-    found, hot = [level], []
+    level = counted.where("word is not null").select("lang", F.array("word").alias("words"), "f")
+    found, hot, bits = [level], [], []
     for least_words, most_words in ((2, 2), (3, depth)):
         if most_words < least_words:
             break
         phrase = F.array_join("words", " ")
-        bits = bitmap(level.select("lang", phrase.alias("phrase")))
+        bits.append(bitmap(level.select("lang", phrase.alias("phrase"))))
         # Hot in any language: at most ``hot_share`` phrases.
         hot.append({r[0].encode() for r in level.where(F.col("f") * hot_share > total).select(phrase).distinct().collect()})
 
-        def build(lang: str, words: list[bytes], text: np.ndarray, a: int = least_words, b: int = most_words, bits: Broadcast = bits, hot: list = list(hot)) -> Iterator[dict[str, list]]:
-            return _tries(lang, words, text, a, b, np.frombuffer(bits.value, np.uint8), hot)
+        def build(lang: str, words: list[bytes], text: np.ndarray, a: int = least_words, b: int = most_words, bits: list = list(bits), hot: list = list(hot)) -> Iterator[pa.RecordBatch]:
+            return _tries(lang, words, text, a, b, [np.frombuffer(x.value, np.uint8) for x in bits], hot)
 
-        rows = stash(_shards(docs, build, NODES, shard_words), "tries")
-        level = stash(_merged(rows, least_words, least), "phrases")
+        path = new_path(spark, "phrases")
+        with scratch(spark):  # the tries go once they are merged
+            rows = stash(_shards(docs, build, NODES, shard_words), "tries")
+            _merged(rows, least_words, least).write.parquet(path)
+        level = spark.read.schema(PHRASES).parquet(path)
         found.append(level)
     nodes = found[0]
     for more in found[1:]:
