@@ -2,11 +2,16 @@
 
 A blob is a distinct text, addressed by its SHA-256; a path is a row that holds it. The ledger keeps, for each blob, the rule versions that it
 was scanned with and what they found. A run scans only the (blob, rule version) pairs that the ledger lacks, each once however many paths
-share the blob, and joins findings back to all paths. Copies are merged before the shuffle (a partial aggregate on the digest), so a hot
-text crosses it at most once a map task.
+share the blob, and joins findings back to all paths.
+
+What is due is found by digests alone: distinct ones, of which a task sends each once, meet those of the ledger, and the result is written down. Where it is up to
+``broadcast_rows`` digests it is broadcast to the texts, so only texts that are due leave their task, and none do when nothing is new; beyond that, copies are merged first and
+the merged texts meet what is due. Either way copies are merged within each task (a partial aggregate on the digest), so a hot text crosses the shuffle
+at most once a task. Findings join paths on the digest; a digest with most of the paths is split by Spark's skew join.
 
 ``update`` keeps a ledger in a folder: a run appends what was due, so the next one scans nothing it has seen. Historical versions of a document are
-rows of their own (``report`` keeps the columns named in ``path``, say doc_id and version); a version that comes back is an old blob.
+rows of their own (``report`` keeps the columns named in ``path``, say doc_id and version); a version that comes back is an old blob. A run that fails before its
+job commits leaves the ledger as it was; a commit that is cut off, or two runs at once, may leave some rows twice, which changes no result.
 
 Defined cases: a null text is the empty text, which has no findings. Rows are paths, so a repeated or null doc_id gets a row each time. Findings
 are code point offsets into the whole text, ends exclusive. Other columns are ignored by ``report`` and kept by ``redact``. ``redact`` replaces the
@@ -23,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ability_engine.llm.common import exists, map_lists, struct_of, unused
+from ability_engine.llm.common import exists, map_lists, stash, struct_of, unused
 
 
 @dataclass(frozen=True)
@@ -80,16 +85,26 @@ def address(text: Column | str = "text") -> Column:
     return F.unhex(F.sha2(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary"), 256))
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """New ledger rows: every blob of ``docs`` with the rule versions that ``ledger`` lacks for it, and their findings."""
-    blobs = docs.select(address().alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+def due(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """blob and due, the rule versions that ``ledger`` lacks for it; blobs that lack none are left out. Digests only."""
     names = F.array(*[F.lit(r.name) for r in rules])
+    seen = ledger.select("blob", F.explode("scanned").alias("rule")).where(F.col("rule").isin([r.name for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+    digests = docs.select(address().alias("blob")).distinct().join(seen, "blob", "left")
+    return digests.select("blob", F.array_except(names, F.coalesce("seen", F.array().cast("array<string>"))).alias("due")).where(F.size("due") > 0)
+
+
+def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, broadcast_rows: int = 200_000) -> DataFrame:
+    """New ledger rows: every blob of ``docs`` with the rule versions that ``ledger`` lacks for it, and their findings."""
+    texts = docs.select(address().alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
     if ledger is None:
-        blobs = blobs.withColumn("due", names)
+        names = F.array(*[F.lit(r.name) for r in rules])
+        blobs = texts.groupBy("blob").agg(F.first("text").alias("text")).withColumn("due", names)
     else:
-        seen = ledger.select("blob", F.explode("scanned").alias("rule")).where(F.col("rule").isin([r.name for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-        blobs = blobs.join(seen, "blob", "left").withColumn("due", F.array_except(names, F.coalesce("seen", F.array().cast("array<string>")))).where(F.size("due") > 0)
-    blobs = blobs.groupBy("blob").agg(F.first("text").alias("text"), F.first("due").alias("due"))
+        wanted = stash(due(docs, ledger, rules), "due")
+        if wanted.limit(broadcast_rows + 1).count() <= broadcast_rows:
+            blobs = texts.join(F.broadcast(wanted), "blob").groupBy("blob").agg(F.first("text").alias("text"), F.first("due").alias("due"))
+        else:
+            blobs = texts.groupBy("blob").agg(F.first("text").alias("text")).join(wanted, "blob")
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for b in batches:
@@ -107,7 +122,7 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def update(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Scan what the ledger in the folder ``path`` lacks, append it, and return the ledger. A run that fails leaves the ledger as it was."""
+    """Scan what the ledger in the folder ``path`` lacks, append it, and return the ledger."""
     spark = docs.sparkSession
     old = read_ledger(spark, path) if exists(spark, path) else None
     scan(docs, old, rules).write.mode("append").parquet(path)

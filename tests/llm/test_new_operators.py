@@ -1,5 +1,6 @@
 """Alignment, fingerprints and phrases against brute force, and on odd rows."""
 
+import dataclasses
 import hashlib
 import random
 from collections import Counter, defaultdict
@@ -12,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ability_engine.llm import align, phrases, spots
+from ability_engine.llm import align, phrases, secrets, spots
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, links string, d string, words string"
 A = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -204,3 +205,22 @@ def test_fingerprints_keep_odd_rows(spark):
     assert spots.report(table(spark, [])).count() == 0
     one = spots.report(table(spark, ["alone in the world"])).first()
     assert one.near_next == 1.0
+
+
+def test_ledger_runs_again(spark, tmp_path):
+    """A hot blob, a second run without texts in a shuffle, a new version of a rule and a new version of a document."""
+    path = str(tmp_path / "ledger")
+    hot = spark.range(100_000).select("id", F.lit("token = abcdef123 end").alias("text"))
+    docs = hot.unionByName(spark.createDataFrame([(-1, "AKIA" + "Z" * 20), (-2, None), (-3, "plain")], "id long, text string")).withColumnRenamed("id", "doc_id")
+    first = secrets.update(docs, path)
+    assert first.count() == 4 and secrets.scan(docs, first).count() == 0
+    assert secrets.due(docs, first).count() == 0
+    newer = (*secrets.RULES[:-1], dataclasses.replace(secrets.RULES[-1], version=2))
+    for most in (0, 200_000):  # beyond the broadcast, and within
+        again = secrets.scan(docs, first, newer, broadcast_rows=most).collect()
+        assert len(again) == 4 and all(r.scanned == ["jwt@2"] for r in again)
+    changed = docs.unionByName(spark.createDataFrame([(-1, "AKIA" + "Y" * 20)], "doc_id long, text string"))
+    assert [r.findings[0].kind for r in secrets.scan(changed, first).collect()] == ["access"]
+    ledger = secrets.update(changed, path)
+    found = secrets.report(changed, ledger)
+    assert found.count() == 100_004 and found.where("doc_id >= 0 and findings[0].kind = 'assign'").count() == 100_000
