@@ -6,6 +6,8 @@ written as Parquet and read back as the next one's input, so a lost executor cos
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ability_engine.llm import decontaminate, neardup, packing, quality_rules, secrets
@@ -27,9 +29,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
-def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by a mark. The ledger of scanned texts is a table of its own."""
-    return secrets.redact(docs, secrets.update(docs, new_path(spark, "ledger")))
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, ledger: str | None = None) -> DataFrame:
+    """All documents, with secrets replaced by a mark. A ledger in a folder of its own outlives the stage: the next run scans only what it lacks."""
+    return secrets.redact(docs, secrets.update(docs, ledger or new_path(spark, "ledger")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +51,12 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, ledger: str | None = None) -> DataFrame:
+    """All stages. ``ledger``: a folder for the ledger of scanned texts that later runs take up again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        if stage is secret_stage and ledger:
+            stage = partial(secret_stage, ledger=ledger)
         path, schema = new_path(spark, name.replace(" ", "-")), docs.schema
         with scratch(spark):  # a stage's own tables go once its result is written
             stage(spark, docs, sf_dir).write.parquet(path)
