@@ -7,7 +7,7 @@ one model in one batch; everything else is joins.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,3 +107,35 @@ def replace_scores(published: DataFrame, found: DataFrame) -> DataFrame:
     both = published.select(*key, F.col("value").alias("old")).join(found.select(*key, F.col("value").alias("new")), key, "full_outer")
     action = F.when(F.col("old").isNull(), "added").when(F.col("new").isNotNull() & (F.col("new") != F.col("old")), "replaced").otherwise("kept")
     return both.select(*key, F.coalesce("new", "old").alias("value"), F.when(action == "replaced", F.col("old")).alias("old"), action.alias("action"))
+
+
+def _plain(value: Column) -> Column:
+    whole = value == F.floor(value)
+    return F.when(whole, F.floor(value).cast("string")).otherwise(value.cast("string"))
+
+
+def merge_run(published: DataFrame, scores: DataFrame, sources: DataFrame, incoming: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(releases, scores, sources, changes) after a batch: releases and scores merge together, and a page that changed something becomes a source.
+
+    published and incoming as in ``merge_releases``; incoming also url, of the page that it was read from. scores: release_id, benchmark, config, value; sources: release_id,
+    pos, url; found: lab, pos (of the incoming row), score_pos, benchmark, config, value. A score goes in where its benchmark and configuration aren't there yet, the first by
+    (pos, score_pos). A page is added once to a release, after its other sources, if one of its rows created it, added a score, moved its status or its date; a tier alone doesn't count.
+    """
+    after, changes = merge_releases(published, incoming)
+    keyed = lambda df: df.withColumn("key", name_key(F.col("name")))
+    rows = keyed(incoming).select("lab", "pos", "key", "url").join(keyed(after).select("lab", "key", F.col("id").alias("release_id")), ["lab", "key"]).select("lab", "pos", "url", "release_id")
+    blank = lambda df: df.withColumn("config", F.coalesce("config", F.lit("")))
+    key = ["release_id", "benchmark", "config"]
+    first = F.min_by(F.struct("lab", "pos", "value"), F.struct("pos", "score_pos")).alias("s")
+    fresh = blank(found).join(rows, ["lab", "pos"]).join(blank(scores).select(*key).distinct(), key, "left_anti").groupBy(*key).agg(first).select(*key, "s.*")
+    made = changes.where("kind = 'release_added'").select("lab", F.col("id").alias("release_id"), "pos")
+    setting = F.when(F.col("config") != "", F.concat(F.lit(" ("), "config", F.lit(")"))).otherwise(F.lit(""))
+    scored = fresh.join(made, ["lab", "release_id", "pos"], "left_anti")
+    noted = scored.select("lab", F.col("release_id").alias("id"), "pos", F.lit("score_added").alias("kind"), F.concat("benchmark", F.lit(" "), _plain(F.col("value")), setting).alias("summary"))
+    every = changes.unionByName(noted)
+    touched = every.where("kind <> 'release_updated' or summary like 'date %'").select("lab", F.col("id").alias("release_id"), "pos").distinct()
+    pages = touched.join(rows, ["lab", "release_id", "pos"]).where("url is not null").groupBy("release_id", "url").agg(F.min("pos").alias("_by")).join(sources.select("release_id", "url"), ["release_id", "url"], "left_anti")
+    held = sources.groupBy("release_id").agg((F.max("pos") + 1).alias("_next"))
+    order = Window.partitionBy("release_id").orderBy("_by", "url")  # the new pages of one release
+    placed = pages.join(held, "release_id", "left").select("release_id", (F.coalesce("_next", F.lit(0)) + F.row_number().over(order) - 1).cast(sources.schema["pos"].dataType).alias("pos"), "url")
+    return after, blank(scores).select(*key, "value").unionByName(fresh.select(*key, "value")), sources.select("release_id", "pos", "url").unionByName(placed), every

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ability_engine.functions.text import quote_matches
@@ -51,8 +51,10 @@ def update_leaderboard(pages: DataFrame, releases: DataFrame, labs: DataFrame, p
     pages: page_id, text (a table, or lines of a flattened one); releases: known_id, known_pos, name, lab; labs: lab, names (array). A row whose organisation
     isn't the release's lab is left out.
     """
-    flat = leaderboard.flattened_rows(pages)
-    rows = flat.unionByName(leaderboard.table_rows(pages.join(flat.select("page_id").distinct(), "page_id", "left_anti")).select("page_id", "rank", "model", "score"))
+    flat = leaderboard.flattened_rows(pages).withColumn("_form", F.lit(0))
+    both = flat.unionByName(leaderboard.table_rows(pages).select("page_id", "rank", "model", "score").withColumn("_form", F.lit(1)))
+    # A page with lines of a flattened table has no other; its rows are few.
+    rows = both.withColumn("_own", F.min("_form").over(Window.partitionBy("page_id"))).where("_form = _own").drop("_form", "_own")
     named = rows.withColumn("row_id", F.concat_ws("|", "page_id", leaderboard.name_key(F.col("model"))))
     best = leaderboard.best_rows(named, releases.select("known_id", "known_pos", "name")).join(named.select("row_id", "model", "score"), "row_id")
     labelled = best.join(releases.select("known_id", "lab"), "known_id").join(labs, "lab", "left")

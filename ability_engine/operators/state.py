@@ -87,7 +87,7 @@ def merge_summary(previous: Column, line: Column) -> Column:
     mine = step_of(line)
     latest = lambda s: F.filter(pieces, lambda p: p["step"] == s)
     begins = lambda s: F.greatest(F.array_size(latest(s)) - F.array_position(F.reverse(F.transform(latest(s), lambda p: F.startswith(p["text"], F.concat(s, F.lit(":"))))), F.lit(True)) + 1, F.lit(1))
-    text = lambda s: F.when(F.array_size(latest(s)) > 0, F.array_join(F.transform(F.slice(latest(s), begins(s).cast("int"), F.lit(10_000)), lambda p: p["text"]), JOINER))
+    text = lambda s: F.when(F.array_size(latest(s)) > 0, F.array_join(F.transform(F.slice(latest(s), begins(s).cast("int"), F.array_size(latest(s))), lambda p: p["text"]), JOINER))
     segments = F.array(*[F.when(mine == s, line).when((mine == "backfill") & F.lit(s == "eval"), F.lit(None)).otherwise(text(F.lit(s))) for s in STEPS])
     return F.when(mine.isNull(), line).otherwise(F.array_join(F.array_compact(segments), JOINER))
 

@@ -111,7 +111,7 @@ def backtest_order(rows: DataFrame) -> DataFrame:
 def watch_order(labs: DataFrame, predictions: DataFrame) -> DataFrame:
     """Labs (lab, name) by asof with the place of their card: the first prediction's date, labs without one last, then name."""
     first = predictions.groupBy("asof", "lab").agg(F.min_by("p50", "k").alias("p50"))
-    rows = predictions.select("asof").distinct().crossJoin(F.broadcast(labs.limit(10_000))) if labs.limit(10_001).count() <= 10_000 else predictions.select("asof").distinct().crossJoin(labs)
+    rows = predictions.select("asof").distinct().crossJoin(labs)  # a card for each date and lab
     order = Window.partitionBy("asof").orderBy(F.asc_nulls_last("p50"), "name", "lab")
     return rows.join(first, ["asof", "lab"], "left").withColumn("place", F.row_number().over(order))
 

@@ -291,3 +291,19 @@ def leaderboard_tables(spark, sf_dir):
 def leaderboard_lines(spark, sf_dir):
     lines = "array_join(transform(array(1, 2, 3), k -> concat(k, '\n', p_name, ' ', k, '\nAcme\n', 1400 - k, '\n', 12345 + k)), '\n')"
     return leaderboard.flattened_rows(_t(spark, sf_dir, "part").selectExpr("p_partkey as page_id", f"concat('Leaderboard\nVote\n', {lines}, '\nAbout') as text"))
+
+
+_RUN = """WITH p AS (SELECT p_partkey AS k, 'lab-' || p_size % 5 AS lab, 'r-' || p_partkey AS id, p_size FROM part WHERE p_partkey % 2 = 0), f AS (SELECT *, CASE WHEN k % 3 = 0 THEN 'elo' ELSE 'swe' END AS benchmark FROM p),
+added AS (SELECT * FROM f WHERE NOT (k % 4 = 0 AND benchmark = 'elo'))
+SELECT id AS release_id, 'source' AS what, CAST(0 AS INT) AS pos, 'u' || k % 7 AS text FROM p UNION ALL SELECT id, 'source', 1, 'u' || k % 5 FROM added WHERE k % 7 <> k % 5 UNION ALL SELECT id, 'score_added', CAST(k AS INT), benchmark || ' ' || p_size || CASE WHEN k % 8 = 2 THEN ' (tools)' ELSE '' END FROM added"""
+
+
+@query("merge_sources", _RUN)
+def merge_sources(spark, sf_dir):
+    part = a.table(spark, sf_dir, "part").where("p_partkey % 2 = 0").selectExpr("cast(p_partkey as int) as k", "concat('lab-', p_size % 5) as lab", "concat('r-', p_partkey) as id", "concat('Nova ', p_partkey) as name", "p_size", "'released' as status", "'2024-01-01' as date", "'day' as date_precision", "'flagship' as tier")
+    fields = ("lab", "name", "status", "date", "date_precision", "tier")
+    scores = part.where("k % 4 = 0").selectExpr("id as release_id", "'elo' as benchmark", "cast(null as string) as config", "1.0D as value")
+    sources = part.selectExpr("id as release_id", "0 as pos", "concat('u', k % 7) as url")
+    found = part.selectExpr("lab", "k as pos", "0 as score_pos", "if(k % 3 = 0, 'elo', 'swe') as benchmark", "if(k % 8 = 2, 'tools', null) as config", "cast(p_size as double) as value")
+    _, _, after, changes = merge.merge_run(part.select("id", *fields), scores, sources, part.select(F.col("k").alias("pos"), *fields, F.expr("concat('u', k % 5)").alias("url")), found)
+    return after.selectExpr("release_id", "'source' as what", "pos", "url as text").unionByName(changes.selectExpr("id as release_id", "kind as what", "pos", "summary as text"))

@@ -57,7 +57,7 @@ def screen_candidates(spark, sf_dir):
 def launch_post_lookup(spark, sf_dir):
     names = a.table(spark, sf_dir, "supplier").selectExpr("s_suppkey as name_id", "s_nationkey % 5 as lab", "concat('Nova ', s_suppkey) as name")
     items = a.table(spark, sf_dir, "part").selectExpr("p_size % 5 as lab", "p_partkey as pos", "concat('NOVA-', p_partkey % 150, if(p_partkey % 2 = 0, '.5', ''), ' is here') as title", "concat('https://x.example/p/', p_partkey, '/') as link", "cast(p_partkey as string) as date")
-    seen = a.table(spark, sf_dir, "part").where("p_partkey % 3 = 0").crossJoin(F.broadcast(spark.range(1))).selectExpr("p_partkey % 150 as name_id", "concat('https://x.example/p/', p_partkey) as url_key")
+    seen = a.table(spark, sf_dir, "part").where("p_partkey % 3 = 0").selectExpr("p_partkey % 150 as name_id", "concat('https://x.example/p/', p_partkey) as url_key")
     return screening.launch_posts(names, items, seen).select("name_id", F.col("date").cast("bigint").alias("pos"))
 
 
