@@ -34,10 +34,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ability_engine.llm.common import new_path, scratch, stash, struct_of
 
 DEPTH, LEAST, TOP = 5, 100, 2000
-SHARD_WORDS, HOT_SHARE, PARTS = 4_000_000, 1_000, 32
+SHARD_WORDS, HOT_SHARE, PARTS = 3_000_000, 1_000, 32
 #: Nodes that are merged at once, if they don't all have one prefix.
-CHUNK = 400_000
-BITS = 1 << 27
+CHUNK = 150_000
+BITS = 1 << 26
 #: The signs that end a piece; between words, tabs are as spaces.
 _SIGNS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
 NODES = struct_of(("lang", T.StringType()), ("prefix", T.StringType()), ("part", T.IntegerType()), ("words", T.BinaryType()), ("levels", T.BinaryType()), ("counts", T.BinaryType()))
@@ -111,7 +111,7 @@ def known(bitmap: np.ndarray, lang: str, phrases: list[bytes]) -> np.ndarray:
 
 
 def bitmap(phrases: DataFrame) -> Broadcast:
-    """The (lang, phrase) rows as a bitmap of ``BITS`` bits: 16 MB whatever their number is."""
+    """The (lang, phrase) rows as a bitmap of ``BITS`` bits: 8 MB whatever their number is."""
     bit = F.crc32(F.concat("lang", F.lit("\0"), "phrase").cast("binary")) % BITS + 1
     rows = phrases.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
     out = bytearray(BITS // 8)
@@ -326,6 +326,8 @@ def frequent(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, shard_word
             _merged(rows, least_words, least).write.parquet(path)
         level = spark.read.schema(PHRASES).parquet(path)
         found.append(level)
+    for b in bits:  # what was made with them is written
+        b.destroy()
     nodes = found[0]
     for more in found[1:]:
         nodes = nodes.unionByName(more)
