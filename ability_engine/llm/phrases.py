@@ -5,9 +5,9 @@ the phrases within it are, so pairs are counted only of frequent words, and long
 in a bitmap of fixed size: a wrong hit costs work and changes nothing, as every count is whole when it is compared with ``least``.
 
 A shard's trie is the sorted array of its windows; nodes are where a prefix of one length begins. It is serialised in preorder (words, levels, counts), a
-row for each prefix. Rows are dealt out by ranges of (language, prefix) and sorted, so a task meets the rows of one prefix from all shards next
-to each other and merges their nodes level by level: it holds the rows of one prefix, or of some small ones, at a time. Hot prefixes (more than one in ``hot_share``
-of all words, so there are no more than that many) are dealt out over 32 parts by their next word, a hot pair once more.
+row for each range of first words, those with the same first four signs. Rows are dealt out by ranges of (language, prefix) and sorted, so a task meets the rows of one
+prefix from all shards next to each other and merges their nodes level by level: it holds the rows of one prefix, or of some small ones, at a time. Hot words (more
+than one in ``hot_share`` of all words, so there are no more than that many) are prefixes of their own, dealt out over 32 parts by their next word, and hot pairs once more.
 
 The frequent nodes are then walked once more in order, which gives the counts of all left parts of a phrase. Its right parts are its suffix links: the
 node without the first word, and so on, found by a join of all links with the nodes. A phrase is dropped where a node one word longer, whose
@@ -35,6 +35,8 @@ from ability_engine.llm.common import new_path, scratch, stash, struct_of
 
 DEPTH, LEAST, TOP = 5, 100, 2000
 SHARD_WORDS, HOT_SHARE, PARTS = 3_000_000, 1_000, 32
+#: Signs that the first words of one range share.
+LEAD = 4
 #: Nodes that are merged at once, if they don't all have one prefix.
 CHUNK = 150_000
 BITS = 1 << 26
@@ -171,7 +173,7 @@ def _tries(lang: str, words: list[bytes], text: np.ndarray, level: int, depth: i
     windows, rows, levels, counts = trie(text, follows, level, depth)
     if not len(rows):
         return
-    # The prefix of a window is its first word. Where that is hot, its part goes by the next word; where the pair is hot too, the prefix is the pair.
+    # The prefix of a window is a range of first words, those with the same first signs. A hot word is a prefix of its own, dealt out by the next word; a hot pair once more.
     width = windows.shape[1]
     first = np.isin(windows[0], [k for k, w in enumerate(names) if w in hot[0]])
     again = np.zeros(width, bool)
@@ -181,14 +183,17 @@ def _tries(lang: str, words: list[bytes], text: np.ndarray, level: int, depth: i
         if len(at):
             again[at] = np.array([names[p >> 21] + b" " + names[p & 0x1FFFFF] in hot[1] for p in pairs.tolist()], bool)[which]
     of = np.array([zlib.crc32(w) % PARTS for w in names])
-    lengths = 1 + again
-    part = np.where(again, of[windows[min(level - 1, 2)]], np.where(first, of[windows[1]], 0))
+    leads = [w.decode("utf-8", "surrogatepass")[:LEAD].encode("utf-8", "surrogatepass") for w in names]
+    led = np.cumsum([0, *(a != b for a, b in itertools.pairwise(leads))])
+    lengths = first.astype(np.int64) + again
+    part = np.where(again, of[windows[min(level - 1, 2)]], np.where(first, of[windows[1]], -1))
     cut = np.ones(width, bool)
-    cut[1:] = (windows[0, 1:] != windows[0, :-1]) | (lengths[1:] != lengths[:-1]) | again[1:] & (windows[1, 1:] != windows[1, :-1])
+    head = np.where(first, windows[0], led[windows[0]])
+    cut[1:] = (head[1:] != head[:-1]) | (lengths[1:] != lengths[:-1]) | again[1:] & (windows[1, 1:] != windows[1, :-1])
     runs = np.cumsum(cut) - 1
     wanted = levels >= lengths[rows]
     rows, levels, counts = rows[wanted], levels[wanted], counts[wanted]
-    group = runs[rows] * PARTS + part[rows]
+    group = runs[rows] * (PARTS + 1) + part[rows] + 1
     if first.any():  # windows of one part are brought together, in order
         order = np.argsort(group, kind="stable")
         rows, levels, counts, group = rows[order], levels[order], counts[order], group[order]
@@ -198,7 +203,7 @@ def _tries(lang: str, words: list[bytes], text: np.ndarray, level: int, depth: i
     ends = np.concatenate([[0], np.cumsum(np.array([len(w) + 1 for w in names])[spelled])])
     lines = [w + b"\n" for w in names]
     text = b"".join(map(lines.__getitem__, spelled.tolist()))
-    heads = [names[a] if n == 1 else names[a] + b" " + names[b] for a, b, n in zip(windows[0, rows[starts]].tolist(), windows[1, rows[starts]].tolist(), lengths[rows[starts]].tolist(), strict=True)]
+    heads = [leads[a] if n == 0 else names[a] if n == 1 else names[a] + b" " + names[b] for a, b, n in zip(windows[0, rows[starts]].tolist(), windows[1, rows[starts]].tolist(), lengths[rows[starts]].tolist(), strict=True)]
 
     def binary(data: bytes, offsets: np.ndarray) -> pa.Array:
         return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data)])
@@ -230,7 +235,7 @@ def merge(rows: list[tuple[str, str, int, bytes, bytes, bytes]], level: int, lea
     vocabulary = Numbers()
     words = np.array(list(map(vocabulary.__getitem__, b"".join(r[3] for r in rows).split(b"\n")[:-1])), np.int64)
     of = np.repeat(group, sizes)
-    base = np.repeat(np.array([r[1].count(" ") + 1 for r in rows]), sizes)
+    base = np.repeat(np.array([0 if r[2] < 0 else r[1].count(" ") + 1 for r in rows]), sizes)
     parents, spelled, kept = [np.full(len(heads), -1)], [np.full(len(heads), -1)], []
     node, place, count = np.zeros(len(levels), np.int64), np.arange(len(levels)), len(heads)
     for k in range(int(levels.min()), int(levels.max()) + 1):
@@ -251,8 +256,8 @@ def merge(rows: list[tuple[str, str, int, bytes, bytes, bytes]], level: int, lea
         while parent[at] >= 0:
             path.append(names[spell[at]])
             at = parent[at]
-        lang, prefix, _ = heads[at]
-        yield lang, [*prefix.encode().split(b" "), *reversed(path)], n
+        lang, prefix, part = heads[at]
+        yield lang, [*(prefix.encode().split(b" ") if part >= 0 else []), *reversed(path)], n
 
 
 def _merged(rows: DataFrame, level: int, least: int) -> DataFrame:
