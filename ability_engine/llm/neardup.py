@@ -7,11 +7,12 @@ similarity; candidates far below the threshold (``sigmas`` standard errors) end
 
 Copies and hot groups: documents with equal sets are one class, and only classes are compared. In a band's group of up to ``few`` classes all
 pairs are candidates. A larger group has a center, the member that shares most bands with others, and groups of one center are joined. Each
-member is verified against the center; those linked to it form its star and need no other link among themselves. The others get a center of
-their own, and so on, so a cluster of n near copies costs about n comparisons however many clusters a group has; a group of ``few`` is
-compared in pairs. A member x outside a star of center c can be linked into it only if its edits E(x), the symmetric difference of x and c, are few
-enough; such x meet the star by a join on edits with prefix, length and positional filters, as E(a) and E(b) differ just where a and b do. So
-do the members that ``rounds`` centers leave. No link of the bands' candidates is lost in any of this.
+member is verified against the center, and the components of these links are found. A link only matters between different components, so a
+member that is in its center's component is done: a cluster of n near copies costs about n comparisons, whatever else its groups hold. The
+members that are left over are compared with all members of their center by edits E(x), the symmetric difference of x and c: E(a) and E(b) differ just
+where a and b do, so a join on edits with prefix, length and positional filters finds the pairs. Members of one component that share an edit meet
+another component through the loosest bounds among them, and only components that may be linked there are compared member by member. No
+link between components is lost in this. Pairs grow with the product of two clusters only where both are in reach of a link and no center joins them.
 
 A pair at similarity 0.85 shares no band with probability 2e-8, and the estimate rules it out with probability below 1e-11.
 
@@ -149,6 +150,9 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def connect(links: DataFrame) -> DataFrame:
     """node and root (the least node of its component) of all nodes of ``links`` (a, b)."""
     edges = stash(links.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "edges")
+    # Rounds end where the edges stay the same: their number, and a sum of 64-bit hashes.
+    digest = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+    was = digest(edges)
     while True:
         # Large star: each node hands its larger neighbours to the least of its neighbourhood.
         both = edges.select("v", "u").unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
@@ -158,9 +162,9 @@ def connect(links: DataFrame) -> DataFrame:
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u <> v").unionByName(least.select("v", F.col("m").alias("u"))).distinct()
         new = stash(small, "edges")
-        if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():
+        if (now := digest(new)) == was:
             break
-        edges = new
+        edges, was = new, now
     return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
 
 
@@ -193,23 +197,28 @@ def edits(members: DataFrame, sets: DataFrame, salts: int = 16) -> DataFrame:
     return map_lists(both.select("center", "set_id", "score", "set"), run, schema)
 
 
-def edit_pairs(found: DataFrame, probe: Column, index: Column, percent: int) -> DataFrame:
-    """Pairs (a, b) that may be linked, of rows of ``found`` with one center where ``probe`` holds for a, which isn't linked to it, and ``index`` for b.
+def edit_pairs(found: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``found`` (center, set_id, component, apart, n, edits) with one center that may be linked, of different components; a is apart from the center.
 
     With k = (100 - percent) / (100 + percent), x and y are linked if |x ^ y| <= k (|x| + |y|), that is if they share at least
-    (|E(x)| + |E(y)| - k (|x| + |y|)) / 2 edits. If x isn't linked to the center that is more than (1 - k) |E(y)| / 2.
+    (|E(x)| + |E(y)| - k (|x| + |y|)) / 2 edits. As x isn't linked to the center that is more than (1 - k) |E(y)| / 2.
     """
     k = (100 - percent) / (100 + percent)
-    tokens = found.select("center", "set_id", "n", F.size("edits").alias("e"), probe.alias("probe"), index.alias("index"), F.explode("edits").alias("edit")).where("probe or index")
-    often = tokens.groupBy("center", "edit").agg(F.count("*").alias("times"), F.max("probe").alias("probed")).where("probed and times > 1")
+    tokens = found.select("center", "set_id", "component", "apart", "n", F.size("edits").alias("e"), F.explode("edits").alias("edit"))
+    mixed = tokens.groupBy("center", "edit").agg(F.count("*").alias("times"), F.max("apart").alias("probed"), (F.min("component") != F.max("component")).alias("mixed")).where("probed and mixed")
     rarest = Window.partitionBy("center", "set_id").orderBy("times", "edit")  # the edits of one member
-    ranked = stash(tokens.join(often, ["center", "edit"], "left").withColumn("rank", F.row_number().over(rarest) - 1).where("times is not null"), "edits")
-    side = lambda df, x: df.select("center", "edit", *[F.col(c).alias(f"{c}_{x}") for c in ("set_id", "n", "e", "rank")])
-    left = side(ranked.where("probe"), "a")
-    right = side(ranked.where("index").where(F.col("rank") <= F.col("e") - F.greatest(F.lit(1), F.ceil((1 - k) / 2 * F.col("e") - 1e-9))), "b")
-    most = k * (F.col("n_a") + F.col("n_b")) + 1e-9
-    fits = (F.abs(F.col("e_a") - F.col("e_b")) <= most) & (2 * F.least(F.col("e_a") - F.col("rank_a"), F.col("e_b") - F.col("rank_b")) >= F.col("e_a") + F.col("e_b") - most)
-    pairs = left.join(right, ["center", "edit"]).where((F.col("set_id_a") != F.col("set_id_b")) & fits)
+    ranked = tokens.join(mixed.select("center", "edit", "times"), ["center", "edit"], "left").withColumn("rank", F.row_number().over(rarest) - 1).where("times is not null")
+    # A pair needs have_a + want_b >= 0 and have_b + want_a >= 0 at their first shared edit, and sizes that differ by what may be edited.
+    e, n = F.col("e"), F.col("n")
+    ranked = stash(ranked.select("center", "edit", "set_id", "component", "apart", (e - 2 * F.col("rank") + k * n).alias("have"), (k * n - e).alias("want"), (k * n + e).alias("most"), (F.col("rank") <= e - F.greatest(F.lit(1), F.ceil((1 - k) / 2 * e - 1e-9))).alias("prefix")), "edits")
+    bounds = ("have", "want", "most")
+    named = lambda df, x: df.select("center", "edit", *[F.col(c).alias(f"{c}_{x}") for c in df.columns if c not in ("center", "edit", "apart", "prefix")])
+    reach = lambda df: df.groupBy("center", "edit", "component").agg(*[F.max(c).alias(c) for c in bounds])
+    sums = (("have_a", "want_b"), ("have_b", "want_a"), ("most_a", "want_b"), ("most_b", "want_a"))
+    fits = reduce(Column.__and__, [F.col(x) + F.col(y) >= -1e-6 for x, y in sums])
+    left, right = ranked.where("apart"), ranked.where("prefix")
+    meet = named(reach(left), "a").join(named(reach(right), "b"), ["center", "edit"]).where((F.col("component_a") != F.col("component_b")) & fits).select("center", "edit", "component_a", "component_b")
+    pairs = meet.join(named(left, "a"), ["center", "edit", "component_a"]).join(named(right, "b"), ["center", "edit", "component_b"]).where(fits)
     return pairs.select(F.least("set_id_a", "set_id_b").alias("a"), F.greatest("set_id_a", "set_id_b").alias("b")).distinct()
 
 
@@ -219,34 +228,24 @@ def all_pairs(members: DataFrame, *group: str) -> DataFrame:
     return left.join(right, [*group]).where("a < b").select("a", "b").distinct()
 
 
-def hot_pairs(members: DataFrame, sets: DataFrame, percent: int, few: int, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """Links to centers, and further candidates, of groups of more than ``few`` members. members: center, set_id, score; the center is no member of its own."""
+def hot_pairs(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links to centers, as (a, b) with b the least of a's component, and further candidates. members: center, set_id, score; the center is no member of its own."""
     k = (100 - percent) / (100 + percent)
+    found = stash(edits(members, sets), "edits")
     linked = F.size("edits") <= k * (F.col("n") + F.col("n_center")) + 1e-9
-    # |E(x)| <= |x ^ y| + |E(y)|, and |y| is at most |x| * 100 / percent, for y in the star.
-    near = F.size("edits") <= k * (F.col("n") * (1 + 200 / percent) + F.col("n_center")) + 1e-9
-    stars, candidates = [], []
-    for turn in range(rounds):
-        found = stash(edits(members, sets), "edits")
-        stars.append(found.where(linked).select(F.col("center").alias("a"), F.col("set_id").alias("b")))
-        outside = found.where(~linked)
-        if outside.isEmpty():
-            break
-        candidates.append(edit_pairs(found, ~linked & near, linked, percent))
-        size = outside.groupBy("center").agg(F.count("*").alias("size"), F.max_by("set_id", F.struct("score", "set_id")).alias("next"))
-        sized = stash(outside.select("center", "set_id", "score").join(size, "center"), "outside")
-        candidates.append(all_pairs(sized.where(F.col("size") <= few), "center"))
-        rest = sized.where(F.col("size") > few)
-        if rest.isEmpty():
-            break
-        if turn == rounds - 1:
-            left = found.join(rest.select("center", "set_id"), ["center", "set_id"], "left_semi")
-            candidates.append(edit_pairs(left, F.lit(True), F.lit(True), percent))
-        members = rest.where("set_id <> next").select(F.col("next").alias("center"), "set_id", "score").distinct()
-    return reduce(DataFrame.unionByName, stars), reduce(DataFrame.unionByName, candidates) if candidates else stars[0].limit(0)
-
-
-def candidate_pairs(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, few: int = 8, rounds: int = 4, salts: int = 16) -> tuple[DataFrame, DataFrame, DataFrame]:
+    roots = stash(connect(found.where(linked).select(F.col("center").alias("a"), F.col("set_id").alias("b"))), "roots")
+    root = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+    placed = found.select("center", "set_id").join(root("set_id"), "set_id", "left").join(root("center"), "center", "left").withColumn("component", F.coalesce("set_id_root", "set_id"))
+    placed = stash(placed.select("center", "set_id", "component", (F.coalesce("center_root", "center") != F.col("component")).alias("apart")), "placed")
+    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    if placed.where("apart").isEmpty():
+        return stars, stars.limit(0)
+    # Only members of a center that has others apart from it are needed.
+    wanted = placed.join(placed.where("apart").select("center").distinct(), "center", "left_semi")
+    return stars, edit_pairs(found.join(wanted, ["center", "set_id"]), percent)
+
+
+def candidate_pairs(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, few: int = 8, salts: int = 16) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(full sets, links to centers, candidates) of classes (set_id, sketch) that share a band. ``sets_of`` gives the full sets of set_ids."""
     # A band's group may be hot: its members are spread over ``salts`` parts wherever they meet what is known of the group.
     salt = F.pmod(F.hash("set_id"), F.lit(salts)).alias("salt")
@@ -263,7 +262,7 @@ def candidate_pairs(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame
         return sets, pairs.limit(0), pairs
     centers = large.groupBy("band", "key").agg(F.max(F.struct("score", "set_id")).alias("top")).select("band", "key", F.col("top.set_id").alias("center"))
     grouped = large.join(spread(centers), ["band", "key", "salt"]).where("set_id <> center").select("center", "set_id", "score").distinct()
-    stars, more = hot_pairs(grouped, sets, percent, few, rounds)
+    stars, more = hot_pairs(grouped, sets, percent)
     return sets, stars, pairs.unionByName(more).distinct()
 
 

@@ -106,30 +106,43 @@ def test_near_duplicates_of_a_hot_group(spark):
     assert got == brute_components(texts)
 
 
-def two_clusters(n):
-    """Near copies of two texts that share a passage, n and 2n of them."""
+def clusters(n, many):
+    """n near copies of ``many`` texts that share a passage; some clusters are twice as large."""
     rng, passage = np.random.default_rng(3), [f"p{k}" for k in range(150)]
     texts = {}
-    for d in range(3 * n):
-        words = passage + [f"{'ab'[d % 3 > 0]}{k}" for k in range(150)]
+    for d in range(n):
+        words = passage + [f"c{d % (many + many // 2) % many}w{k}" for k in range(150)]
         words[int(rng.integers(0, 300))] = f"e{d}"
         texts[d] = " ".join(words)
     return texts
 
 
-def test_pairs_grow_with_the_copies_in_two_clusters(spark):
-    compared = []
-    for n in (40, 80):
-        texts = two_clusters(n)
+@pytest.mark.parametrize("many", [2, 12])
+def test_pairs_grow_with_the_copies_in_clusters(spark, many):
+    for n in (240, 480):
+        texts = clusters(n, many)
         df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
         rows = neardup.sketches(df).cache()
         of_set = rows.select("set_id", "key")
         _, stars, pairs = neardup.candidate_pairs(rows.select("set_id", "sketch"), lambda wanted: neardup.full_sets(df, wanted.join(of_set, "set_id")), 85)  # noqa: B023
-        compared.append(stars.count() + pairs.count())
-        if n == 40:
+        assert stars.count() + pairs.count() <= 6 * n
+        if n == 240:
             got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.components(df).collect()}
             assert got == brute_components(texts)
-    assert compared[0] <= 6 * 120 and compared[1] <= 6 * 240  # all pairs of the larger cluster alone: 12,720
+
+
+def test_links_between_stars(spark):
+    """Chains of edits around one text: many members are linked with each other but not with the center, others with nothing."""
+    rng, base = np.random.default_rng(8), [f"t{k}" for k in range(120)]
+    texts = {}
+    for d in range(90):
+        words = [*base]
+        for at in rng.integers(0, 120, int(rng.integers(0, 9))):
+            words[at] = f"e{rng.integers(0, 2)}{at // 30}"
+        texts[d] = " ".join(words)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.components(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()}
+    want = brute_components(texts)
+    assert got == want and len({c for _, c in want.values()}) > 5
 
 
 def test_near_duplicates_with_null_and_repeated_ids(spark):
