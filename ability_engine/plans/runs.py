@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ability_engine.operators import runs
+from ability_engine.operators import backfill, runs
 from ability_engine.plans.registry import query
 from ability_engine.sources import adapters as a
 
@@ -54,3 +54,32 @@ def leaderboard_run(spark, sf_dir):
     labs = spark.createDataFrame([("openai", ["OpenAI"])], "lab string, names array<string>")
     published = part.where("p_partkey % 2 = 0").selectExpr("p_partkey as release_id", "'elo' as benchmark", "900.0D as value")
     return runs.update_leaderboard(pages, releases, labs, published, "elo")
+
+
+# By the part's key modulo 4: a home page that links to a post, a post, a page that can't be read, and another post of the model two before it. Of the posts
+# behind home pages, half lack a date; the news has another post of them, which a third has the release of. Some posts' models are published already.
+_B = "SELECT p_partkey AS p, 'lab' || p_partkey % 25 AS lab, 'Nova ' || p_partkey AS name, 'https://p' || p_partkey || '.example' AS home FROM part"
+_BACKFILL = f"""WITH b AS ({_B}), late AS (SELECT * FROM b WHERE p % 8 = 4)
+SELECT lab, name, home || '/' AS url, 0 AS depth, 'expanded' AS status FROM b WHERE p % 4 = 0
+UNION ALL SELECT lab, name, home || '/news/nova-' || p, 1, CASE WHEN p % 8 = 0 THEN 'extracted' ELSE 'retry' END FROM b WHERE p % 4 = 0
+UNION ALL SELECT lab, name, home || '/blog/late-' || p, 2, CASE WHEN p % 3 = 0 THEN 'extracted' ELSE 'nothing' END FROM late
+UNION ALL SELECT lab, name, home || '/news/nova-' || p, 0, CASE WHEN p % 16 = 1 THEN 'skipped' ELSE 'extracted' END FROM b WHERE p % 4 = 1
+UNION ALL SELECT lab, name, home || '/gone', 0, 'unreadable' FROM b WHERE p % 4 = 2
+UNION ALL SELECT 'lab' || (p - 2) % 25, 'Nova ' || (p - 2), home || '/news/again', 0, 'skipped' FROM b WHERE p % 4 = 3"""
+
+
+@query("backfill_queue", _BACKFILL)
+def backfill_queue(spark, sf_dir):
+    b = a.table(spark, sf_dir, "part").selectExpr("p_partkey as p", "concat('lab', p_partkey % 25) as lab", "concat('Nova ', p_partkey) as name", "concat('https://p', p_partkey, '.example') as home")
+    place = "case p % 4 when 0 then concat(home, '/') when 1 then concat(home, '/news/nova-', p) when 2 then concat(home, '/gone') else concat(home, '/news/again') end"
+    candidates = b.selectExpr("if(p % 4 = 3, concat('lab', (p - 2) % 25), lab) as lab", "p as pos", "if(p % 4 = 3, concat('Nova ', p - 2), name) as name", f"{place} as url", "'2025-01-01' as date", "true as official")
+    homes = b.where("p % 4 = 0")
+    links = homes.selectExpr("concat(home, '/') as url", "1 as n", "concat(home, '/news/nova-', p) as link")
+    posts = b.where("p % 4 < 2").selectExpr("concat(home, '/news/nova-', p) as url", "0 as answer_pos", "name as release", "if(p % 8 = 4, 'no usable date', null) as reason")
+    late = b.where("p % 8 = 4")
+    answers = posts.unionByName(late.selectExpr("concat(home, '/blog/late-', p) as url", "0 as answer_pos", "name as release", "if(p % 3 = 0, null, 'no usable date') as reason"))
+    pages = candidates.where("pos % 4 <> 2").select("url").unionByName(answers.select("url"))
+    news = late.selectExpr("lab", "p as pos", "concat('Introducing ', name) as title", "concat(home, '/blog/late-', p) as link", "'2025-01-02' as date")
+    hosts = b.selectExpr("lab", "concat('p', p, '.example') as host")
+    visits, _ = backfill.walk(candidates, pages, links, answers, news, hosts, b.where("p % 16 = 1").select("lab", "name"), 1_000_000_000)
+    return visits.select("lab", "name", "url", "depth", "status")
