@@ -34,13 +34,16 @@ def recent_changes(changes: DataFrame, most: int = 100) -> DataFrame:
     return changes.orderBy(F.desc("at"), "release_id", "kind").limit(most)
 
 
-def bundle(releases: DataFrame, labs: DataFrame, benches: DataFrame, changes: DataFrame, at: str, most: int = 100) -> DataFrame:
-    """The published document, one row of JSON: a star of releases is small by contract (hundreds of rows)."""
+def bundle(releases: DataFrame, labs: DataFrame, benches: DataFrame, changes: DataFrame, at: str, most: int = 100, backtest: DataFrame | None = None) -> DataFrame:
+    """The published document, one row of JSON: a star of releases is small by contract (hundreds of rows). backtest: one row, or none."""
     packed = lambda df, name, order: df.agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct("*").alias("row")))), lambda r: r["row"]).alias(name))
     parts = packed(releases.join(labs.select("lab", "lab_pos"), "lab", "left"), "releases", [F.col("date"), F.col("lab_pos"), F.col("release_id")])
     newest = recent_changes(changes, most)
     parts = parts.crossJoin(packed(labs, "labs", [F.col("lab_pos")])).crossJoin(packed(benches, "benchmarks", [F.col("basket_pos")])).crossJoin(newest.agg(F.sort_array(F.collect_list(F.struct("at", "release_id", "kind")), asc=False).alias("recent_changes")))  # one row each
-    return parts.select(F.to_json(F.struct(F.lit(at).alias("generated_at"), F.lit(1).alias("version"), "labs", "benchmarks", "releases", "recent_changes")).alias("value"))
+    if backtest is not None:
+        parts = parts.crossJoin(backtest.select(F.struct("*").alias("backtest")))  # one row each
+    last = [] if backtest is None else ["backtest"]
+    return parts.select(F.to_json(F.struct(F.lit(at).alias("generated_at"), F.lit(1).alias("version"), "labs", "benchmarks", "releases", "recent_changes", *last)).alias("value"))
 
 
 def source_count(releases: DataFrame) -> DataFrame:

@@ -307,3 +307,25 @@ def merge_sources(spark, sf_dir):
     found = part.selectExpr("lab", "k as pos", "0 as score_pos", "if(k % 3 = 0, 'elo', 'swe') as benchmark", "if(k % 8 = 2, 'tools', null) as config", "cast(p_size as double) as value")
     _, _, after, changes = merge.merge_run(part.select("id", *fields), scores, sources, part.select(F.col("k").alias("pos"), *fields, F.expr("concat('u', k % 5)").alias("url")), found)
     return after.selectExpr("release_id", "'source' as what", "pos", "url as text").unionByName(changes.selectExpr("id as release_id", "kind as what", "pos", "summary as text"))
+
+
+_LABS = "SELECT s_suppkey % 89 AS id, s_suppkey % 11 AS k FROM supplier"
+
+
+@query("validate_labs", f"WITH l AS ({_LABS}) SELECT 'name missing' AS rule, count(*) AS n FROM l WHERE k = 1 HAVING count(*) > 0 UNION ALL SELECT 'color is no #rrggbb', count(*) FROM l WHERE k = 2 HAVING count(*) > 0 UNION ALL SELECT 'website is no address', count(*) FROM l WHERE k IN (2, 3) HAVING count(*) > 0 UNION ALL SELECT 'no sources', count(*) FROM l WHERE k = 4 HAVING count(*) > 0 UNION ALL SELECT 'duplicate lab id', count(*) FROM (SELECT 1 FROM l GROUP BY id HAVING count(*) > 1) HAVING count(*) > 0")
+def validate_labs(spark, sf_dir):
+    s = _t(spark, sf_dir, "supplier").selectExpr("s_suppkey % 89 as key", "s_suppkey % 11 as k")
+    labs = s.selectExpr("concat('lab-', key) as id", "if(k = 1, null, concat('Lab ', key)) as name", "if(k = 2, '#12345', '#a0B1c2') as color", "case k when 2 then 'ftp://lab.example' when 3 then 'https:///' else 'https://lab.example/x' end as website", "if(k = 4, 0, 2) as n_sources")
+    return validate.check_labs(labs).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+_CHANGES = "SELECT event_id, user_id, event_id % 13 AS k FROM events"
+
+
+@query("validate_changes", f"WITH c AS ({_CHANGES}) SELECT 'at is no UTC time' AS rule, 'error' AS severity, count(*) AS n FROM c WHERE k IN (1, 2) HAVING count(*) > 0 UNION ALL SELECT 'unknown actor', 'error', count(*) FROM c WHERE k = 3 HAVING count(*) > 0 UNION ALL SELECT 'unknown kind', 'error', count(*) FROM c WHERE k IN (3, 4) HAVING count(*) > 0 UNION ALL SELECT 'unknown lab', 'error', count(*) FROM c WHERE user_id NOT IN (SELECT c_custkey FROM customer) HAVING count(*) > 0 UNION ALL SELECT 'release not found', 'warning', count(*) FROM c WHERE event_id NOT IN (SELECT o_orderkey FROM orders) HAVING count(*) > 0")
+def validate_changes(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").selectExpr("event_id", "user_id", "event_id % 13 as k")
+    at = "case k when 1 then null when 2 then '2025-01-02 03:04:05' else '2025-01-02T03:04:05Z' end as at"
+    changes = e.selectExpr("event_id as line", at, "if(k = 3, 'someone', 'worker') as actor", "user_id as lab", "event_id as release_id", "if(k in (3, 4), 'renamed', 'score_added') as kind")
+    found = validate.check_changes(changes, _t(spark, sf_dir, "customer").selectExpr("c_custkey as id"), _t(spark, sf_dir, "orders").selectExpr("o_orderkey as id"))
+    return found.groupBy("rule", "severity").agg(F.count("*").alias("n"))
