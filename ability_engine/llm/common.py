@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -20,6 +21,8 @@ SLICE = 1024
 
 _LOCAL: dict[str, str] = {}
 _WRITTEN: list[str] = []
+#: The lists of the scratch() blocks that a thread is in; without one, paths go to _WRITTEN.
+_SCOPES = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, what: str) -> str:
     path = f"{shared_dir(spark).rstrip('/')}/ability_engine/{what}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    (getattr(_SCOPES, "open", None) or [_WRITTEN])[-1].append(path)
     return path
 
 
@@ -61,13 +64,16 @@ def drop_stashes(spark: SparkSession) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Delete, at its end, what has been stashed within it. Results that are still wanted are written to a path made before."""
-    before = len(_WRITTEN)
+    """Delete, at its end, what this thread has stashed within it. Results that are still wanted are written to a path made before."""
+    own: list[str] = []
+    scopes = _SCOPES.__dict__.setdefault("open", [])
+    scopes.append(own)
     try:
         yield
     finally:
-        while len(_WRITTEN) > before:
-            _delete(spark, _WRITTEN.pop())
+        scopes.pop()
+        while own:
+            _delete(spark, own.pop())
 
 
 def remainder(col: Column | str, mod: int) -> Column:

@@ -203,3 +203,24 @@ def test_chat_edges(spark):
     assert chat.unescape("".join(text[s["start"] : s["end"]] for s in flat.loss)) == "<|document|>"
     with pytest.raises(ValueError):
         flat.visit({"type": "video"})
+
+
+def test_scratch_deletes_what_its_own_thread_wrote(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from ability_engine.llm import common
+
+    def other():
+        with common.scratch(spark):
+            return common.stash(spark.range(4), "other")
+
+    with ThreadPoolExecutor(1) as pool, common.scratch(spark):
+        mine = common.stash(spark.range(3), "mine")
+        theirs = pool.submit(other).result()
+        assert mine.count() == 3
+        files = mine.inputFiles() + theirs.inputFiles()
+        with common.scratch(spark):
+            inner = common.stash(spark.range(2), "inner").inputFiles()
+            assert all(common.exists(spark, f) for f in inner)
+        assert not any(common.exists(spark, f) for f in inner) and mine.count() == 3
+    assert files and not any(common.exists(spark, f) for f in files)
