@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ability_engine.operators.ingest import name_key
-from ability_engine.operators.screening import host, is_overview, launch_posts, rank_links, url_key
+from ability_engine.operators.screening import is_overview, launch_posts, rank_links, url_key, with_official
 
 #: Fixed value: the reason that earns another try.
 NO_DATE = "no usable date"
@@ -52,7 +52,6 @@ def walk(candidates: DataFrame, pages: DataFrame, links: DataFrame, answers: Dat
     A visit has its depth, its place in the lab's queue and a status: skipped, unreadable, expanded, no link, extracted, retry, nothing or stopped. A
     release has lab, release, url and the candidate's name: the first one of its key that lands.
     """
-    own = hosts.groupBy("lab").agg(F.collect_set(F.lower("host")).alias("_hosts"))
     readable = pages.select("url").distinct().withColumn("_read", F.lit(True))
     order = Window.partitionBy("lab").orderBy("parent", "place")  # a lab's queue, light rows
     first = candidates.select("lab", F.col("pos").alias("parent"), F.lit(0).alias("place"), "name", "url", "date", "official", F.lit(None).cast("string").alias("from_overview"), F.lit(False).alias("retried"))
@@ -87,11 +86,9 @@ def walk(candidates: DataFrame, pages: DataFrame, links: DataFrame, answers: Dat
 
         children = mined.unionByName(tried).withColumn("url_key", url_key(F.col("url"))).join(seen, ["lab", "url_key"], "left_anti")
         once = F.row_number().over(Window.partitionBy("lab", "url_key").orderBy("parent", "place"))
-        fresh = children.withColumn("_n", once).where("_n = 1").join(own, "lab", "left")
-        at = host(F.col("url"))
-        official = F.coalesce(F.exists("_hosts", lambda h: (at == h) | at.endswith(F.concat(F.lit("."), h))), F.lit(False))
+        fresh = with_official(children.withColumn("_n", once).where("_n = 1"), hosts)
         last = front.groupBy("lab").agg(F.max("pos").alias("_last"))
-        numbered = fresh.join(last, "lab").withColumn("pos", F.row_number().over(order) + F.col("_last")).withColumn("official", official)
+        numbered = fresh.join(last, "lab").withColumn("pos", F.row_number().over(order) + F.col("_last"))
         following = _settled(numbered.select(*ENTRY, "parent", "url_key"))
 
         parents = following.select("lab", F.col("parent").alias("pos")).distinct().withColumn("_grew", F.lit(True))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,3 +40,27 @@ def one_row_each(matched: DataFrame) -> DataFrame:
     """One row for each known one: the best ranked plain row, or else the best ranked. matched: known_id, row_id, rank, plain."""
     best = F.struct((~F.col("plain")).alias("spelled"), "rank", "row_id")
     return matched.groupBy("known_id").agg(F.min(best).alias("b")).select("known_id", "b.row_id", "b.rank", (~F.col("b.spelled")).alias("plain"))
+
+
+#: Fixed value: the first signs of a key that are looked up before the whole of it.
+HEAD = 4
+
+
+def held_keys(texts: DataFrame, keys: DataFrame, by: Sequence[str], text: str, key: str, fits: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Rows of ``texts`` with each ``key`` of ``keys`` that has the same ``by`` and is a part of their ``text``; with its text after the key, ``fits`` may refuse a place.
+
+    Places of a text are looked up by their first signs for the lengths of keys that begin so, and only parts of these lengths meet keys, by an equi-join.
+    So rows grow with the texts' lengths and with what is found, not with pairs. A key found at several places gives one row. Nulls and empty keys meet nothing.
+    """
+    whole = keys.select(*by, key).where(F.col(key) != "").distinct()
+    heads = whole.groupBy(*by, F.substring(key, 1, HEAD).alias("_head")).agg(F.collect_set(F.length(key)).alias("_lengths"))
+    widths = heads.agg(F.array_sort(F.collect_set(F.length("_head"))).alias("_widths"))  # at most HEAD numbers
+    size, at = F.length(text), F.col("_at")
+    starts = F.transform(F.sequence(F.lit(1), size), lambda k: F.transform(F.col("_widths"), lambda n: F.struct(k.alias("at"), F.substr(text, k, n).alias("head"))))
+    placed = texts.where(size > 0).crossJoin(F.broadcast(widths)).withColumn("_s", F.explode(F.flatten(starts)))  # one row
+    placed = placed.select(*texts.columns, F.col("_s.at").alias("_at"), F.col("_s.head").alias("_head"))
+    long = placed.join(heads, [*by, "_head"]).withColumn("_n", F.explode("_lengths")).where((F.col("_n") >= F.length("_head")) & (at + F.col("_n") <= size + 1))
+    if fits is not None:
+        long = long.where(fits(F.substr(text, at + F.col("_n"))))
+    parts = long.select(*texts.columns, F.substr(text, at, F.col("_n")).alias(key))
+    return parts.join(whole, [*by, key], "left_semi").select(*texts.columns, key).distinct()

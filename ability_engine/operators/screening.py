@@ -14,6 +14,7 @@ from pyspark.sql.types import BooleanType
 
 from ability_engine.functions.text import absolute_url, folded
 from ability_engine.operators.ingest import host, host_matches, name_key
+from ability_engine.operators.matching import held_keys
 
 #: Words of announcements, whatever the lab.
 GENERIC_PATTERNS = (
@@ -137,27 +138,41 @@ def title_names(title: Column, key: Column) -> Column:
 def launch_posts(names: DataFrame, items: DataFrame, seen: DataFrame) -> DataFrame:
     """The first item (lab, pos, title, link, date) of its lab that names each model (name_id, lab, name) and isn't in ``seen`` (name_id, url_key).
 
-    Names meet titles on the first three signs of their key, so no lab's names are compared with all its items.
+    Titles meet the keys that they hold, and each key's addresses are put in order of pos once. A name needs only as many of them as it has seen, and one
+    more, so neither names nor items of one key multiply.
     """
-    width = 3
-    keyed = names.withColumn("_key", name_key(F.col("name"))).where("_key <> ''").withColumn("_gram", F.substring("_key", 1, width))
-    flat = name_key(F.col("title"))
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(flat), F.lit(1))), lambda k: F.substr(flat, k, F.lit(n)))
-    titled = items.where("link is not null").select("lab", "pos", "title", "link", "date", F.explode(F.array_distinct(F.concat(*map(grams, range(1, width + 1))))).alias("_gram"))
-    both = keyed.join(titled, ["lab", "_gram"]).where(title_names(F.col("title"), F.col("_key"))).withColumn("url_key", url_key(F.col("link")))
-    fresh = both.join(seen.select("name_id", "url_key").distinct(), ["name_id", "url_key"], "left_anti")
-    return fresh.groupBy("name_id").agg(F.min_by(F.struct("link", "title", "date"), "pos").alias("post")).select("name_id", "post.*")
+    keyed = names.withColumn("_key", name_key(F.col("name"))).where("_key <> ''")
+    titled = items.where("link is not null").select("lab", "pos", "title", "link", "date", name_key(F.col("title")).alias("_text"))
+    named = held_keys(titled, keyed, ["lab"], "_text", "_key", lambda rest: ~rest.rlike("^[0-9.]"))
+    one = named.groupBy("lab", "_key", url_key(F.col("link")).alias("url_key")).agg(F.min("pos").alias("pos"), F.min_by(F.struct("link", "title", "date"), "pos").alias("post"))
+    ranked = one.withColumn("_rank", F.row_number().over(Window.partitionBy("lab", "_key").orderBy("pos", "url_key")))
+    known = seen.select("name_id", "url_key").distinct()
+    turns = F.explode(F.sequence(F.lit(1), (F.coalesce("_seen", F.lit(0)) + 1).cast("int"))).alias("_rank")
+    asked = keyed.join(known.groupBy("name_id").agg(F.count("*").alias("_seen")), "name_id", "left").select("name_id", "lab", "_key", turns)
+    fresh = asked.join(ranked, ["lab", "_key", "_rank"]).join(known, ["name_id", "url_key"], "left_anti")
+    return fresh.groupBy("name_id").agg(F.min_by("post", "pos").alias("post")).select("name_id", "post.*")
+
+
+def with_official(rows: DataFrame, hosts: DataFrame) -> DataFrame:
+    """``rows`` (lab, url) with ``official``: the host of the address is one of its lab's (lab, host), or a subdomain of one.
+
+    A host's endings at its dots meet the hosts by an equi-join, once for each host that occurs, so a lab may have any number of them.
+    """
+    at = host(F.col("url"))
+    ends = F.transform(F.array_append(F.filter(F.sequence(F.lit(1), F.length("_host")), lambda k: F.substr("_host", k, F.lit(1)) == "."), F.lit(0)), lambda k: F.substr("_host", k + 1))
+    own = hosts.select("lab", F.lower("host").alias("_end")).where("_end is not null").distinct()
+    used = rows.select("lab", at.alias("_host")).where("_host is not null").distinct().select("lab", "_host", F.explode(ends).alias("_end"))
+    fits = used.join(own, ["lab", "_end"], "left_semi").select("lab", "_host").distinct().withColumn("_official", F.lit(True))
+    kept = [c for c in rows.columns if c != "official"]
+    return rows.withColumn("_host", at).join(fits, ["lab", "_host"], "left").select(*kept, F.coalesce("_official", F.lit(False)).alias("official"))
 
 
 def screen(found: DataFrame, hosts: DataFrame) -> DataFrame:
     """Found models (lab, pos, name, url, confidence) on their lab's hosts (lab, host) or in the press: one for each name's key, of the highest confidence, the first where equal."""
-    known = hosts.groupBy("lab").agg(F.collect_set(F.lower("host")).alias("_hosts"))
-    at = host(F.col("url"))
-    official = F.coalesce(F.exists("_hosts", lambda h: (at == h) | at.endswith(F.concat(F.lit("."), h))), F.lit(False))
-    rows = found.join(known, "lab", "left").withColumn("official", official).where(F.col("official") | host_matches(F.col("url"), PRESS))
+    rows = with_official(found, hosts).where(F.col("official") | host_matches(F.col("url"), PRESS))
     best = Window.partitionBy("lab", "key").orderBy(F.desc("confidence"), "pos")
     keyed = rows.withColumn("key", name_key(F.col("name"))).where("key <> ''")
-    return keyed.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n", "_hosts")
+    return keyed.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
 
 
 def within_window(date: Column, today: Column, days: int = WINDOW_DAYS) -> Column:
