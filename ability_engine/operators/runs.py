@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,13 +11,14 @@ from ability_engine.functions.text import quote_matches
 from ability_engine.operators import leaderboard, merge, screening, state
 
 
-def verify(refs: DataFrame, pages: DataFrame, only_unverified: bool = False, compose: bool = True) -> DataFrame:
+def verify(refs: DataFrame, pages: DataFrame, only_unverified: bool = False, compose: bool = True, match: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Sources (release_id, place, url, quote, verified) with ``status``: verified, quote not found on page, page not read, no quote; skipped if it was verified before and
-    only others are wanted. pages: url, text. A page of many sources is joined on its address; its text is not copied where there is no quote."""
+    only others are wanted. pages: url, text. ``match`` (page, quote) is ``quote_matches``, with all its tolerances, unless given. A page of many sources is joined on its address; its text is not copied where there is no quote."""
     missing = F.coalesce(F.trim("quote"), F.lit("")) == ""
     skip = F.lit(only_unverified) & F.coalesce("verified", F.lit(False))
     asked = refs.where(~missing & ~skip).join(pages.select("url", F.col("text").alias("_text")), "url", "left")
-    status = F.when(F.col("_text").isNull(), "page not read").when(quote_matches(F.col("_text"), F.col("quote"), compose), "verified").otherwise("quote not found on page")
+    held = match(F.col("_text"), F.col("quote")) if match else quote_matches(F.col("_text"), F.col("quote"), compose)
+    status = F.when(F.col("_text").isNull(), "page not read").when(held, "verified").otherwise("quote not found on page")
     rest = refs.where(missing | skip).withColumn("status", F.when(missing, "no quote").otherwise("skipped"))
     return asked.withColumn("status", status).select(*refs.columns, "status").unionByName(rest.select(*refs.columns, "status"))
 

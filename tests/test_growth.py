@@ -4,9 +4,11 @@ import datetime
 import random
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
 from ability_engine.operators import evaluate, screening
+from ability_engine.plans import registry, runs  # noqa: F401
 
 
 def joins(df):
@@ -77,3 +79,16 @@ def test_candidates_hold_each_other(spark):
     df = evaluate.candidates(gold, found)
     assert sorted(tuple(r) for r in df.collect()) == want and len(want) > 300
     assert not any("Contains(" in line or "contains(" in line.lower() for line in joins(df))
+
+
+def test_verify_run_follows_its_sql(spark, tmp_path):
+    """A quote that only a tolerance finds, a gap in the ids, and white space that isn't ASCII."""
+    words = "athawh, thonre was is anly hend and, oftionnten. Enti a"
+    rows = [(1, "x"), (9, "a b " + words), (10, "c d athawh thonre\n was is anly hend and oftionnten Enti a"), (11, f"{words.upper()} y"), (13, "p q " + words), (15, "u\u00a0v w x y"), (16, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df = registry.QUERIES["verify_run"](spark, str(tmp_path))
+    found = con.execute(registry.ORACLES["verify_run"])
+    at = [[c[0] for c in found.description].index(n) for n in df.columns]
+    assert sorted(tuple(r) for r in df.collect()) == sorted(tuple(r[k] for k in at) for r in found.fetchall())
