@@ -123,6 +123,15 @@ def counters(releases: DataFrame, scores: DataFrame, sources: DataFrame, index:
     return two.crossJoin(one).crossJoin(three)  # one row each
 
 
+def _with_held(rows: DataFrame, pages: DataFrame, compose: bool) -> DataFrame:
+    """``rows`` (page_id, quote) with ``_held``: the page has the quote. Each quote of a page is looked for once, by tasks of their own, however many rows repeat it."""
+    own = rows.withColumn("_quote", F.trim(F.coalesce("quote", F.lit(""))))
+    asked = own.where((F.col("_quote") != "") & (F.length("_quote") <= MAX_QUOTE)).select("page_id", "_quote").distinct()
+    held = asked.join(pages.select("page_id", F.col("text").alias("_text")), "page_id").where(quote_matches(F.col("_text"), F.col("_quote"), compose))
+    found = held.select("page_id", "_quote").distinct().withColumn("_held", F.lit(True))
+    return own.join(found.hint("merge"), ["page_id", "_quote"], "left").drop("_quote").withColumn("_held", F.coalesce("_held", F.lit(False)))
+
+
 def extraction(releases: DataFrame, scores: DataFrame, pages: DataFrame, benches: DataFrame, today: Column, compose: bool = True) -> tuple[DataFrame, DataFrame]:
     """(releases, scores) of responses with the reason why each is dropped, null for those kept.
 
@@ -130,11 +139,11 @@ def extraction(releases: DataFrame, scores: DataFrame, pages: DataFrame, benches
     page_id, text; benches: id, min, max, community. A name is a duplicate only after one that was kept; so is a score.
     """
     quote = F.trim(F.coalesce("quote", F.lit("")))
-    seen = releases.join(pages.select("page_id", F.col("text").alias("_text")), "page_id", "left")
+    seen = _with_held(releases, pages, compose)
     own = (
         F.when(F.trim(F.coalesce("name", F.lit(""))) == "", "empty name")
         .when(F.length(quote) > MAX_QUOTE, "announcement quote too long")
-        .when(~F.coalesce(quote_matches(F.col("_text"), quote, compose), F.lit(False)), "announcement quote not found on page")
+        .when(~F.col("_held"), "announcement quote not found on page")
         .when(F.col("date").isNull(), "no usable date")
         .when((F.col("status") == "released") & (F.col("date") > today.cast("string")), "released date is in the future")
     )
@@ -144,16 +153,18 @@ def extraction(releases: DataFrame, scores: DataFrame, pages: DataFrame, benches
     reason = F.when(F.col("_own") == "empty name", F.col("_own")).when(F.col("pos") > first, "duplicate in response").otherwise(F.col("_own"))
     out = judged.withColumn("reason", reason).select(*releases.columns, "reason")
 
+    # By size of file either side may look small enough to be broadcast, whatever its rows: so this join is a merge. The basket is small by contract.
     kept = out.where("reason is null").select("page_id", "pos")
     basket = benches.select(F.col("id").alias("benchmark"), F.col("min").alias("_min"), F.col("max").alias("_max"), F.coalesce("community", F.lit(False)).alias("_community"))
-    rows = scores.withColumn("benchmark", F.trim("benchmark")).join(kept, ["page_id", "pos"]).join(basket, "benchmark", "left").join(pages.select("page_id", F.col("text").alias("_text")), "page_id", "left")
+    theirs = scores.withColumn("benchmark", F.trim("benchmark")).join(kept.hint("merge"), ["page_id", "pos"]).join(F.broadcast(basket), "benchmark", "left")
+    rows = _with_held(theirs, pages, compose)
     value = F.col("value")
     broken = (
         F.when(F.col("_min").isNull(), "benchmark not in basket")
         .when(F.col("_community"), "community benchmark: maintainer only")
         .when(~F.coalesce(value.between(F.col("_min"), F.col("_max")) & ~F.isnan(value), F.lit(False)), "value out of range")
         .when(F.length(quote) > MAX_QUOTE, "quote too long")
-        .when(~F.coalesce(quote_matches(F.col("_text"), quote, compose), F.lit(False)), "quote not found on page")
+        .when(~F.col("_held"), "quote not found on page")
         .when(~quote_contains_value(quote, value), "quote does not contain the value")
     )
     checked = rows.withColumn("_broken", broken)

@@ -8,7 +8,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from ability_engine.operators import evaluate, screening
-from ability_engine.plans import registry, runs  # noqa: F401
+from ability_engine.plans import data, registry, runs  # noqa: F401
 
 
 def joins(df):
@@ -92,3 +92,9 @@ def test_verify_run_follows_its_sql(spark, tmp_path):
     found = con.execute(registry.ORACLES["verify_run"])
     at = [[c[0] for c in found.description].index(n) for n in df.columns]
     assert sorted(tuple(r) for r in df.collect()) == sorted(tuple(r[k] for k in at) for r in found.fetchall())
+
+
+def test_responses_are_not_broadcast(spark, sf_dir):
+    """Files of a few MB hold millions of rows; sorted by columns, either side of this join was broadcast."""
+    df = registry.QUERIES["extraction_scores"](spark, sf_dir)
+    assert any("SortMergeJoin [page_id" in line for line in joins(df)) and not any("BroadcastHashJoin [page_id" in line and "pos#" in line for line in joins(df))
