@@ -6,7 +6,9 @@ one model in one batch; everything else is joins.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,29 +28,34 @@ def status_rank(status: Column) -> Column:
 def allocate_ids(new: DataFrame, used: DataFrame) -> DataFrame:
     """``new`` (lab, pos, name) with an id: that of lab and name, or the first free one of -2 to -19; null if there is none or it isn't valid. used: lab, id.
 
-    Ids are given in the order of pos, one lab at a time; only the ids that may collide (the same base, or a base with a number) come along.
+    Ids are given in the order of pos, one lab at a time; only the ids that may collide (the same base, or a base with a number) come along. Stems are read one after
+    another in sorted partitions, those taken before those new, so a stem costs its rows and no call of its own.
     """
     based = new.withColumn("_base", release_id(F.col("lab").cast("string"), F.col("name")))
     stem = lambda c: F.regexp_replace(c, r"(-\d{1,2})+$", "")
-    taken = used.select("lab", F.col("id").alias("_id"), stem(F.col("id")).alias("_stem"))
-    rows = based.withColumn("_stem", stem(F.col("_base")))
-    near = taken.join(rows.select("lab", "_stem").distinct(), ["lab", "_stem"], "left_semi").groupBy("lab", "_stem").agg(F.collect_set("_id").alias("_used"))
-    joined = rows.join(near, ["lab", "_stem"], "left").withColumn("_used", F.coalesce("_used", F.array().cast("array<string>")))
-
-    names = [*new.columns, "id"]
-
-    def give(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("pos", kind="stable")
-        gone, ids = set(part["_used"].iloc[0]), []
-        for base in part["_base"]:
-            free = next((x for x in (base, *(f"{base}-{n}" for n in range(2, LAST_SUFFIX + 1))) if x not in gone), None)
-            gone.add(free)
-            ids.append(free)
-        return part.assign(id=ids)[names]
-
-    schema = T.StructType([*new.schema.fields, T.StructField("id", T.StringType())])
-    given = joined.where(valid_release_id(F.col("_base"))).groupBy("lab", "_stem").applyInPandas(give, schema)
-    return given.unionByName(joined.where(~F.coalesce(valid_release_id(F.col("_base")), F.lit(False))).select(*new.columns, F.lit(None).cast("string").alias("id")))
+    rows = based.where(valid_release_id(F.col("_base"))).withColumn("_stem", stem(F.col("_base")))
+    taken = used.select(F.col("lab").cast(new.schema["lab"].dataType), F.col("id").alias("_id"), stem(F.col("id")).alias("_stem")).where("_id is not null")
+    near = taken.join(rows.select("lab", "_stem").distinct(), ["lab", "_stem"], "left_semi")
+    new_columns = new.columns
+    both = near.unionByName(rows, allowMissingColumns=True).select("lab", "_stem", "_id", "_base", *[c for c in new_columns if c != "lab"])
+    together = both.repartition("lab", "_stem").sortWithinPartitions("lab", "_stem", F.col("_id").isNull(), F.asc_nulls_last("pos"))
+
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, gone = None, set()
+        for batch in batches:
+            at, ids = [], []
+            for k, (lab, stem_, id_, base) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("lab", "_stem", "_id", "_base")], strict=True)):
+                if (lab, stem_) != last:
+                    last, gone = (lab, stem_), set()
+                if id_ is None:
+                    id_ = next((x for x in (base, *(f"{base}-{n}" for n in range(2, LAST_SUFFIX + 1))) if x not in gone), None)
+                    at.append(k)
+                    ids.append(id_)
+                gone.add(id_)
+            yield pa.RecordBatch.from_arrays([*batch.select(new_columns).take(pa.array(at, pa.int64())).columns, pa.array(ids, pa.string())], [*new_columns, "id"])
+
+    given = together.mapInArrow(give, T.StructType([*new.schema.fields, T.StructField("id", T.StringType())]))
+    return given.unionByName(based.where(~F.coalesce(valid_release_id(F.col("_base")), F.lit(False))).select(*new_columns, F.lit(None).cast("string").alias("id")))
 
 
 def merge_releases(published: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
