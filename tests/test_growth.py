@@ -5,9 +5,11 @@ import random
 import re
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
-from ability_engine.operators import evaluate, merge, screening
+from ability_engine.functions import scalar
+from ability_engine.operators import evaluate, forecast, merge, screening
 from ability_engine.plans import data, registry, runs  # noqa: F401
 
 
@@ -120,3 +122,46 @@ def test_ids_of_a_stem_cost_no_call_of_their_own(spark):
         want[pos] = ids[0] if ids else None
         gone.add((lab, want[pos]))
     assert {r.pos: r.id for r in given.collect()} == want and None in {want[k] for k in range(200)}
+
+
+LAWS = [(k, 4.0 + k % 7 / 3, (0.0, 0.3, 0.9, 2.0)[k % 4], float((k * 13) % 400 - 20)) for k in range(200)]
+
+
+@pytest.fixture(scope="module")
+def law_rows(spark):
+    return spark.createDataFrame(LAWS + [(200, None, 0.5, 3.0)], "lab int, mu double, sigma double, t0 double").withColumn("asof", F.lit("2020-01-01").cast("date"))
+
+
+def test_quantiles_are_no_generated_code(law_rows):
+    """As columns, five quantiles were more code than the JVM takes; the results are those of the columns."""
+    found = forecast.wait_quantiles(law_rows, forecast.QUANTILES, F.lit(1.5))
+    assert len(found._jdf.queryExecution().executedPlan().toString()) < 20_000 and "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.lab: r for r in found.collect()}
+    gone = law_rows.withColumn("g", scalar.lognormal_cdf("mu", "sigma", "t0"))
+    for n, q in (*forecast.QUANTILES.items(), ("mid", 0.5)):
+        gone = gone.withColumn(f"p_{n}", scalar.clamp(F.col("g") + q * (1 - F.col("g")), 1e-12, 1 - 1e-12)).withColumn(f"w_{n}", F.exp(F.col("mu") + F.when(F.col("sigma") > 0, F.col("sigma") * scalar.normal_quantile(f"p_{n}")).otherwise(0.0)))
+    for r in gone.where("mu is not null").collect():
+        plain = {n: r[f"w_{n}"] if 1 - r.g >= 1e-9 else r.t0 + 1 for n in (*forecast.QUANTILES, "mid")}
+        assert [got[r.lab][n] for n in forecast.QUANTILES] == pytest.approx([w if plain["mid"] <= 0 or w <= 0 else plain["mid"] * (w / plain["mid"]) ** 1.5 for n, w in plain.items() if n != "mid"], rel=1e-9)
+    assert [got[200][n] for n in forecast.QUANTILES] == [None] * 5
+
+
+@pytest.mark.parametrize("stretch", [1.0, 1.7])
+def test_density_has_no_window(law_rows, stretch):
+    """Samples meet their mode in the law's own task; the results are those of the columns."""
+    found = forecast.density(law_rows, 7, stretch)
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString() and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    ends = forecast.wait_quantiles(law_rows, {"lo": 0.02, "hi": 0.98, "_m": 0.5}, F.lit(stretch))
+    points = ends.join(found.select("lab", "i", "day", "p"), "lab")
+    for n, side in (("a", -0.5), ("b", 0.5)):
+        at = F.col("day") + side
+        points = points.withColumn(n, F.greatest(F.when((F.col("_m") > 0) & (at > 0), F.col("_m") * F.pow(at / F.col("_m"), F.lit(1 / stretch))).otherwise(at), "t0")).withColumn(f"c_{n}", scalar.lognormal_cdf("mu", "sigma", n))
+    by = {}
+    for r in points.where("lab < 200").collect():
+        assert r.day == pytest.approx(r.lo + (r.hi - r.lo) * r.i / 6)
+        by.setdefault(r.lab, []).append((r.i, r.c_b - r.c_a, r.hi - r.lo, r.p))
+    assert len(by) == 200
+    for rows in by.values():
+        top = max(r[1] for r in rows)
+        assert sorted(r[0] for r in rows) == list(range(7)) and [r[3] for r in rows] == pytest.approx([1.0 if r[2] < 1 or not top > 0 else r[1] / top for r in rows], abs=1e-6)
+    assert [r.p for r in found.where("lab = 200").collect()] == [None] * 7
