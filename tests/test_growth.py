@@ -165,3 +165,12 @@ def test_density_has_no_window(law_rows, stretch):
         top = max(r[1] for r in rows)
         assert sorted(r[0] for r in rows) == list(range(7)) and [r[3] for r in rows] == pytest.approx([1.0 if r[2] < 1 or not top > 0 else r[1] / top for r in rows], abs=1e-6)
     assert [r.p for r in found.where("lab = 200").collect()] == [None] * 7
+
+
+@pytest.mark.parametrize("name", ["level_at_dates", "crossings", "headline"])
+def test_the_fit_broadcasts_no_parts_or_releases(spark, sf_dir, name):
+    """Small files of keys hold millions of rows: what grows with the input is met by merges."""
+    spark.catalog.clearCache()
+    df = registry.QUERIES[name](spark, sf_dir)
+    assert any("SortMergeJoin [l_partkey" in line for line in joins(df)) and not any(f"BroadcastHashJoin [{key}" in line for line in joins(df) for key in ("l_partkey", "release_id", "point_id"))
+    spark.catalog.clearCache()
