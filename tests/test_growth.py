@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from ability_engine.functions import scalar
-from ability_engine.operators import evaluate, forecast, merge, screening
-from ability_engine.plans import data, registry, runs  # noqa: F401
+from ability_engine.operators import evaluate, fit, forecast, merge, screening
+from ability_engine.plans import ability, data, registry, runs  # noqa: F401
+from ability_engine.sources import adapters
 
 
 def joins(df):
@@ -174,3 +175,15 @@ def test_the_fit_broadcasts_no_parts_or_releases(spark, sf_dir, name):
     df = registry.QUERIES[name](spark, sf_dir)
     assert any("SortMergeJoin [l_partkey" in line for line in joins(df)) and not any(f"BroadcastHashJoin [{key}" in line for line in joins(df) for key in ("l_partkey", "release_id", "point_id"))
     spark.catalog.clearCache()
+
+
+def test_fit_keeps_the_partitions_of_its_scores(spark, sf_dir):
+    """The dates' own partitions multiplied those of the scores, which were read again for each."""
+    known = ("2019-06-30", "2019-09-30", "2025-02-01")
+    days = ability.dates(spark, *known)
+    assert days.rdd.getNumPartitions() > 1
+    rows = fit.observations(adapters.scores(spark, sf_dir), adapters.releases(spark, sf_dir), adapters.benches(spark, sf_dir), days)
+    assert "CartesianProduct" not in rows._jdf.queryExecution().executedPlan().toString()
+    by_date = {r.asof.isoformat(): r["count"] for r in rows.groupBy("asof").count().collect()}
+    one = {d: fit.observations(adapters.scores(spark, sf_dir), adapters.releases(spark, sf_dir), adapters.benches(spark, sf_dir), ability.dates(spark, d)).count() for d in known}
+    assert by_date == one and len(set(one.values())) == 3
