@@ -1,15 +1,16 @@
-"""Hashed text features, and the bounded sample of labelled rows that classifiers are fitted on."""
+"""Hashed text features, and the labelled rows that classifiers are fitted on: all of them in shards, or a bounded sample."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ability_engine.llm.common import map_lists, struct_of, word_hashes
+from ability_engine.llm.common import map_lists, stash, struct_of, word_hashes
 
 #: Buckets of each block (character 3-grams, words, word pairs), then eight numbers on length and repetition.
 BLOCK = 2048
@@ -51,18 +52,53 @@ def sparse(x: np.ndarray) -> bytes:
     return at.astype("<u2").tobytes() + x[at].astype("<f2").tobytes()
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, learn: Column | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, labels and weights of about ``rows`` labelled documents, half of each class as far as there are any.
+def dense(rows: list[bytes]) -> np.ndarray:
+    x = np.zeros((len(rows), SIZE), np.float32)
+    for k, data in enumerate(rows):
+        pairs = np.frombuffer(data, "<u2").reshape(2, -1)
+        x[k, pairs[0]] = pairs[1].view("<f2")
+    return x
 
-    Rows are taken by a hash of doc_id, so the sample is the same on each run; a weight is the number of labelled rows a row stands for. A
-    doc_id with several labels takes the lowest; null labels are left out. Only the sampled texts leave the scan: the ids are at most about
-    ``rows`` and so may be broadcast.
-    """
+
+def _marked(labels: DataFrame, label: str, learn: Column | None) -> tuple[DataFrame, dict[int, int]]:
+    """doc_id and label, one row each, and how many there are of each class. A doc_id with several labels takes the lowest; null labels are left out."""
     marked = labels.where(F.col(label).isin(0, 1))
     if learn is not None:
         marked = marked.where(learn)
     marked = marked.groupBy("doc_id").agg(F.min(label).alias("label"))
-    counts = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
+    return marked, {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
+
+
+def shards(docs: DataFrame, labels: DataFrame, label: str, rows: int, learn: Column | None = None, least: int = 50) -> DataFrame | None:
+    """All labelled documents, dealt by a hash to shards of about ``rows``: a row for each shard with the lists of label, copy and x; None unless there are two classes.
+
+    Where a class is too rare for ``least`` rows in a shard, its rows are in several ones; ``copy`` counts them from 0. Only labelled texts leave the scan, so
+    the ids and labels are broadcast, which grow with the labels; each text is shuffled once, and what reads a shard again shuffles nothing.
+    """
+    marked, counts = _marked(labels, label, learn)
+    if len(counts) < 2:
+        return None
+    n = -(-sum(counts.values()) // rows)
+    copies = {k: min(n, -(-least * n // c)) for k, c in counts.items()}
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["key", "copy"], kind="stable")
+        lists = part["label"].tolist(), part["copy"].tolist(), [sparse(features(t)) for t in part["text"]]
+        return pd.DataFrame({"shard": [part["shard"].iloc[0]]} | {name: [v] for name, v in zip(("label", "copy", "x"), lists, strict=True)})
+
+    texts = docs.select("doc_id", "text").join(F.broadcast(marked.select("doc_id", F.col("label").cast("int"))), "doc_id").select("label", F.xxhash64("doc_id", F.lit(17)).alias("key"), "text")
+    last = F.when(F.col("label") == 0, copies[0] - 1).otherwise(copies[1] - 1)
+    dealt = texts.withColumn("copy", F.explode(F.sequence(F.lit(0), last))).withColumn("shard", F.pmod(F.pmod("key", F.lit(n)) + F.col("copy"), F.lit(n)).cast("int"))
+    return stash(dealt.groupBy("shard").applyInPandas(pack, "shard int, label array<int>, copy array<int>, x array<binary>"), "labelled")
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, learn: Column | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and weights of about ``rows`` labelled documents, half of each class as far as there are any.
+
+    Rows are taken by a hash of doc_id, so the sample is the same on each run; a weight is the number of labelled rows a row stands for. Only the sampled texts leave the scan: the ids are at most about
+    ``rows`` and so may be broadcast.
+    """
+    marked, counts = _marked(labels, label, learn)
     if not counts:
         return np.zeros((0, SIZE), np.float32), np.zeros(0), np.zeros(0)
     share = {k: min(1.0, rows / 2 / n) for k, n in counts.items()}
@@ -76,10 +112,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, learn: Col
 
     texts = docs.select("doc_id", "text").join(F.broadcast(picked.select("doc_id", F.col("label").cast("int"))), "doc_id").select("doc_id", "label", "text")
     got = sorted((r["doc_id"], r["label"], r["x"]) for r in map_lists(texts, run, schema).collect())
-    x = np.zeros((len(got), SIZE), np.float32)
-    for k, (_, _, data) in enumerate(got):
-        pairs = np.frombuffer(data, "<u2").reshape(2, -1)
-        x[k, pairs[0]] = pairs[1].view("<f2")
+    x = dense([r[2] for r in got])
     y = np.array([r[1] for r in got], float)
     return x, y, np.where(y == 1, 1 / share.get(1, 1), 1 / share.get(0, 1))
 

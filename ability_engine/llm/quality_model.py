@@ -4,8 +4,9 @@ A preference pair is a good and a poor document; the model learns weights so tha
 linear in the difference of their features, is likely to be high (logistic loss). Such scores have no zero, so the cut is a quantile of
 the labelled documents' scores: the share of poor ones among them. The score returned is a sigmoid that is 0.3 at the cut.
 
-It is fitted on the driver on at most about ``rows`` labelled documents (a parameter); every document is then scored in its own partition,
-without a shuffle.
+All labelled documents are fitted on, in shards of about ``rows`` (a parameter). Each shard fits its own pairs and the weights are averaged; in further rounds
+the shards start from the average, and each leans its gradient by what the joint gradient there differs from its own, so they go on to one joint fit. The
+cut is a quantile of all labelled documents, each scored by weights that it had no part in. Every document is then scored in its own partition, without a shuffle.
 
 Defined cases: null and empty texts have no features and get the score of zero features. With no labels, or of one class only, every score is 0.5.
 Rows are documents; a doc_id that occurs twice is scored twice. Other columns are ignored.
@@ -13,15 +14,17 @@ Rows are documents; a doc_id that occurs twice is scored twice. Other columns ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ability_engine.llm.common import map_lists, struct_of
-from ability_engine.llm.features import SIZE, descend, features, sample, sigmoid
+from ability_engine.llm.common import map_lists, scratch, struct_of
+from ability_engine.llm.features import SIZE, dense, descend, features, shards, sigmoid
 
 CUT = 0.3
 
@@ -36,10 +39,10 @@ class Ranker:
         return sigmoid(self.slope * (x @ self.weights - self.cut) + (np.log(CUT / (1 - CUT)) if self.slope else 0.0))
 
 
-def weights(x: np.ndarray, y: np.ndarray, pairs: int, l2: float, turns: int, seed: int = 7) -> np.ndarray:
-    """Weights from preference pairs drawn from the good and the poor rows."""
+def pairwise(x: np.ndarray, y: np.ndarray, pairs: int, l2: float, seed: int = 7) -> Callable[[np.ndarray], np.ndarray]:
+    """Gradient of the loss over preference pairs of the good and the poor rows. Each row of a class is in as many pairs as the others, give or take one."""
     rng = np.random.default_rng(seed)
-    i, j = rng.choice(np.flatnonzero(y == 1), pairs), rng.choice(np.flatnonzero(y == 0), pairs)
+    i, j = (rng.permutation(np.resize(rng.permutation(np.flatnonzero(y == k)), pairs)) for k in (1, 0))
 
     def gradient(w: np.ndarray) -> np.ndarray:
         z = x @ w
@@ -47,26 +50,104 @@ def weights(x: np.ndarray, y: np.ndarray, pairs: int, l2: float, turns: int, see
         each = np.bincount(i, pull, len(x)) - np.bincount(j, pull, len(x))
         return x.T @ each.astype(np.float32) + np.float32(l2) * w
 
-    return descend(gradient, np.zeros(x.shape[1], np.float32), 0.5, turns)
+    return gradient
+
+
+#: Rows that each of the three weights is fitted on: all, and either half.
+PARTS = (slice(None), slice(0, None, 2), slice(1, None, 2))
+
+
+def weights(x: np.ndarray, y: np.ndarray, pairs: int, l2: float, turns: int, start: np.ndarray | None = None, joint: np.ndarray | None = None) -> np.ndarray:
+    """For each of PARTS its weights and, in the last column, its rows; zeros where it lacks a class.
+
+    They begin at ``start``. ``joint``: gradients of all shards there, which take the place of its own there. Without turns: its gradients at ``start``.
+    """
+    out = np.zeros((len(PARTS), x.shape[1] + 1))
+    for k, at in enumerate(PARTS):
+        if len(set(y[at].tolist())) < 2:
+            continue
+        gradient = pairwise(x[at], y[at], pairs, l2)
+        begin = np.zeros(x.shape[1], np.float32) if start is None else start[k]
+        lean = np.float32(0) if joint is None else joint[k] - gradient(begin)
+        out[k, :-1] = descend(lambda w: gradient(w) + lean, begin, 0.5, turns) if turns else gradient(begin)  # noqa: B023
+        out[k, -1] = len(y[at])
+    return out
+
+
+def crossed(x: np.ndarray, w: np.ndarray, halves: bool) -> np.ndarray:
+    """Scores by the weights that a row had no part in, or by those of all rows if a half lacks a class."""
+    z = x @ w[0]
+    if halves:
+        for k in (0, 1):
+            z[k::2] = x[k::2] @ w[2 - k]
+    return z
 
 
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, pairs: int = 40_000, l2: float = 1e-5, turns: int = 300) -> Ranker:
-    """The cut is a quantile of scores by weights that a row had no part in, where each half has both classes."""
+    """The fit of one shard. The cut is a quantile of scores by weights that a row had no part in, where each half has both classes."""
     if len(set(y.tolist())) < 2:
         return Ranker(np.zeros(SIZE, np.float32), 0.0, 0.0)
-    w = weights(x, y, pairs, l2, turns)
-    z = x @ w
-    if all(len(set(y[k::2].tolist())) == 2 for k in (0, 1)):
-        for k in (0, 1):  # folds are views of every second row, not copies
-            z[k::2] = x[k::2] @ weights(x[1 - k :: 2], y[1 - k :: 2], pairs, l2, turns)
+    found = weights(x, y, pairs, l2, turns)
+    w = found[:, :-1].astype(np.float32)
+    z = crossed(x, w, bool((found[1:, -1] > 0).all()))
     order = np.argsort(z, kind="stable")
     share = np.cumsum(weight[order]) / weight.sum()
     at = int(np.searchsorted(share, weight[y == 0].sum() / weight.sum()))
-    return Ranker(w, float(z[order][at : at + 2].mean()), 1.0)
+    return Ranker(w[0], float(z[order][at : at + 2].mean()), 1.0)
+
+
+def _each(known: DataFrame, fn: Callable[[int, np.ndarray, np.ndarray, list[int]], dict[str, list]], schema: str) -> DataFrame:
+    """What ``fn`` makes of the number, features, labels and copies of each shard."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                yield pd.DataFrame(fn(row.shard, dense(row.x), np.array(row.label, float), row.copy))
+
+    return known.mapInPandas(run, schema)
+
+
+def _mean(known: DataFrame, *args) -> tuple[np.ndarray, np.ndarray]:
+    """The mean of what ``weights`` gives for the shards, by their rows, and the rows. Shards are summed in groups first, so the driver gets their square root."""
+
+    def one(shard: int, x: np.ndarray, y: np.ndarray, _: list[int]) -> dict[str, list]:
+        found = weights(x, y, *args)
+        found[:, :-1] *= found[:, -1:]
+        return {"shard": [shard], "sums": [found.tobytes()]}
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"sums": [sum(np.frombuffer(s) for s in part.sort_values("shard")["sums"]).tobytes()]})
+
+    groups = max(1, known.count())
+    sums = _each(known, one, "shard int, sums binary").groupBy(F.pmod("shard", F.lit(int(groups**0.5)))).applyInPandas(add, "sums binary").collect()
+    total = sum(np.frombuffer(s) for s in sorted(bytes(r.sums) for r in sums)).reshape(len(PARTS), -1) if sums else np.zeros((len(PARTS), SIZE + 1))
+    return (total[:, :-1] / np.maximum(total[:, -1:], 1)).astype(np.float32), total[:, -1]
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = 4000, learn: Column | None = None, pairs: int = 40_000, l2: float = 1e-5, turns: int = 300, rounds: int = 2) -> Ranker:
+    none = Ranker(np.zeros(SIZE, np.float32), 0.0, 0.0)
+    with scratch(docs.sparkSession):
+        known = shards(docs, labels, "quality", rows, learn)
+        if known is None:
+            return none
+        w, n = _mean(known, pairs, l2, turns)
+        if not n[0]:
+            return none
+        if known.count() > 1:
+            for _ in range(rounds):
+                joint, _ = _mean(known, pairs, l2, 0, w)
+                w, _ = _mean(known, pairs, l2, turns // 3, w, joint)
+        halves = bool((n[1:] > 0).all())
 
+        def score_all(_: int, x: np.ndarray, y: np.ndarray, copy: list[int]) -> dict[str, list]:
+            return {"z": crossed(x, w, halves).astype(float), "label": y.astype(int), "copy": copy}
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 4000, learn: Column | None = None) -> Ranker:
-    return fit(*sample(docs, labels, "quality", rows, learn))
+        z = _each(known, score_all, "z double, label int, copy int").where("copy = 0").persist()
+        poor = z.agg(F.avg(1.0 - F.col("label"))).first()[0]
+        low = z.agg(F.percentile_approx("z", F.lit(poor), F.lit(100_000))).first()[0]
+        high = z.where(F.col("z") > low).agg(F.min("z")).first()[0]
+        z.unpersist()
+    return Ranker(w[0], low if high is None else (low + high) / 2, 1.0)
 
 
 def score(docs: DataFrame, model: Ranker) -> DataFrame:
