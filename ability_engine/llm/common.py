@@ -44,10 +44,10 @@ def new_path(spark: SparkSession, what: str) -> str:
     return path
 
 
-def stash(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
+def stash(df: DataFrame, what: str, **options: int) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there, and lost executors lose nothing. ``options``: of the writer."""
     path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

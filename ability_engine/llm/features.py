@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,7 +52,7 @@ def sparse(x: np.ndarray) -> bytes:
     return at.astype("<u2").tobytes() + x[at].astype("<f2").tobytes()
 
 
-def dense(rows: list[bytes]) -> np.ndarray:
+def dense(rows: list[bytes] | list[pa.Buffer]) -> np.ndarray:
     x = np.zeros((len(rows), SIZE), np.float32)
     for k, data in enumerate(rows):
         pairs = np.frombuffer(data, "<u2").reshape(2, -1)
@@ -70,10 +70,11 @@ def _marked(labels: DataFrame, label: str, learn: Column | None) -> tuple[DataFr
 
 
 def shards(docs: DataFrame, labels: DataFrame, label: str, rows: int, learn: Column | None = None, least: int = 50) -> DataFrame | None:
-    """All labelled documents, dealt by a hash to shards of about ``rows``: a row for each shard with the lists of label, copy and x; None unless there are two classes.
+    """All labelled documents, dealt by a hash to shards of about ``rows``: rows with the lists of label, copy and x of up to SLICE of them; None unless there are two classes.
 
     Where a class is too rare for ``least`` rows in a shard, its rows are in several ones; ``copy`` counts them from 0. Only labelled texts leave the scan, so
-    the ids and labels are broadcast, which grow with the labels; each text is shuffled once, and what reads a shard again shuffles nothing.
+    the ids and labels are broadcast, which grow with the labels; each text is shuffled once, and what reads a shard again shuffles nothing. A shard is a partition
+    and one file of one row group, so its rows meet in one task and follow each other; no row, and no step before the fit, holds a whole shard.
     """
     marked, counts = _marked(labels, label, learn)
     if len(counts) < 2:
@@ -81,15 +82,18 @@ def shards(docs: DataFrame, labels: DataFrame, label: str, rows: int, learn: Col
     n = -(-sum(counts.values()) // rows)
     copies = {k: min(n, -(-least * n // c)) for k, c in counts.items()}
 
-    def pack(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["key", "copy"], kind="stable")
-        lists = part["label"].tolist(), part["copy"].tolist(), [sparse(features(t)) for t in part["text"]]
-        return pd.DataFrame({"shard": [part["shard"].iloc[0]]} | {name: [v] for name, v in zip(("label", "copy", "x"), lists, strict=True)})
+    def pack(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        for b in batches:
+            ends = [k for k, after in enumerate(b["shard"][1:], 1) if after != b["shard"][k - 1]] + [len(b["shard"])]
+            for k, end in zip([0, *ends], ends):  # noqa: B905
+                yield {"shard": [b["shard"][k]], "label": [b["label"][k:end]], "copy": [b["copy"][k:end]], "x": [[sparse(features(t)) for t in b["text"][k:end]]]}
 
     texts = docs.select("doc_id", "text").join(F.broadcast(marked.select("doc_id", F.col("label").cast("int"))), "doc_id").select("label", F.xxhash64("doc_id", F.lit(17)).alias("key"), "text")
     last = F.when(F.col("label") == 0, copies[0] - 1).otherwise(copies[1] - 1)
     dealt = texts.withColumn("copy", F.explode(F.sequence(F.lit(0), last))).withColumn("shard", F.pmod(F.pmod("key", F.lit(n)) + F.col("copy"), F.lit(n)).cast("int"))
-    return stash(dealt.groupBy("shard").applyInPandas(pack, "shard int, label array<int>, copy array<int>, x array<binary>"), "labelled")
+    schema = struct_of(("shard", T.IntegerType()), *((name, T.ArrayType(kind)) for name, kind in (("label", T.IntegerType()), ("copy", T.IntegerType()), ("x", T.BinaryType()))))
+    placed = dealt.repartitionById(n, "shard").sortWithinPartitions("shard", "key", "copy").select("shard", "label", "copy", "text")
+    return stash(map_lists(placed, pack, schema), "labelled", **{"parquet.block.size": 1 << 30})
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, learn: Column | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

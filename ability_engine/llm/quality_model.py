@@ -16,12 +16,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ability_engine.llm.common import map_lists, scratch, struct_of
 from ability_engine.llm.features import SIZE, dense, descend, features, shards, sigmoid
@@ -96,30 +98,34 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, pairs: int = 40_000, l
     return Ranker(w[0], float(z[order][at : at + 2].mean()), 1.0)
 
 
-def _each(known: DataFrame, fn: Callable[[int, np.ndarray, np.ndarray, list[int]], dict[str, list]], schema: str) -> DataFrame:
-    """What ``fn`` makes of the number, features, labels and copies of each shard."""
+def _each(known: DataFrame, fn: Callable[[int, np.ndarray, np.ndarray, np.ndarray], dict[str, list]], schema: T.StructType) -> DataFrame:
+    """What ``fn`` makes of the number, features, labels and copies of each shard. Its rows are never Python objects, so a worker holds little beside the matrix."""
+    arrow = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                yield pd.DataFrame(fn(row.shard, dense(row.x), np.array(row.label, float), row.copy))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (batch.slice(k, 1) for batch in batches for k in range(batch.num_rows))
+        for shard, part in groupby(rows, lambda row: row.column("shard")[0].as_py()):
+            lists = {name: [row.column(name).flatten() for row in held] for held in [list(part)] for name in ("label", "copy", "x")}
+            label, copy = (np.concatenate([v.to_numpy() for v in lists[name]]) for name in ("label", "copy"))
+            x = dense([v.as_buffer() for values in lists.pop("x") for v in values])
+            out = fn(shard, x, label.astype(float), copy)
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
-    return known.mapInPandas(run, schema)
+    return known.mapInArrow(run, schema)
 
 
-def _mean(known: DataFrame, *args) -> tuple[np.ndarray, np.ndarray]:
-    """The mean of what ``weights`` gives for the shards, by their rows, and the rows. Shards are summed in groups first, so the driver gets their square root."""
+def _mean(known: DataFrame, count: int, *args) -> tuple[np.ndarray, np.ndarray]:
+    """The mean of what ``weights`` gives for the ``count`` shards, by their rows, and the rows. Shards are summed in groups first, so the driver gets their square root."""
 
-    def one(shard: int, x: np.ndarray, y: np.ndarray, _: list[int]) -> dict[str, list]:
+    def one(shard: int, x: np.ndarray, y: np.ndarray, _: np.ndarray) -> dict[str, list]:
         found = weights(x, y, *args)
         found[:, :-1] *= found[:, -1:]
         return {"shard": [shard], "sums": [found.tobytes()]}
 
-    def add(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"sums": [sum(np.frombuffer(s) for s in part.sort_values("shard")["sums"]).tobytes()]})
+    def add(part: pa.Table) -> pa.Table:
+        return pa.table({"sums": [sum(np.frombuffer(s) for s in part.sort_by("shard")["sums"].to_pylist()).tobytes()]})
 
-    groups = max(1, known.count())
-    sums = _each(known, one, "shard int, sums binary").groupBy(F.pmod("shard", F.lit(int(groups**0.5)))).applyInPandas(add, "sums binary").collect()
+    sums = _each(known, one, struct_of(("shard", T.IntegerType()), ("sums", T.BinaryType()))).groupBy(F.pmod("shard", F.lit(max(1, int(count**0.5))))).applyInArrow(add, "sums binary").collect()
     total = sum(np.frombuffer(s) for s in sorted(bytes(r.sums) for r in sums)).reshape(len(PARTS), -1) if sums else np.zeros((len(PARTS), SIZE + 1))
     return (total[:, :-1] / np.maximum(total[:, -1:], 1)).astype(np.float32), total[:, -1]
 
@@ -130,19 +136,20 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 4000, learn: Column |
         known = shards(docs, labels, "quality", rows, learn)
         if known is None:
             return none
-        w, n = _mean(known, pairs, l2, turns)
+        count = known.select("shard").distinct().count()
+        w, n = _mean(known, count, pairs, l2, turns)
         if not n[0]:
             return none
-        if known.count() > 1:
+        if count > 1:
             for _ in range(rounds):
-                joint, _ = _mean(known, pairs, l2, 0, w)
-                w, _ = _mean(known, pairs, l2, turns // 3, w, joint)
+                joint, _ = _mean(known, count, pairs, l2, 0, w)
+                w, _ = _mean(known, count, pairs, l2, turns // 3, w, joint)
         halves = bool((n[1:] > 0).all())
 
-        def score_all(_: int, x: np.ndarray, y: np.ndarray, copy: list[int]) -> dict[str, list]:
+        def score_all(_: int, x: np.ndarray, y: np.ndarray, copy: np.ndarray) -> dict[str, list]:
             return {"z": crossed(x, w, halves).astype(float), "label": y.astype(int), "copy": copy}
 
-        z = _each(known, score_all, "z double, label int, copy int").where("copy = 0").persist()
+        z = _each(known, score_all, struct_of(("z", T.DoubleType()), ("label", T.IntegerType()), ("copy", T.IntegerType()))).where("copy = 0").persist()
         poor = z.agg(F.avg(1.0 - F.col("label"))).first()[0]
         low = z.agg(F.percentile_approx("z", F.lit(poor), F.lit(100_000))).first()[0]
         high = z.where(F.col("z") > low).agg(F.min("z")).first()[0]

@@ -11,9 +11,10 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from ability_engine.llm import align, features, phrases, quality_model, secrets, spots
+from ability_engine.llm import align, common, features, phrases, quality_model, secrets, spots
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, links string, d string, words string"
 A = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -240,3 +241,14 @@ def test_quality_learns_from_all_labels(spark):
     seen = features.shards(docs, rare, "quality", 20).collect()
     assert all(0 in r.label for r in seen) and sum(list(r["copy"]).count(0) for r in seen) == 163
     assert good >= 310, good
+
+
+def test_shards_are_never_one_row(spark):
+    """A shard of more than SLICE texts is in several rows, and the fit of a shard still gets all of them, also where two shards are read by one task."""
+    docs = spark.range(2500).select(F.col("id").alias("doc_id"), F.concat(F.lit("words of a text "), F.col("id") % 9).alias("text"))
+    known = features.shards(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")), "quality", 1250)
+    assert max(len(r.x) for r in known.collect()) <= common.SLICE
+    schema = common.struct_of(*((name, T.IntegerType()) for name in ("shard", "n", "good")))
+    seen = quality_model._each(known.coalesce(1), lambda shard, x, y, copy: {"shard": [shard], "n": [len(x)], "good": [int(y.sum())]}, schema).collect()
+    assert sorted(r.shard for r in seen) == [0, 1] and sum(r.n for r in seen) == 2500 and sum(r.good for r in seen) == 1250
+    assert all(r.n > common.SLICE for r in seen)
