@@ -32,8 +32,14 @@ _TREND = {
 _PARTS = (o.fit(f"{SQL_GRID}, {TODAY}"), _FLAGSHIPS, o.laws(SQL_GRID), o.waits(Q), _TREND)
 
 
+def _drift(spark, sf_dir):
+    """The dates that know a gap, which are those of the SQL: the operators have defaults for the others."""
+    return replay.drift_per_year(a.releases(spark, sf_dir), dates(spark, *GRID)).where("drift_per_year IS NOT NULL")
+
+
 def _backtest(spark, sf_dir):
-    return replay.backtest(a.scores(spark, sf_dir), a.releases(spark, sf_dir), a.benches(spark, sf_dir), dates(spark, *GRID))
+    found = replay.backtest(a.scores(spark, sf_dir), a.releases(spark, sf_dir), a.benches(spark, sf_dir), dates(spark, *GRID))
+    return found.join(F.broadcast(_drift(spark, sf_dir).select("asof")), "asof", "left_semi")  # at most the dates of the grid
 
 
 @query("backtest_theta", o.sql(f"SELECT asof, lab, p05, p16, p50, p84, p95, {o.r6('predicted_theta')} AS predicted_theta, actual, actual_id, {o.r6('actual_theta')} AS actual_theta, error_days, in68, in90, {o.r6('theta_error')} AS theta_error FROM backtest", *_PARTS))
@@ -49,7 +55,9 @@ def backtest_theta(spark, sf_dir):
     ),
 )
 def backtest_theta_summary(spark, sf_dir):
-    return rounded(forecast.summary(_backtest(spark, sf_dir)), "coverage68", "coverage90", "mae_days", "theta_mae").select("lab", "total", "n", "coverage68", "coverage90", "mae_days", "theta_mae")
+    means = ("coverage68", "coverage90", "mae_days", "theta_mae")
+    found = rounded(forecast.summary(_backtest(spark, sf_dir)), *means)
+    return found.select("lab", "total", "n", *[F.when(F.col("n") > 0, F.col(c)).alias(c) for c in means])  # the SQL has no mean of no rows
 
 
 @query("fit_by_grid", o.sql(f"SELECT CAST(row_number() OVER (ORDER BY asof) - 1 AS INT) AS k, {o.r6('sigma')} AS sigma, (SELECT count(*) FROM delta d WHERE d.asof = s.asof) AS observed FROM sig s", o.fit(f"{SQL_GRID}, {TODAY}")))
@@ -61,4 +69,4 @@ def fit_by_grid(spark, sf_dir):
 
 @query("drift_per_year", o.sql(f"SELECT asof, {o.r6('drift * 365')} AS drift_per_year FROM prior", _FLAGSHIPS, o.laws(SQL_GRID)))
 def drift_per_year(spark, sf_dir):
-    return rounded(replay.drift_per_year(a.releases(spark, sf_dir), dates(spark, *GRID)), "drift_per_year")
+    return rounded(_drift(spark, sf_dir), "drift_per_year")

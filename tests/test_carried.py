@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ability_engine.operators import asof, fit, replay, views
+from ability_engine.operators import asof, fit, forecast, replay, views
 from ability_engine.streaming import cadence, logsource
 
 
@@ -207,3 +207,13 @@ def test_a_large_log_is_cut_though_it_grows(tmp_path):
     append(path, ["b"])
     assert not logsource.truncate(str(path), read) and logsource.truncate(str(path), read, most=100) and os.path.getsize(path) == 0
     assert logsource.base(str(path)) == read + 2
+
+
+def test_summary_without_rows(spark):
+    """No rows give a total of zeros, and a row of lab null stays apart from it."""
+    schema = "lab string, p50 date, actual date, error_days int, in68 boolean, in90 boolean, theta_error double"
+    made = (date(2024, 1, 3), date(2024, 1, 1), -2, True, True, 0.5)
+    none, one, open_ = ([tuple(r) for r in forecast.summary(spark.createDataFrame(rows, schema)).orderBy("total").collect()] for rows in ([], [(None, *made)], [("a", made[0], *[None] * 5)]))
+    zeros = (None, True, 0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, None)
+    assert none == open_ == [zeros]
+    assert one == [(None, total, 1, 0, 1.0, 1.0, 2.0, 2.0, -2.0, 0.5) for total in (False, True)]
