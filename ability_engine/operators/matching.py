@@ -17,7 +17,7 @@ def match_scores(gold: DataFrame, found: DataFrame) -> DataFrame:
     Both: release_id, benchmark, score_pos, value; found also unit. Found scores without a gold one are left out.
     """
     first = gold.groupBy("release_id", "benchmark").agg(F.min_by("value", "score_pos").alias("gold_value"))
-    both = found.join(first, ["release_id", "benchmark"])
+    both = found.join(first.hint("merge"), ["release_id", "benchmark"])
     delta = F.abs(F.col("gold_value") - F.col("value"))
     tolerance = F.when(F.col("unit") == "elo", TOLERANCE["elo"]).otherwise(TOLERANCE["%"])
     return both.select("release_id", "benchmark", "score_pos", "value", "gold_value", delta.alias("delta"), (delta <= tolerance).alias("matched"))
@@ -63,4 +63,4 @@ def held_keys(texts: DataFrame, keys: DataFrame, by: Sequence[str], text: str, k
     if fits is not None:
         long = long.where(fits(F.substr(text, at + F.col("_n"))))
     parts = long.select(*texts.columns, F.substr(text, at, F.col("_n")).alias(key))
-    return parts.join(whole, [*by, key], "left_semi").select(*texts.columns, key).distinct()
+    return parts.join(whole.hint("merge"), [*by, key], "left_semi").select(*texts.columns, key).distinct()

@@ -187,3 +187,12 @@ def test_fit_keeps_the_partitions_of_its_scores(spark, sf_dir):
     by_date = {r.asof.isoformat(): r["count"] for r in rows.groupBy("asof").count().collect()}
     one = {d: fit.observations(adapters.scores(spark, sf_dir), adapters.releases(spark, sf_dir), adapters.benches(spark, sf_dir), ability.dates(spark, d)).count() for d in known}
     assert by_date == one and len(set(one.values())) == 3
+
+
+@pytest.mark.parametrize("name", ["evaluation_gates"])
+def test_evaluation_broadcasts_no_rows_of_gold_or_found(spark, sf_dir, name):
+    """Of what is joined, only the first signs of keys and the numbers of their lengths may go to the driver."""
+    spark.catalog.clearCache()
+    held = [line for line in joins(registry.QUERIES[name](spark, sf_dir)) if "Broadcast" in line and "_head" not in line and "BroadcastNestedLoopJoin" not in line]
+    assert not held, held
+    spark.catalog.clearCache()
