@@ -189,7 +189,7 @@ def test_fit_keeps_the_partitions_of_its_scores(spark, sf_dir):
     assert by_date == one and len(set(one.values())) == 3
 
 
-@pytest.mark.parametrize("name", ["evaluation_gates"])
+@pytest.mark.parametrize("name", ["evaluation_gates", "full_evaluation"])
 def test_evaluation_broadcasts_no_rows_of_gold_or_found(spark, sf_dir, name):
     """Of what is joined, only the first signs of keys and the numbers of their lengths may go to the driver."""
     spark.catalog.clearCache()
