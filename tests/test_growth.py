@@ -1,6 +1,7 @@
 """Steps that compare names: their joins are by equal keys alone, and their results are those of a comparison of all pairs."""
 
 import datetime
+import math
 import random
 import re
 
@@ -9,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ability_engine.functions import scalar
-from ability_engine.operators import evaluate, fit, forecast, merge, screening
-from ability_engine.plans import ability, data, registry, runs  # noqa: F401
+from ability_engine.operators import evaluate, fit, forecast, lineup, merge, screening, views
+from ability_engine.plans import ability, data, registry, runs, views as view_plans  # noqa: F401
 from ability_engine.sources import adapters
 
 
@@ -196,3 +197,56 @@ def test_evaluation_broadcasts_no_rows_of_gold_or_found(spark, sf_dir, name):
     held = [line for line in joins(registry.QUERIES[name](spark, sf_dir)) if "Broadcast" in line and "_head" not in line and "BroadcastNestedLoopJoin" not in line]
     assert not held, held
     spark.catalog.clearCache()
+
+
+def tied_groups(rows):
+    """rank, pos and size of rows (block, place, release_id, rating, se) by a walk in order."""
+    out, low = {}, None
+    for block in {r[0] for r in rows}:
+        groups = []
+        for _, place, release_id, rating, se in sorted((r for r in rows if r[0] == block), key=lambda r: r[1:3]):
+            margin = None if se is None else 400 / math.log(10) * se
+            high = None if margin is None else rating + margin
+            # As in SQL: nothing is below a null, and NaN is above all numbers.
+            if not groups or (high is not None and low is not None and (high < low or (low != low and high == high))):
+                groups.append([])
+                low = None if margin is None else rating - margin
+            groups[-1].append(release_id)
+        rank = 1
+        for g in groups:
+            out |= {(block, x): (rank, pos, len(g)) for pos, x in enumerate(g)}
+            rank += len(g)
+    return out
+
+
+@pytest.mark.parametrize("leaders", [lineup.LEADERS, 0])
+@pytest.mark.parametrize("se", ["none", "all tie", "equal", "random", "odd"])
+def test_ties_across_partitions(spark, monkeypatch, se, leaders):
+    """Groups that begin in one partition and end in another, with and without tables of last leaders; the plan folds no block in an array or a window."""
+    monkeypatch.setattr(lineup, "LEADERS", leaders)
+    rng = random.Random(5)
+    wide = {"none": lambda: 0.0, "all tie": lambda: 1e3, "equal": lambda: 0.03, "random": lambda: rng.random() * 0.05, "odd": lambda: rng.choice([None, float("nan"), 0.0, 0.02, 0.05])}[se]
+    rows = [(rng.choice(["x", "y", None]) if se == "odd" else "x", k, f"r{k:03d}", 1000.0 - k, wide()) for k in range(200)]
+    rng.shuffle(rows)
+    found = lineup.tie_groups(spark.createDataFrame(rows, "block string, place long, release_id string, rating double, se double"))
+    want = tied_groups(rows)
+    assert {(r["block"], r["release_id"]): (r["rank"], r["pos"], r["size"]) for r in found.collect()} == want and found.where("tied <> (size > 1)").isEmpty()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "Window" not in plan
+
+
+def test_rank_groups_go_on_from_the_qualified(spark):
+    rows = [(1, k, f"r{k}", k < 5, 100.0 - k // 2, 0.0) for k in range(8)]
+    ranking = spark.createDataFrame(rows, "block int, place long, release_id string, qualified boolean, rating double, se double")
+    found = views.rank_groups(ranking)
+    assert {r["release_id"]: (r["rank"], r["tied"], r["pos"], r["size"]) for r in found.collect()} == {
+        "r0": (1, True, 0, 2), "r1": (1, True, 1, 2), "r2": (3, True, 0, 2), "r3": (3, True, 1, 2), "r4": (5, False, 0, 1), "r5": (6, False, 0, 1), "r6": (7, True, 0, 2), "r7": (7, True, 1, 2)
+    }
+    assert found.schema["block"].dataType.simpleString() == "string"
+
+
+def test_rank_groups_places_rows_without_one_task_for_all(spark, sf_dir):
+    spark.catalog.clearCache()
+    plan = registry.QUERIES["rank_groups"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan and "collect_list" not in plan
+    spark.catalog.clearCache()
