@@ -70,3 +70,26 @@ def test_issues_of_rows(spark):
 def test_places_across_partitions(spark):
     rows = spark.range(1000).repartition(7).withColumn("x", (F.col("id") * 37) % 1000)
     assert all(r.place == r.x + 1 for r in views.with_place(rows, "x").collect())
+
+
+def test_headline_has_its_pace_and_its_next_release(spark, sf_dir):
+    """The query joins the four figures of the operator: nothing stands in for a forecast, and a date takes the pace of its own knots."""
+    from ability_engine.operators import forecast, frontier
+    from ability_engine.plans import ability, registry, views as plans  # noqa: F401
+    from ability_engine.sources import adapters
+
+    spark.catalog.clearCache()
+    row = registry.QUERIES["headline"](spark, sf_dir).first()
+    coming = views.next_up(forecast.chain(forecast.laws(adapters.releases(spark, sf_dir), ability.dates(spark, ability.NOW)), 1)).first()
+    assert coming is not None and (row.next_lab, row.next_date) == (coming.lab, coming.p50) and {"logits_per_year", "doubling_months"} <= set(row.asDict())
+
+    days = [("2021-01-01", "2020-03-01", "a", 0.0), ("2021-01-01", "2020-09-01", "b", 1.0), ("2024-01-01", "2020-03-01", "a", 0.0), ("2024-01-01", "2023-06-01", "c", 2.0), ("2024-01-01", "2023-12-01", "d", 2.5)]
+    knots = spark.createDataFrame(days, "asof string, date string, release_id string, theta double").selectExpr("to_date(asof) as asof", "to_date(date) as date", "release_id", "theta", "100 / (1 + exp(-theta)) as index")
+    now = knots.select("asof").distinct().withColumn("at", F.col("asof"))
+    none = [spark.createDataFrame([], f"asof date, {rest}") for rest in ("lab long, p50 date", "release_id string, index double")]
+    pace = frontier.pace(knots, now)
+    found = {str(r.asof): r for r in views.headline(knots, pace, *none).collect()}
+    assert {k: (r.top_id, r.steps) for k, r in found.items()} == {"2021-01-01": ("b", 2), "2024-01-01": ("d", 3)} and pace.count() == 2
+    for r in pace.collect():
+        assert found[str(r["at"])].logits_per_year == r.logits_per_year > 0 and found[str(r["at"])].doubling_months == r.doubling_days / 30.4375
+    spark.catalog.clearCache()
